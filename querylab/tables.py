@@ -35,5 +35,11 @@ class Tables:
         raise AttributeError(name)
 
     def register_views(self) -> None:
+        """Register every table as a temp view (once per session and folder)."""
+        key = "querylab.views.dir"
+        if self.spark.conf.get(key, None) == self.sf_dir and all(
+                self.spark.catalog.tableExists(n) for n in ("lineitem", "conversations")):
+            return
         for n in TABLE_NAMES:
             self.table(n).createOrReplaceTempView(n)
+        self.spark.conf.set(key, self.sf_dir)
