@@ -1 +1,160 @@
-"""Registered queries (filled in below)."""
+"""Catalog and graph queries (K family).
+
+The catalog row is built from the driver tables' own schemas plus their key
+graph; the oracle reads the same schemas from DuckDB's information_schema.
+Components are exercised on data-sized chains (each customer linked to the
+next one of its nation and market segment).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from querylab.operators import catalog as K
+from querylab.plans.registry import query
+from querylab.tables import TABLE_NAMES, Tables
+
+DB = "driver"
+
+# Key graph of the driver tables (primary keys, then foreign
+# keys as (table, column, referenced table, referenced column)).
+PKS = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"),
+       ("part", "p_partkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("documents", "doc_id"),
+       ("pages", "page_id"), ("benchmark", "item_id"), ("embeddings", "vec_id"),
+       ("conversations", "conv_id"), ("conversations", "turn")]
+FKS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
+       ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+       ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+       ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id")]
+
+
+def catalog(t: Tables) -> DataFrame:
+    """The catalog feed: one row built from the tables' schemas."""
+    row = K.catalog_row(DB, {n: t.table(n).schema for n in TABLE_NAMES}, PKS, FKS)
+    return K.catalog_df(t.spark, [row])
+
+
+def _values(rows, cols) -> str:
+    body = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS v({', '.join(chr(34) + c + chr(34) for c in cols)})"
+
+
+_NAMES = ", ".join(f"'{n}'" for n in TABLE_NAMES)
+_COLS_SQL = f"""cols AS (
+  SELECT DISTINCT table_name AS "table", column_name AS "column",
+    CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT', 'HUGEINT', 'REAL')
+              OR data_type LIKE 'DECIMAL%' THEN 'number'
+         WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'time'
+         WHEN data_type IN ('VARCHAR', 'BOOLEAN', 'BLOB') THEN 'text' ELSE 'others' END AS type
+  FROM information_schema.columns WHERE table_name IN ({_NAMES}))"""
+_PK_SQL = f"pks AS (SELECT * FROM {_values(PKS, ['table', 'column'])})"
+_FK_SQL = f"fks AS (SELECT * FROM {_values(FKS, ['table1', 'column1', 'table2', 'column2'])})"
+_DEG_SQL = ("deg AS (SELECT t, COUNT(*) AS degree FROM (SELECT table1 AS t FROM fks UNION ALL "
+            "SELECT table2 FROM fks) x GROUP BY t)")
+
+
+@query("K1_column_relation", f"WITH {_COLS_SQL} SELECT '{DB}' AS db_id, \"table\", \"column\", type FROM cols",
+       ids=("K-1", "S-5"))
+def k1(t: Tables) -> DataFrame:
+    return K.columns_relation(catalog(t)).select("db_id", "table", "column", "type")
+
+
+@query("K2_primary_keys", f"WITH {_PK_SQL}, {_COLS_SQL} SELECT '{DB}' AS db_id, p.\"table\", p.\"column\" "
+       "FROM pks p JOIN cols c ON p.\"table\" = c.\"table\" AND p.\"column\" = c.\"column\"", ids=("K-2",))
+def k2(t: Tables) -> DataFrame:
+    return K.primary_keys(catalog(t))
+
+
+@query("K3_foreign_keys", f"WITH {_FK_SQL}, {_DEG_SQL} SELECT '{DB}' AS db_id, table1, column1, table2, column2, "
+       "d1.degree AS degree1, d2.degree AS degree2 FROM fks JOIN deg d1 ON d1.t = table1 JOIN deg d2 ON d2.t = table2",
+       ids=("K-3",))
+def k3(t: Tables) -> DataFrame:
+    return K.foreign_keys(catalog(t))
+
+
+def customer_chain(t: Tables) -> DataFrame:
+    return K.chain_edges(t.customer, ["c_nationkey", "c_mktsegment"], "c_custkey", "c_custkey")
+
+
+_CHAIN_SQL = """grp AS (SELECT c_custkey, MIN(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component,
+                    COUNT(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS size FROM customer)"""
+
+
+@query("K4_connected_components", f"WITH {_CHAIN_SQL} SELECT c_custkey AS node, component FROM grp WHERE size > 1",
+       ids=("K-4",))
+def k4(t: Tables) -> DataFrame:
+    """Components of the customer chain graph (chains are the worst case for
+    label propagation; large-star/small-star converges in O(log^2 n) rounds)."""
+    return K.connected_components(customer_chain(t))
+
+
+_REACH = f"""reach(a, b) AS (
+  SELECT table1, table2 FROM fks UNION SELECT table2, table1 FROM fks UNION
+  SELECT DISTINCT table1, table1 FROM fks UNION SELECT DISTINCT table2, table2 FROM fks
+  UNION SELECT r.a, f.b FROM reach r JOIN (SELECT table1 AS a, table2 AS b FROM fks UNION
+                                          SELECT table2, table1 FROM fks) f ON r.b = f.a)"""
+
+
+@query("K5_max_joins", f"""WITH RECURSIVE {_FK_SQL}, {_REACH}, {_CHAIN_SQL},
+comp AS (SELECT a, MIN(b) AS c FROM reach GROUP BY a)
+SELECT 'customer_chain' AS graph, MAX(size) - 1 AS max_joins FROM grp WHERE size > 1
+UNION ALL
+SELECT 'foreign_keys', MAX(n) - 1 FROM (SELECT c, COUNT(*) AS n FROM comp GROUP BY c) s""", ids=("K-5",))
+def k5(t: Tables) -> DataFrame:
+    chain = K.max_joins(K.connected_components(customer_chain(t))).select(
+        F.lit("customer_chain").alias("graph"), "max_joins")
+    te = K.table_edges(K.foreign_keys(catalog(t))).select("src", "dst")
+    # Table names are mapped to integer ids for the component rounds.
+    ids = (te.select(F.col("src").alias("n")).union(te.select(F.col("dst").alias("n"))).distinct()
+           .withColumn("id", F.xxhash64("n")))
+    e = (te.join(ids.select(F.col("n").alias("src"), F.col("id").alias("s")), "src")
+         .join(ids.select(F.col("n").alias("dst"), F.col("id").alias("d")), "dst")
+         .select(F.col("s").alias("src"), F.col("d").alias("dst")))
+    fk = K.max_joins(K.connected_components(e)).select(F.lit("foreign_keys").alias("graph"), "max_joins")
+    return chain.unionByName(fk)
+
+
+@query("K6_connected_table_subsets", f"""WITH {_FK_SQL},
+e AS (SELECT DISTINCT LEAST(table1, table2) AS src, GREATEST(table1, table2) AS dst FROM fks),
+tri AS (SELECT DISTINCT list_sort(list_distinct([e1.src, e1.dst, e2.src, e2.dst])) AS nodes
+        FROM e e1 JOIN e e2 ON (e1.src = e2.src OR e1.src = e2.dst OR e1.dst = e2.src OR e1.dst = e2.dst)
+        AND (e1.src, e1.dst) <> (e2.src, e2.dst))
+SELECT array_to_string(nodes, ',') AS tables,
+       (SELECT array_to_string(list_sort(list(src || '-' || dst)), ',') FROM e
+        WHERE list_contains(nodes, src) AND list_contains(nodes, dst)) AS edges
+FROM tri WHERE len(nodes) = 3""", ids=("K-6",))
+def k6(t: Tables) -> DataFrame:
+    te = K.table_edges(K.foreign_keys(catalog(t))).select("src", "dst")
+    s = K.connected_subsets(te, 3)
+    return s.select(F.array_join("nodes", ",").alias("tables"), F.array_join("edges", ",").alias("edges"))
+
+
+@query("K7_column_owners", f"WITH {_COLS_SQL} SELECT '{DB}' AS db_id, \"column\", "
+       "string_agg(\"table\", ',' ORDER BY \"table\") AS tables, COUNT(*) AS n_tables FROM cols GROUP BY \"column\"",
+       ids=("K-7",))
+def k7(t: Tables) -> DataFrame:
+    return K.column_owners(K.columns_relation(catalog(t)))
+
+
+@query("K8_qualified_attributes", f"WITH {_COLS_SQL} SELECT '{DB}' AS db_id, \"table\", \"column\", type AS bucket, "
+       "CASE WHEN COUNT(*) OVER (PARTITION BY \"column\") > 1 THEN \"table\" || '.' || \"column\" ELSE \"column\" END "
+       "AS attribute FROM cols", ids=("K-8",))
+def k8(t: Tables) -> DataFrame:
+    return K.qualified_attributes(K.columns_relation(catalog(t)))
+
+
+@query("K9_fk_neighbours", f"WITH {_FK_SQL} SELECT DISTINCT '{DB}' AS db_id, \"table\", neighbour FROM ("
+       "SELECT table1 AS \"table\", table2 AS neighbour FROM fks UNION ALL SELECT table2, table1 FROM fks) x",
+       ids=("K-9",))
+def k9(t: Tables) -> DataFrame:
+    return K.fk_neighbours(K.foreign_keys(catalog(t)))
+
+
+@query("K10_groupable_columns", f"WITH {_COLS_SQL}, {_PK_SQL} SELECT '{DB}' AS db_id, c.\"table\", c.\"column\", "
+       "c.type FROM cols c ANTI JOIN pks p ON c.\"table\" = p.\"table\" AND c.\"column\" = p.\"column\"",
+       ids=("K-10",))
+def k10(t: Tables) -> DataFrame:
+    cat = catalog(t)
+    cols = K.columns_relation(cat).select("db_id", "table", "column", "type")
+    return K.groupable_columns(cols, K.primary_keys(cat))
