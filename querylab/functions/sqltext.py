@@ -96,7 +96,7 @@ def present(part) -> Column:
 
 
 def has_limit(main) -> Column:
-    return _c(main).rlike(r"(?i)\slimit\s+\d+").cast("int")
+    return _c(main).rlike(r"(?i)\slimit\s+(?:\d+|#VALUE#)").cast("int")
 
 
 def split_items(part) -> Column:

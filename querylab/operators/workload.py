@@ -29,10 +29,15 @@ LEVELS = ("easy", "medium", "hard", "extra")
 def clause_features(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     """Append the clause feature columns of ``text_col`` (C-1)."""
     p = prefix
-    outer = X.outer_text(F.col(text_col))
-    main = X.main_query(outer)
-    sel, frm, whr = X.clause(main, "select"), X.clause(main, "from"), X.clause(main, "where")
-    grp, hav, order = X.clause(main, "group"), X.clause(main, "having"), X.clause(main, "order")
+    keep = df.columns
+    # Staged projections: each regular expression runs once per row instead
+    # of being inlined into every feature that reads a clause.
+    s1 = df.withColumn("__outer", X.outer_text(F.col(text_col))).withColumn("__main", X.main_query(F.col("__outer")))
+    s2 = s1.select(*keep, "__outer", "__main",
+                   *[X.clause(F.col("__main"), c).alias(f"__{c}") for c in ("select", "from", "where", "group", "having", "order")])
+    outer, main = F.col("__outer"), F.col("__main")
+    sel, frm, whr = F.col("__select"), F.col("__from"), F.col("__where")
+    grp, hav, order = F.col("__group"), F.col("__having"), F.col("__order")
     n_between = X.count(whr, X.word("between"))
     n_in_all = X.count(whr, r"(?i)\bin\s*\(")
     n_in_sub = X.count(whr, r"(?i)\bin\s*\(#SUB#\)")
@@ -68,7 +73,7 @@ def clause_features(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame
         "has_group": X.present(grp),
         "select_star": (F.trim(sel) == "*").cast("int"),
     }
-    return df.withColumns({f"{p}{k}": v for k, v in cols.items()})
+    return s2.select(*keep, *[v.alias(f"{p}{k}") for k, v in cols.items()])
 
 
 # ------------------------------------------------- C-2 components, C-3 hardness

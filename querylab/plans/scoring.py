@@ -1 +1,300 @@
-"""Registered queries (filled in below)."""
+"""Scoring queries (E-9..E-20, E-22, E-23) over the workload view and the
+conversation turns.
+
+For component scores the oracle derives gold/pred totals and 0/1 scores from
+the generator parameters (which clause the prediction perturbed), while Spark
+compares clause units cut from the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from querylab.functions import sqltext as X
+from querylab.operators import scoring as SC
+from querylab.plans.registry import query
+from querylab.plans.workload import TRUTH, TRUTH_WORK, WORK, _template_col, _template_sql, featured
+from querylab.sources import workload as W
+from querylab.tables import Tables
+
+# ------------------------------------------------------------ E-9 .. E-12
+
+_LIT = X.LITERAL.replace("'", "''")
+
+
+@query("E9_cleanup", WORK + """SELECT query_id, array_to_string(list_transform(string_split(pred_sql, ''''),
+  lambda p, i: CASE WHEN i % 2 = 1 THEN regexp_replace(regexp_replace(regexp_replace(p,
+      '([<>!])\\s+=', '\\1=', 'g'), '(?i)\\bdistinct\\s+', '', 'g'), '(?i)\\bvalue\\b', '1', 'g') ELSE p END),
+  '''') AS cleaned FROM w""", ids=("E-9",))
+def e9(t: Tables) -> DataFrame:
+    w = W.workload(t.spark, t.sf_dir)
+    return w.select("query_id", SC.cleanup(F.col("pred_sql")).alias("cleaned"))
+
+
+@query("E10_value_slots", WORK + f"""SELECT query_id,
+  array_to_string(regexp_extract_all(pred_sql, '({_LIT})', 1), '|') AS vals,
+  regexp_replace(pred_sql, '{_LIT}', '#VALUE#', 'g') AS slotted FROM w""", ids=("E-10",))
+def e10(t: Tables) -> DataFrame:
+    w = W.workload(t.spark, t.sf_dir)
+    vals, slotted = SC.value_slots(F.col("pred_sql"))
+    return w.select("query_id", F.array_join(vals, "|").alias("vals"), slotted.alias("slotted"))
+
+
+@query("E11_value_plugin_counts", WORK + f"""SELECT query_id, n_values, n_slots,
+  CAST(pow(n_values, n_slots) AS BIGINT) AS n_alternatives FROM (
+  SELECT query_id, CAST(len(list_distinct(regexp_extract_all(gold_sql, '({_LIT})', 1))) AS INT) AS n_values,
+         CAST(len(regexp_extract_all(pred_sql, '({_LIT})', 1)) AS INT) AS n_slots FROM w) x""", ids=("E-11",))
+def e11(t: Tables) -> DataFrame:
+    w = W.workload(t.spark, t.sf_dir)
+    vals, slots, n_alt = SC.plug_alternatives(F.col("gold_sql"), F.col("pred_sql"))
+    return w.select("query_id", F.size(vals).alias("n_values"), slots.alias("n_slots"), n_alt.alias("n_alternatives"))
+
+
+@query("E11_value_plugins", None, ids=("E-11",))
+def e11_rows(t: Tables) -> DataFrame:
+    """Every predicted query with gold values plugged into its slots (row
+    count = sum of |values| ^ slots; checked against E11 counts in tests)."""
+    w = W.workload(t.spark, t.sf_dir)
+    return SC.plugged_predictions(w, "gold_sql", "pred_sql", ["query_id"])
+
+
+_CMP = SC.COMPARISON.replace("'", "''")
+_BTW = SC.BETWEEN.replace("'", "''")
+
+
+@query("E12_typed_comparisons", WORK + f"""
+SELECT query_id, lower(c) AS "column", lower(o) AS op, v AS value FROM (
+  SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 1)) AS c,
+         UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 2)) AS o,
+         UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 3)) AS v FROM w) a
+UNION ALL
+SELECT query_id, lower(c), '>=', v FROM (
+  SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)) AS c,
+         UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 2)) AS v FROM w) b
+UNION ALL
+SELECT query_id, lower(c), '<=', v FROM (
+  SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)) AS c,
+         UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 3)) AS v FROM w) d""", ids=("E-12",))
+def e12(t: Tables) -> DataFrame:
+    return SC.typed_comparisons(W.workload(t.spark, t.sf_dir), "gold_sql", ["query_id"])
+
+
+# ------------------------------------------------------------ E-13 .. E-15
+
+def _fk_map(t: Tables) -> dict[str, str]:
+    """Column -> representative of its FK-equivalence class (from the
+    catalog key graph: a handful of metadata rows)."""
+    from querylab.plans.catalog import FKS
+    parent: dict[str, str] = {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+    for _, c1, _, c2 in FKS:
+        ra, rb = find(c1), find(c2)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    return {c: find(c) for c in parent}
+
+
+def unit_pairs(t: Tables) -> DataFrame:
+    w = W.workload(t.spark, t.sf_dir)
+    m = _fk_map(t)
+    w = w.select("query_id", "db_id", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
+                 SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
+    w = SC.with_units(SC.with_units(w, "gold", "g"), "pred", "p")
+    return w.select("query_id", "db_id", "g", "p")
+
+
+def scores(t: Tables) -> DataFrame:
+    return SC.component_scores(unit_pairs(t), ["query_id"])
+
+
+# Ground truth of the component scores from the generator parameters.
+_P = W.SHAPE_PARAMS
+_V = W.VARIANT
+_s, _w, _g, _o, _x = (f"({_P[k]})" for k in "swgox")
+_s2 = f"(CASE WHEN {_V} = 4 THEN ({_s} + 1) % 6 ELSE {_s} END)"
+_w2 = f"(CASE WHEN {_V} = 3 THEN 0 ELSE {_w} END)"
+_o2 = f"(CASE WHEN {_V} = 2 THEN 0 ELSE {_o} END)"
+
+
+def _nsel(s):
+    return f"(CASE WHEN {s} IN (2, 4) THEN 2 ELSE 1 END)"
+
+
+def _nwhere(w):
+    return f"(CASE WHEN {w} IN (4, 5) THEN 2 WHEN {w} >= 2 THEN 1 ELSE 0 END)"
+
+
+def _ao(w):
+    return f"(CASE {w} WHEN 4 THEN 'and' WHEN 5 THEN 'or' ELSE '' END)"
+
+
+def _kw(w, g, o, x):
+    b = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
+    return (f"({b(f'{w} >= 2')} + {b(f'{w} = 5')} + {b(f'{w} = 7')} + {b(f'{w} IN (8, 10)')} + {b(f'{w} = 10')}"
+            f" + {b(f'{g} >= 4')} + {b(f'{g} IN (5, 6)')} + 2 * {b(f'{o} BETWEEN 8 AND 11')}"
+            f" + {b(f'{o} IN (10, 12)')} + {b(f'{x} <= 2')})")
+
+
+_WHERE_EQ = f"({_w} = {_w2} OR ({_w} < 2 AND {_w2} < 2))"
+_KW_EQ = f"({_WHERE_EQ} AND ({_o} = {_o2} OR ({_o} < 8 AND {_o2} < 8)))"
+_AO_EQ = f"({_ao(_w)} = {_ao(_w2)})"
+_ORDER_OK = f"(NOT ({_o} BETWEEN 8 AND 11 AND {_o2} <> {_o}))"
+_NGROUP = f"(CASE {_g} WHEN 4 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END)"
+_HASG = f"(CASE WHEN {_g} >= 4 THEN 1 ELSE 0 END)"
+_HASX = f"(CASE WHEN {_x} <= 2 THEN 1 ELSE 0 END)"
+
+
+def _i(c):
+    return f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
+
+
+_TRUTH_ROWS = {
+    "select": (_nsel(_s), _nsel(_s2), _i(f"{_s} = {_s2}")),
+    "select_no_agg": (_nsel(_s), _nsel(_s2), _i(f"{_s} = {_s2}")),
+    "where": (_nwhere(_w), _nwhere(_w2), _i(_WHERE_EQ)),
+    "where_no_op": (_nwhere(_w), _nwhere(_w2), _i(_WHERE_EQ)),
+    "group_no_having": (_NGROUP, _NGROUP, "1"),
+    "group": (_HASG, _HASG, "1"),
+    "order": (_i(f"{_o} BETWEEN 8 AND 11"), _i(f"{_o2} BETWEEN 8 AND 11"), _i(_ORDER_OK)),
+    "and_or": (f"(CASE WHEN {_AO_EQ} THEN 1 ELSE {_i(_ao(_w) + ' <> ' + chr(39) * 2)} END)",
+               f"(CASE WHEN {_AO_EQ} THEN 1 ELSE {_i(_ao(_w2) + ' <> ' + chr(39) * 2)} END)", _i(_AO_EQ)),
+    "iuen": (_HASX, _HASX, "1"),
+    "keywords": (_kw(_w, _g, _o, _x), _kw(_w2, _g, _o2, _x), _i(_KW_EQ)),
+}
+_SCORES_SQL = " UNION ALL ".join(
+    f"SELECT event_id AS query_id, '{k}' AS component, CAST({a} AS INT) AS label_total, CAST({b} AS INT) AS pred_total, "
+    f"CAST({c} AS INT) AS score FROM events" for k, (a, b, c) in _TRUTH_ROWS.items())
+_EXACT_SQL = (f"SELECT event_id AS query_id, {_i(f'{_s} = {_s2} AND {_WHERE_EQ} AND {_ORDER_OK} AND {_AO_EQ} AND {_KW_EQ}')}"
+              " AS exact FROM events")
+
+
+@query("E13_component_scores", _SCORES_SQL, ids=("E-13",))
+def e13(t: Tables) -> DataFrame:
+    return scores(t)
+
+
+@query("E14_exact_match", _EXACT_SQL, ids=("E-14",))
+def e14(t: Tables) -> DataFrame:
+    u = unit_pairs(t)
+    return SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
+
+
+_PARTIAL_SQL = f"""{TRUTH}, s AS ({_SCORES_SQL}),
+j AS (SELECT t.hardness AS level, s.* FROM s JOIN t USING (query_id)),
+agg AS (SELECT level, component,
+          AVG(CASE WHEN pred_total > 0 THEN score END) AS acc, AVG(CASE WHEN label_total > 0 THEN score END) AS rec
+        FROM j GROUP BY level, component
+        UNION ALL
+        SELECT 'all', component, AVG(CASE WHEN pred_total > 0 THEN score END),
+               AVG(CASE WHEN label_total > 0 THEN score END) FROM j GROUP BY component),
+f AS (SELECT level, component, COALESCE(acc, 0.0) AS acc, COALESCE(rec, 0.0) AS rec FROM agg)
+SELECT level, component, acc, rec,
+  CASE WHEN acc = 0 AND rec = 0 THEN 1.0 ELSE 2.0 * acc * rec / (acc + rec) END AS f1 FROM f"""
+
+
+@query("E15_partial_rollup", _PARTIAL_SQL, ids=("E-15",))
+def e15(t: Tables) -> DataFrame:
+    lv = featured(t).select("query_id", "hardness")
+    return SC.partial_rollup(scores(t).join(lv, "query_id"), "hardness").select("level", "component", "acc", "rec", "f1")
+
+
+@query("E15_exact_rollup", f"""{TRUTH}, e AS ({_EXACT_SQL})
+SELECT COALESCE(hardness, 'all') AS level, COUNT(*) AS n, AVG(CAST(exact AS DOUBLE)) AS exact
+FROM t JOIN e USING (query_id) GROUP BY ROLLUP (hardness)""", ids=("E-15", "E-7"))
+def e15_exact(t: Tables) -> DataFrame:
+    u = unit_pairs(t)
+    ex = SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
+    lv = featured(t).select("query_id", "hardness")
+    return SC.exact_rollup(ex.join(lv, "query_id"), "hardness", ["exact"]).select("level", "n", "exact")
+
+
+# ------------------------------------------------------------------ E-16
+
+_TURN_FLAG_COLS = ["((conv_id + turn) % 4 <> 0) AS exec", "((conv_id * 3 + turn) % 5 <> 0) AS exact"]
+_TURN_FLAGS = ", ".join(_TURN_FLAG_COLS)
+
+
+@query("E16_turn_accuracy", f"""WITH tr AS (SELECT conv_id, turn + 1 AS turn, {_TURN_FLAGS} FROM conversations)
+SELECT CASE WHEN turn <= 4 THEN 'turn ' || CAST(turn AS VARCHAR) ELSE 'turn > 4' END AS bucket, COUNT(*) AS n,
+       AVG(CAST(exec AS DOUBLE)) AS exec, AVG(CAST(exact AS DOUBLE)) AS exact FROM tr GROUP BY 1
+UNION ALL
+SELECT 'joint_all', COUNT(*), AVG(CAST(e AS DOUBLE)), AVG(CAST(x AS DOUBLE)) FROM (
+  SELECT conv_id, BOOL_AND(exec) AS e, BOOL_AND(exact) AS x FROM tr GROUP BY conv_id) s""", ids=("E-16",))
+def e16(t: Tables) -> DataFrame:
+    """Per-turn and joint (all turns right) accuracy over conversation turns
+    with execution / exact flags derived from (conv_id, turn)."""
+    tr = t.conversations.selectExpr("conv_id", "turn + 1 AS turn", *_TURN_FLAG_COLS)
+    return SC.turn_accuracy(tr, "conv_id", "turn", ["exec", "exact"])
+
+
+# ---------------------------------------------------------- E-17 .. E-20
+
+@query("E17_success_by_iteration", WORK + """SELECT db_id, iter - 2 AS iteration, COUNT(*) AS n_success
+FROM w WHERE flag GROUP BY db_id, iter
+UNION ALL SELECT 'all', iter - 2, COUNT(*) FROM w WHERE flag GROUP BY iter""", ids=("E-17",))
+def e17(t: Tables) -> DataFrame:
+    return SC.success_by_iteration(W.workload(t.spark, t.sf_dir), "db_id", "iter", "flag")
+
+
+@query("E18_rate_by_hardness", TRUTH_WORK + """SELECT COALESCE(hardness, 'total') AS level, COUNT(*) AS n,
+COUNT_IF(flag) AS n_success, COUNT_IF(flag) / COUNT(*) AS rate FROM t JOIN w USING (query_id) GROUP BY ROLLUP (hardness)""",
+       ids=("E-18",))
+def e18(t: Tables) -> DataFrame:
+    return SC.rate_by_level(featured(t), "hardness", "flag").select("level", "n", "n_success", "rate")
+
+
+@query("E19_summary", WORK + """SELECT COUNT(*) AS n, COUNT_IF(flag) AS n_success, COUNT_IF(NOT flag) AS n_failed,
+FLOOR((COUNT_IF(flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS success_pct,
+FLOOR((COUNT_IF(NOT flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS fail_pct FROM w""", ids=("E-19",))
+def e19(t: Tables) -> DataFrame:
+    return SC.summary_rows(W.workload(t.spark, t.sf_dir), "flag")
+
+
+@query("E20_cumulative_success", TRUTH_WORK + """, j AS (SELECT hardness, iter, flag FROM t JOIN w USING (query_id)),
+per AS (SELECT hardness, iter, COUNT_IF(flag) AS n_success FROM j GROUP BY hardness, iter
+        UNION ALL SELECT 'all', iter, COUNT_IF(flag) FROM j GROUP BY iter),
+sz AS (SELECT hardness, COUNT(*) AS level_size FROM j GROUP BY hardness UNION ALL SELECT 'all', COUNT(*) FROM j)
+SELECT hardness, iter, n_success, level_size,
+  SUM(n_success) OVER (PARTITION BY hardness ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_success,
+  SUM(n_success) OVER (PARTITION BY hardness ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / level_size AS cum_rate
+FROM per JOIN sz USING (hardness)""", ids=("E-20",))
+def e20(t: Tables) -> DataFrame:
+    out = SC.cumulative_success(featured(t), "hardness", "iter", "flag")
+    return out.select("hardness", "iter", "n_success", "level_size",
+                      F.col("cum_success").cast("bigint").alias("cum_success"), "cum_rate")
+
+
+# ---------------------------------------------------------- E-22 / E-23
+
+_FAIL_SQL = f"""{TRUTH_WORK}, e AS ({_EXACT_SQL}),
+fail AS (SELECT DISTINCT model, db_id, {_template_sql('gold_sql')} AS gold_template FROM w JOIN e USING (query_id)
+         WHERE exact = 0)"""
+
+
+def failures(t: Tables) -> DataFrame:
+    u = unit_pairs(t)
+    ex = SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
+    w = W.workload(t.spark, t.sf_dir)
+    return (w.join(ex.filter(F.col("exact") == 0), "query_id")
+            .select("model", "db_id", _template_col(t, "gold_sql").alias("gold_template")).distinct())
+
+
+@query("E22_common_failures", _FAIL_SQL + " SELECT db_id, gold_template FROM fail GROUP BY db_id, gold_template "
+       "HAVING COUNT(DISTINCT model) = 3", ids=("E-22",))
+def e22(t: Tables) -> DataFrame:
+    """Failed (db, gold template) pairs shared by all three models."""
+    return SC.common_failures(failures(t), ["db_id", "gold_template"], "model", 3)
+
+
+@query("E23_unique_failures", _FAIL_SQL + ", common AS (SELECT db_id, gold_template FROM fail GROUP BY db_id, "
+       "gold_template HAVING COUNT(DISTINCT model) = 3) SELECT f.model, f.db_id, f.gold_template FROM fail f "
+       "ANTI JOIN common c ON f.db_id = c.db_id AND f.gold_template = c.gold_template", ids=("E-23",))
+def e23(t: Tables) -> DataFrame:
+    k = ["db_id", "gold_template"]
+    f = failures(t)
+    return SC.unique_failures(f, SC.common_failures(f, k, "model", 3), k)
