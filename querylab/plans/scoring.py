@@ -116,9 +116,15 @@ def scores(t: Tables) -> DataFrame:
 _P = W.SHAPE_PARAMS
 _V = W.VARIANT
 _s, _w, _g, _o, _x = (f"({_P[k]})" for k in "swgox")
-_s2 = f"(CASE WHEN {_V} = 4 THEN ({_s} + 1) % 6 ELSE {_s} END)"
-_w2 = f"(CASE WHEN {_V} = 3 THEN 0 ELSE {_w} END)"
-_o2 = f"(CASE WHEN {_V} = 2 THEN 0 ELSE {_o} END)"
+
+
+def _perturbed(v: str):
+    return (f"(CASE WHEN {v} = 4 THEN ({_s} + 1) % 6 ELSE {_s} END)",
+            f"(CASE WHEN {v} = 3 THEN 0 ELSE {_w} END)",
+            f"(CASE WHEN {v} = 2 THEN 0 ELSE {_o} END)")
+
+
+_s2, _w2, _o2 = _perturbed(_V)
 
 
 def _nsel(s):
@@ -169,8 +175,16 @@ _TRUTH_ROWS = {
 _SCORES_SQL = " UNION ALL ".join(
     f"SELECT event_id AS query_id, '{k}' AS component, CAST({a} AS INT) AS label_total, CAST({b} AS INT) AS pred_total, "
     f"CAST({c} AS INT) AS score FROM events" for k, (a, b, c) in _TRUTH_ROWS.items())
-_EXACT_SQL = (f"SELECT event_id AS query_id, {_i(f'{_s} = {_s2} AND {_WHERE_EQ} AND {_ORDER_OK} AND {_AO_EQ} AND {_KW_EQ}')}"
-              " AS exact FROM events")
+def _exact_expr(v: str) -> str:
+    s2, w2, o2 = _perturbed(v)
+    where_eq = f"({_w} = {w2} OR ({_w} < 2 AND {w2} < 2))"
+    kw_eq = f"({where_eq} AND ({_o} = {o2} OR ({_o} < 8 AND {o2} < 8)))"
+    ao_eq = f"({_ao(_w)} = {_ao(w2)})"
+    order_ok = f"(NOT ({_o} BETWEEN 8 AND 11 AND {o2} <> {_o}))"
+    return _i(f"{_s} = {s2} AND {where_eq} AND {order_ok} AND {ao_eq} AND {kw_eq}")
+
+
+_EXACT_SQL = f"SELECT event_id AS query_id, {_exact_expr(_V)} AS exact FROM events"
 
 
 @query("E13_component_scores", _SCORES_SQL, ids=("E-13",))
@@ -271,30 +285,36 @@ def e20(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------- E-22 / E-23
 
-_FAIL_SQL = f"""{TRUTH_WORK}, e AS ({_EXACT_SQL}),
-fail AS (SELECT DISTINCT model, db_id, {_template_sql('gold_sql')} AS gold_template FROM w JOIN e USING (query_id)
-         WHERE exact = 0)"""
+_FAIL_SQL = f"""WITH m AS ({W.multi_model_sql()}),
+e AS (SELECT event_id AS query_id, model, {_exact_expr(W.MODEL_VARIANT)} AS exact
+      FROM events, (SELECT UNNEST(range({W.N_MODELS})) AS model) mm),
+fail AS (SELECT DISTINCT m.model, m.db_id, m.gold_sql FROM m JOIN e USING (query_id, model) WHERE exact = 0)"""
 
 
 def failures(t: Tables) -> DataFrame:
-    u = unit_pairs(t)
-    ex = SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
-    w = W.workload(t.spark, t.sf_dir)
-    return (w.join(ex.filter(F.col("exact") == 0), "query_id")
-            .select("model", "db_id", _template_col(t, "gold_sql").alias("gold_template")).distinct())
+    """(model, db, gold query) for every prediction that is not an exact match."""
+    mw = W.multi_model_workload(t.spark, t.sf_dir)
+    m = _fk_map(t)
+    w = mw.select("query_id", "model", "db_id", "gold_sql", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
+                  SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
+    u = SC.with_units(SC.with_units(w, "gold", "g"), "pred", "p")
+    keys = ["query_id", "model"]
+    ex = SC.exact_match(SC.component_scores(u, keys), u, keys)
+    return (u.select(*keys, "db_id", "gold_sql").join(ex.filter(F.col("exact") == 0), keys)
+            .select("model", "db_id", "gold_sql").distinct())
 
 
-@query("E22_common_failures", _FAIL_SQL + " SELECT db_id, gold_template FROM fail GROUP BY db_id, gold_template "
+@query("E22_common_failures", _FAIL_SQL + " SELECT db_id, gold_sql FROM fail GROUP BY db_id, gold_sql "
        "HAVING COUNT(DISTINCT model) = 3", ids=("E-22",))
 def e22(t: Tables) -> DataFrame:
     """Failed (db, gold template) pairs shared by all three models."""
-    return SC.common_failures(failures(t), ["db_id", "gold_template"], "model", 3)
+    return SC.common_failures(failures(t), ["db_id", "gold_sql"], "model", 3)
 
 
-@query("E23_unique_failures", _FAIL_SQL + ", common AS (SELECT db_id, gold_template FROM fail GROUP BY db_id, "
-       "gold_template HAVING COUNT(DISTINCT model) = 3) SELECT f.model, f.db_id, f.gold_template FROM fail f "
-       "ANTI JOIN common c ON f.db_id = c.db_id AND f.gold_template = c.gold_template", ids=("E-23",))
+@query("E23_unique_failures", _FAIL_SQL + ", common AS (SELECT db_id, gold_sql FROM fail GROUP BY db_id, "
+       "gold_sql HAVING COUNT(DISTINCT model) = 3) SELECT f.model, f.db_id, f.gold_sql FROM fail f "
+       "ANTI JOIN common c ON f.db_id = c.db_id AND f.gold_sql = c.gold_sql", ids=("E-23",))
 def e23(t: Tables) -> DataFrame:
-    k = ["db_id", "gold_template"]
+    k = ["db_id", "gold_sql"]
     f = failures(t)
     return SC.unique_failures(f, SC.common_failures(f, k, "model", 3), k)

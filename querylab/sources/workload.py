@@ -113,16 +113,20 @@ def query_text_sql(p: dict, dialect: str) -> str:
 VARIANT = "((event_id * 7 + user_id) % 5)"
 
 
-def pred_params() -> dict:
+# With several models, model m predicts variant (event_id * 7 + user_id + m) % 5.
+MODEL_VARIANT = "((event_id * 7 + user_id + model) % 5)"
+
+
+def pred_params(variant: str = VARIANT) -> dict:
     b = SHAPE_PARAMS
     return {
-        "s": f"CASE WHEN {VARIANT} = 4 THEN ({b['s']} + 1) % 6 ELSE {b['s']} END",
+        "s": f"CASE WHEN {variant} = 4 THEN ({b['s']} + 1) % 6 ELSE {b['s']} END",
         "j": b["j"],
-        "w": f"CASE WHEN {VARIANT} = 3 THEN 0 ELSE {b['w']} END",
+        "w": f"CASE WHEN {variant} = 3 THEN 0 ELSE {b['w']} END",
         "g": b["g"],
-        "o": f"CASE WHEN {VARIANT} = 2 THEN 0 ELSE {b['o']} END",
+        "o": f"CASE WHEN {variant} = 2 THEN 0 ELSE {b['o']} END",
         "x": b["x"],
-        "L": f"CASE WHEN {VARIANT} = 1 THEN user_id + 1 ELSE user_id END",
+        "L": f"CASE WHEN {variant} = 1 THEN user_id + 1 ELSE user_id END",
     }
 
 
@@ -159,6 +163,28 @@ def workload_sql() -> str:
     return "SELECT " + ",\n  ".join(workload_columns("duckdb")) + "\nFROM events"
 
 
+N_MODELS = 3
+
+
+def _multi_columns(dialect: str) -> list[str]:
+    return ["event_id AS query_id", "event_type AS db_id", "model",
+            f"{query_text_sql(SHAPE_PARAMS, dialect)} AS gold_sql",
+            f"{query_text_sql(pred_params(MODEL_VARIANT), dialect)} AS pred_sql"]
+
+
+def multi_model_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gold query predicted by each of N_MODELS models (one row per
+    event and model; the model list is exploded in place, no join)."""
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    ev = ev.selectExpr("*", f"explode(sequence(0, {N_MODELS - 1})) AS model")
+    return ev.selectExpr(*_multi_columns("spark"))
+
+
+def multi_model_sql() -> str:
+    return ("SELECT " + ",\n  ".join(_multi_columns("duckdb"))
+            + f"\nFROM events, (SELECT UNNEST(range({N_MODELS})) AS model) m")
+
+
 # ------------------------------------------------ ground truth from moduli
 
 def truth_columns(prefix: str = "") -> dict[str, str]:
