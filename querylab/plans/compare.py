@@ -261,3 +261,119 @@ def e4(t: Tables) -> DataFrame:
 @query("E5_partial_answers", _proj(["pair", "partial"]), ids=("E-5",))
 def e5(t: Tables) -> DataFrame:
     return compare_pairs(t).select("pair", "partial")
+
+
+# ------------------------------------------------- E-6 .. E-8 test suites
+
+# Each "database" is one event_type partition of events; a query runs over
+# all databases at once with the database as a key column.
+SUITE_GOLD = "SELECT event_type AS db, user_id, COUNT(*) AS n FROM events GROUP BY event_type, user_id"
+SUITE_PREDS = [
+    ("same_count", "A", "SELECT event_type AS db, user_id, COUNT(event_id) AS n FROM events GROUP BY event_type, user_id"),
+    ("swapped_columns", "A", "SELECT event_type AS db, COUNT(*) AS n, user_id FROM events GROUP BY event_type, user_id"),
+    ("drops_rows_in_one_db", "B", "SELECT event_type AS db, user_id, COUNT(*) AS n FROM events "
+     "WHERE NOT (event_type = 'error' AND value > 400) GROUP BY event_type, user_id"),
+    ("wrong_measure", "B", "SELECT event_type AS db, user_id, SUM(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS n "
+     "FROM events GROUP BY event_type, user_id"),
+    ("missing_db", "C", "SELECT event_type AS db, user_id, COUNT(*) AS n FROM events WHERE event_type <> 'view' "
+     "GROUP BY event_type, user_id"),
+    ("not_found", "C", None),
+]
+
+
+def suite_per_db(t: Tables, preds=SUITE_PREDS) -> DataFrame:
+    """Equality verdict per (pair, database)."""
+    t.register_views()
+    gold = t.spark.sql(SUITE_GOLD)
+    parts = []
+    for name, _, sql in preds:
+        if sql is None:
+            continue
+        parts.append(C.result_rows(gold, C.GOLD, {"pair": name}, key_cols=["db"]))
+        parts.append(C.result_rows(t.spark.sql(sql), C.PRED, {"pair": name}, key_cols=["db"]))
+    res = parts[0]
+    for x in parts[1:]:
+        res = res.unionByName(x)
+    res = res.persist().checkpoint(eager=True)
+    return C.compare_results(res, ["pair", "db"])
+
+
+def suite_pairs(t: Tables, preds=SUITE_PREDS) -> DataFrame:
+    return t.spark.createDataFrame([(n, m, "ok" if s else "notfound") for n, m, s in preds],
+                                   "pair string, model string, status string")
+
+
+def suite_verdicts(t: Tables, preds=SUITE_PREDS) -> DataFrame:
+    """E-6: pass only when equal on every database; 'Not Found' scores 0."""
+    per_pair = C.test_suite_verdict(suite_per_db(t, preds), ["pair"])
+    return (suite_pairs(t, preds).join(per_pair, "pair", "left")
+            .select("pair", "model",
+                    (F.coalesce("exec_pass", F.lit(False)) & (F.col("status") == "ok")).alias("exec_pass"),
+                    F.coalesce("n_dbs", F.lit(0)).cast("bigint").alias("n_dbs"),
+                    F.coalesce("n_failed_dbs", F.lit(0)).cast("bigint").alias("n_failed_dbs")))
+
+
+def _suite_oracle() -> str:
+    def canon(sql, order):
+        cols = ", ".join(f"CAST({c} AS DOUBLE) AS k{i}" for i, c in enumerate(order))
+        return f"SELECT db, {cols} FROM ({sql}) s"
+    gold = canon(SUITE_GOLD, ["user_id", "n"])
+    rows = []
+    for name, model, sql in SUITE_PREDS:
+        if sql is None:
+            rows.append(f"SELECT '{name}' AS pair, '{model}' AS model, FALSE AS exec_pass, 0 AS n_dbs, 0 AS n_failed_dbs")
+            continue
+        head = sql.split(" FROM ")[0]
+        outs = [c.strip().split(" AS ")[-1] for c in head.replace("SELECT ", "", 1).split(", ")][1:]
+        renamed = f"SELECT db, {outs[0]} AS a, {outs[1]} AS b FROM ({sql}) q"
+        perms = []
+        for order in (["a", "b"], ["b", "a"]):
+            p = canon(renamed, order)
+            perms.append(f"(SELECT db, COUNT(*) AS mm FROM (({gold} EXCEPT ALL {p}) UNION ALL ({p} EXCEPT ALL {gold})) d "
+                         f"GROUP BY db)")
+        dbs = f"(SELECT db FROM ({SUITE_GOLD}) x UNION SELECT db FROM ({sql}) y)"
+        per_db = (f"SELECT dbs.db, (COALESCE(p0.mm, 0) = 0 OR COALESCE(p1.mm, 0) = 0) AS eq FROM {dbs} dbs "
+                  f"LEFT JOIN {perms[0]} p0 ON dbs.db = p0.db LEFT JOIN {perms[1]} p1 ON dbs.db = p1.db")
+        rows.append(f"SELECT '{name}' AS pair, '{model}' AS model, BOOL_AND(eq) AS exec_pass, COUNT(*) AS n_dbs, "
+                    f"COUNT_IF(NOT eq) AS n_failed_dbs FROM ({per_db}) v")
+    return "\nUNION ALL\n".join(rows)
+
+
+_SUITE_SQL = _suite_oracle()
+
+
+@query("E6_test_suite_verdicts", _SUITE_SQL, ids=("E-6",))
+def e6(t: Tables) -> DataFrame:
+    """Predictions compared with the gold query on every database (event
+    type); one failing database, an execution error or 'Not Found' fails."""
+    return suite_verdicts(t)
+
+
+@query("E7_accuracy_by_model", f"SELECT COALESCE(model, 'all') AS model, COUNT(*) AS n, COUNT_IF(exec_pass) AS n_pass, "
+       f"AVG(CAST(exec_pass AS DOUBLE)) AS acc FROM ({_SUITE_SQL}) v GROUP BY ROLLUP (model)", ids=("E-7",))
+def e7(t: Tables) -> DataFrame:
+    acc = C.accuracy(suite_verdicts(t), ["model"])
+    return acc.select(F.coalesce("model", F.lit("all")).alias("model"), "n", "n_pass", "acc")
+
+
+@query("E8_cached_verdicts", f"SELECT pair, exec_pass, model = 'A' AS from_cache FROM ({_SUITE_SQL}) v", ids=("E-8",))
+def e8(t: Tables) -> DataFrame:
+    """Verdicts of model A's pairs come from a cache table written by an
+    earlier run (parquet in the shared checkpoint folder); only the misses
+    are executed."""
+    from querylab.session import scratch_path
+    import uuid
+    cached_preds = [p for p in SUITE_PREDS if p[1] == "A"]
+    path = scratch_path(t.spark, f"verdict-cache-{uuid.uuid4().hex}")
+    suite_verdicts(t, cached_preds).select("pair", "exec_pass").write.mode("overwrite").parquet(path)
+    cache = t.spark.read.parquet(path)
+    pairs = suite_pairs(t).select("pair")
+
+    def compute(missing: DataFrame) -> DataFrame:
+        # The missing pair names are a handful of query ids; each one is a
+        # query to execute, so the list is taken to the driver.
+        names = {r["pair"] for r in missing.select("pair").collect()}
+        todo = [p for p in SUITE_PREDS if p[0] in names]
+        return suite_verdicts(t, todo).select("pair", "exec_pass")
+
+    return C.with_cached_verdicts(pairs, cache, ["pair"], compute).select("pair", "exec_pass", "from_cache")
