@@ -1 +1 @@
-"""Registered queries (filled in below)."""
+"""Text similarity (E-24 ROUGE, E-25 BLEU): filled in below."""
