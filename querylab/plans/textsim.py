@@ -1 +1,116 @@
-"""Text similarity (E-24 ROUGE, E-25 BLEU): filled in below."""
+"""Text similarity between benchmark items (references) and the documents
+that share a word 8-gram with them (candidates): E-24 ROUGE, E-25 BLEU."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from querylab.operators import textsim as TS
+from querylab.plans.registry import query
+from querylab.tables import Tables
+
+N_SHARED = 8
+
+
+def _toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _sp(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
+
+
+def _grams(tok: str, n: int) -> str:
+    return (f"CASE WHEN len({tok}) >= {n} THEN list_transform(range(0, len({tok}) - {n} + 1), "
+            f"lambda i: array_to_string({tok}[i + 1:i + {n}], ' ')) ELSE [] END")
+
+
+_PAIRS_CTE = f"""bt AS (SELECT item_id, {_toks('text')} AS tok FROM benchmark),
+dt AS (SELECT doc_id, {_toks('text')} AS tok FROM documents),
+bg AS (SELECT DISTINCT item_id, UNNEST({_grams('tok', N_SHARED)}) AS gram FROM bt),
+dg AS (SELECT DISTINCT doc_id, UNNEST({_grams('tok', N_SHARED)}) AS gram FROM dt),
+pairs AS (SELECT DISTINCT item_id, doc_id FROM bg JOIN dg USING (gram))"""
+
+
+def _overlap_cte(n: int, name: str, tok=_toks) -> str:
+    return f"""{name}_r AS (SELECT item_id, gram, COUNT(*) AS cr FROM (SELECT item_id, UNNEST({_grams('tk', n)}) AS gram
+                 FROM (SELECT item_id, {tok('text')} AS tk FROM benchmark)) GROUP BY ALL),
+{name}_c AS (SELECT doc_id, gram, COUNT(*) AS cc FROM (SELECT doc_id, UNNEST({_grams('tk', n)}) AS gram
+                 FROM (SELECT doc_id, {tok('text')} AS tk FROM documents)) GROUP BY ALL),
+{name} AS (SELECT p.item_id, p.doc_id,
+  COALESCE((SELECT SUM(LEAST(cr, cc)) FROM {name}_r r JOIN {name}_c c USING (gram)
+            WHERE r.item_id = p.item_id AND c.doc_id = p.doc_id), 0) AS overlap,
+  COALESCE((SELECT SUM(cr) FROM {name}_r r WHERE r.item_id = p.item_id), 0) AS ref_total,
+  COALESCE((SELECT SUM(cc) FROM {name}_c c WHERE c.doc_id = p.doc_id), 0) AS cand_total FROM pairs p)"""
+
+
+def _prf_sql(prefix: str) -> str:
+    p = "CASE WHEN cand_total > 0 THEN overlap / cand_total ELSE 0.0 END"
+    r = "CASE WHEN ref_total > 0 THEN overlap / ref_total ELSE 0.0 END"
+    return (f"{p} AS {prefix}_p, {r} AS {prefix}_r, "
+            f"CASE WHEN ({p}) + ({r}) > 0 THEN (2.0 * ({p})) * ({r}) / (({p}) + ({r})) ELSE 0.0 END AS {prefix}_f")
+
+
+@query("E24_candidate_pairs", f"WITH {_PAIRS_CTE} SELECT item_id, doc_id FROM pairs", ids=("E-24",))
+def e24_pairs(t: Tables) -> DataFrame:
+    """Benchmark items and the documents sharing a word 8-gram with them."""
+    return TS.candidate_pairs(t.benchmark, "item_id", t.documents, "doc_id", n=N_SHARED)
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return TS.candidate_pairs(t.benchmark, "item_id", t.documents, "doc_id", n=N_SHARED)
+
+
+@query("E24_rouge1", f"WITH {_PAIRS_CTE}, {_overlap_cte(1, 'o')} SELECT item_id, doc_id, overlap, ref_total, "
+       f"cand_total, {_prf_sql('rouge1')} FROM o", ids=("E-24",))
+def e24_r1(t: Tables) -> DataFrame:
+    return TS.rouge_n(_pairs(t), t.benchmark, "item_id", t.documents, "doc_id", 1)
+
+
+@query("E24_rouge2", f"WITH {_PAIRS_CTE}, {_overlap_cte(2, 'o')} SELECT item_id, doc_id, overlap, ref_total, "
+       f"cand_total, {_prf_sql('rouge2')} FROM o", ids=("E-24",))
+def e24_r2(t: Tables) -> DataFrame:
+    return TS.rouge_n(_pairs(t), t.benchmark, "item_id", t.documents, "doc_id", 2)
+
+
+@query("E24_rougeL", None, ids=("E-24",))
+def e24_rl(t: Tables) -> DataFrame:
+    """ROUGE-L from the whole-sequence LCS (checked against a dynamic
+    programming brute force in tests/test_textsim.py)."""
+    return TS.rouge_l(_pairs(t), t.benchmark, "item_id", t.documents, "doc_id")
+
+
+def _bleu_cte() -> str:
+    parts = [_overlap_cte(n, f"b{n}", _sp) for n in range(1, 5)]
+    union = " UNION ALL ".join(f"SELECT item_id, doc_id, {n} AS n, overlap AS clipped, cand_total AS cand_grams "
+                               f"FROM b{n}" for n in range(1, 5))
+    lens = (f"lens AS (SELECT p.item_id, p.doc_id, len({_sp('b.text')}) AS ref_len, len({_sp('d.text')}) AS cand_len "
+            "FROM pairs p JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))")
+    return ", ".join(parts) + f", cnt AS ({union}), {lens}"
+
+
+def _bp_sql(c: str, r: str) -> str:
+    return f"(CASE WHEN {c} > {r} THEN 1.0 WHEN {c} = 0 THEN 0.0 ELSE EXP(1.0 - {r} / {c}) END)"
+
+
+@query("E25_sentence_bleu", f"""WITH {_PAIRS_CTE}, {_bleu_cte()},
+g AS (SELECT item_id, doc_id, SUM(CASE WHEN cand_grams > 0 THEN LN(clipped / cand_grams) END) AS logsum,
+             MIN(clipped) AS min_clipped FROM cnt GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, ROUND(CASE WHEN min_clipped = 0 THEN 0.0
+  ELSE {_bp_sql('cand_len', 'ref_len')} * EXP(logsum / 4) END, 6) AS bleu
+FROM g JOIN lens USING (item_id, doc_id)""", ids=("E-25",))
+def e25(t: Tables) -> DataFrame:
+    c = TS.bleu_counts(_pairs(t), t.benchmark, "item_id", t.documents, "doc_id")
+    return TS.sentence_bleu(c, ["item_id", "doc_id"])
+
+
+@query("E25_corpus_bleu", f"""WITH {_PAIRS_CTE}, {_bleu_cte()},
+per_n AS (SELECT n, SUM(clipped) AS m, SUM(cand_grams) AS t FROM cnt GROUP BY n),
+tot AS (SELECT SUM(cand_len) AS c, SUM(ref_len) AS r FROM lens)
+SELECT ROUND(CASE WHEN MIN(m) = 0 THEN 0.0 ELSE
+  (SELECT {_bp_sql('c', 'r')} FROM tot) * EXP(SUM(CASE WHEN m > 0 THEN LN(m / t) END) / 4) END, 6) AS corpus_bleu
+FROM per_n""", ids=("E-25",))
+def e25_corpus(t: Tables) -> DataFrame:
+    c = TS.bleu_counts(_pairs(t), t.benchmark, "item_id", t.documents, "doc_id")
+    return TS.corpus_bleu(c)
