@@ -309,3 +309,51 @@ def refinement_summary(df: DataFrame, attempt_col: str, ok_col: str) -> DataFram
              .select(F.concat(F.lit("attempt_"), F.col(attempt_col).cast("string")).alias("outcome"), "n"))
     rest = df.agg(F.count_if(~F.col(ok_col)).alias("still_bad"), F.count(F.lit(1)).alias("total"))
     return fixed.unionByName(rest.selectExpr("stack(2, 'still_bad', still_bad, 'total', total) AS (outcome, n)"))
+
+
+# ------------------------------------------------------ C-18 rendering
+
+def render_from_catalog(specs: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """Render SQL text for spec rows against a catalog (C-18).
+
+    ``specs``: (spec_id, shape, select_kind, where_kind, value, h) where
+    ``h`` is a non-negative pick hash; ``columns``: (table, column, type);
+    ``fks``: (table1, column1, table2, column2).  Tables, typed columns and FK
+    edges are numbered (by name) and each spec picks by ``h`` modulo the
+    count; every pick is an equi join with the numbered catalog, whose size
+    is bounded by the schema, not by the data."""
+    w_t = Window.orderBy("table")
+    tables = (columns.groupBy("table").agg(
+        F.count_if(F.col("type") == "number").alias("n_number"), F.count_if(F.col("type") == "text").alias("n_text"))
+        .withColumn("t_idx", F.row_number().over(w_t) - 1))
+    n_tables = tables.agg(F.count(F.lit(1))).scalar()
+    numbered = columns.withColumn("c_idx", F.row_number().over(
+        Window.partitionBy("table", "type").orderBy("column")) - 1)
+    edges = fks.withColumn("e_idx", F.row_number().over(Window.orderBy("table1", "column1", "table2", "column2")) - 1)
+    n_edges = edges.agg(F.count(F.lit(1))).scalar()
+
+    s = specs.withColumn("t_idx", F.col("h") % n_tables).join(tables, "t_idx")
+    num = numbered.filter(F.col("type") == "number").select(
+        "table", F.col("c_idx").alias("n_idx"), F.col("column").alias("num_col"))
+    txt = numbered.filter(F.col("type") == "text").select(
+        "table", F.col("c_idx").alias("x_idx"), F.col("column").alias("text_col"))
+    s = (s.withColumn("n_idx", F.when(F.col("n_number") > 0, F.col("h") % F.col("n_number")))
+         .withColumn("x_idx", F.when(F.col("n_text") > 0, F.col("h") % F.col("n_text")))
+         .join(num, ["table", "n_idx"], "left").join(txt, ["table", "x_idx"], "left")
+         .withColumn("e_idx", F.col("h") % n_edges).join(edges, "e_idx", "left"))
+    v = F.col("value").cast("string")
+    select = (F.when((F.col("select_kind") == 1) & F.col("num_col").isNotNull(), F.concat(F.lit("SELECT "), F.col("num_col")))
+              .when(F.col("select_kind") == 2, F.lit("SELECT COUNT(*)")).otherwise(F.lit("SELECT *")))
+    where = (F.when((F.col("where_kind") == 1) & F.col("num_col").isNotNull(),
+                    F.concat(F.lit(" WHERE "), F.col("num_col"), F.lit(" > "), v))
+             .when((F.col("where_kind") == 2) & F.col("text_col").isNotNull(),
+                   F.concat(F.lit(" WHERE "), F.col("text_col"), F.lit(" LIKE 'a%'")))
+             .when((F.col("where_kind") == 3) & F.col("num_col").isNotNull(),
+                   F.concat(F.lit(" WHERE "), F.col("num_col"), F.lit(" BETWEEN "), v, F.lit(" AND "),
+                            (F.col("value") + 100).cast("string")))
+             .otherwise(F.lit("")))
+    single = F.concat(select, F.lit(" FROM "), F.col("table"), where)
+    joined = F.concat(F.lit("SELECT COUNT(*) FROM "), F.col("table1"), F.lit(" JOIN "), F.col("table2"), F.lit(" ON "),
+                      F.col("table1"), F.lit("."), F.col("column1"), F.lit(" = "), F.col("table2"), F.lit("."),
+                      F.col("column2"))
+    return s.select("spec_id", F.when(F.col("shape") == 2, joined).otherwise(single).alias("sql"))

@@ -248,3 +248,49 @@ def c20(t: Tables) -> DataFrame:
     """Rows that became valid at each refinement attempt, still-bad rows, total."""
     v = WL.validity(featured(t), "gold_sql").withColumn("ok", F.col("error").isNull())
     return WL.refinement_summary(v, "attempt", "ok")
+
+
+# ------------------------------------------------------------- C-18
+
+_SPEC_COLS = ["event_id AS spec_id", "CAST(event_id % 3 AS INT) AS shape", "CAST(user_id % 3 AS INT) AS select_kind",
+              "CAST(event_id % 4 AS INT) AS where_kind", "user_id AS value", "(event_id * 2654435761) % 1000003 AS h"]
+
+
+def _c18_sql() -> str:
+    from querylab.plans.catalog import _COLS_SQL, _FK_SQL
+    return f"""WITH {_COLS_SQL}, {_FK_SQL},
+tabs AS (SELECT "table", COUNT_IF(type = 'number') AS n_number, COUNT_IF(type = 'text') AS n_text,
+                ROW_NUMBER() OVER (ORDER BY "table") - 1 AS t_idx FROM cols GROUP BY "table"),
+num AS (SELECT "table", "column" AS num_col, ROW_NUMBER() OVER (PARTITION BY "table" ORDER BY "column") - 1 AS n_idx
+        FROM cols WHERE type = 'number'),
+txt AS (SELECT "table", "column" AS text_col, ROW_NUMBER() OVER (PARTITION BY "table" ORDER BY "column") - 1 AS x_idx
+        FROM cols WHERE type = 'text'),
+edges AS (SELECT *, ROW_NUMBER() OVER (ORDER BY table1, column1, table2, column2) - 1 AS e_idx FROM fks),
+sp AS (SELECT {', '.join(_SPEC_COLS)} FROM events),
+s AS (SELECT sp.*, tb."table", num.num_col, txt.text_col, e.table1, e.column1, e.table2, e.column2
+      FROM sp JOIN tabs tb ON tb.t_idx = sp.h % (SELECT COUNT(*) FROM tabs)
+      LEFT JOIN num ON num."table" = tb."table" AND tb.n_number > 0 AND num.n_idx = sp.h % NULLIF(tb.n_number, 0)
+      LEFT JOIN txt ON txt."table" = tb."table" AND tb.n_text > 0 AND txt.x_idx = sp.h % NULLIF(tb.n_text, 0)
+      LEFT JOIN edges e ON e.e_idx = sp.h % (SELECT COUNT(*) FROM edges))
+SELECT spec_id, CASE WHEN shape = 2 THEN 'SELECT COUNT(*) FROM ' || table1 || ' JOIN ' || table2 || ' ON ' ||
+    table1 || '.' || column1 || ' = ' || table2 || '.' || column2
+  ELSE (CASE WHEN select_kind = 1 AND num_col IS NOT NULL THEN 'SELECT ' || num_col
+             WHEN select_kind = 2 THEN 'SELECT COUNT(*)' ELSE 'SELECT *' END) || ' FROM ' || "table" ||
+       (CASE WHEN where_kind = 1 AND num_col IS NOT NULL THEN ' WHERE ' || num_col || ' > ' || CAST(value AS VARCHAR)
+             WHEN where_kind = 2 AND text_col IS NOT NULL THEN ' WHERE ' || text_col || ' LIKE ''a%'''
+             WHEN where_kind = 3 AND num_col IS NOT NULL THEN ' WHERE ' || num_col || ' BETWEEN ' ||
+                  CAST(value AS VARCHAR) || ' AND ' || CAST(value + 100 AS VARCHAR) ELSE '' END) END AS sql
+FROM s"""
+
+
+@query("C18_render_from_catalog", _c18_sql(), ids=("C-18",))
+def c18(t: Tables) -> DataFrame:
+    """SQL text rendered from one spec per event against the catalog of the
+    driver tables (single-table and FK-join shapes)."""
+    from querylab.operators import catalog as K
+    from querylab.plans import catalog as KP
+    cat = KP.catalog(t)
+    cols = K.columns_relation(cat).select("table", "column", "type")
+    fks = K.foreign_keys(cat).select("table1", "column1", "table2", "column2")
+    specs = t.events.selectExpr(*_SPEC_COLS)
+    return WL.render_from_catalog(specs, cols, fks)
