@@ -78,6 +78,23 @@ def dense_positions(df: DataFrame, order: Sequence[Column], pos_col: str = "pos"
     return out.withColumn(pos_col, (F.col("__off") + local).cast("bigint")).drop("__pid", "__mid", "__off")
 
 
+def running_sum(df: DataFrame, order: Sequence[Column], value: str, out_col: str = "cum_before") -> DataFrame:
+    """Exclusive running sum of ``value`` in ``order`` without a global
+    single-partition window: sort, sum within each partition (a window
+    partitioned by the partition id, i.e. bounded by partition size), and add
+    the totals of all earlier partitions (a table with one row per
+    partition)."""
+    s = (df.orderBy(*order).withColumn("__pid", F.spark_partition_id())
+         .withColumn("__mid", F.monotonically_increasing_id()))
+    tot = s.groupBy("__pid").agg(F.sum(value).alias("__t"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.withColumn("__off", F.coalesce(F.sum("__t").over(w), F.lit(0)))
+    inner = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    out = s.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
+    return out.withColumn(out_col, (F.col("__off") + F.col("__in")).cast("long")).drop("__pid", "__mid", "__off", "__in")
+
+
 def result_rows(df: DataFrame, side: str, keys: dict | None = None,
                 order: Sequence[Column] | None = None, key_cols: Sequence[str] = ()) -> DataFrame:
     """Turn a query result into long result rows.

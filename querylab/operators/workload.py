@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylab.functions import sqltext as X
+from querylab.operators.compare import running_sum
 
 LEVELS = ("easy", "medium", "hard", "extra")
 
@@ -279,10 +280,8 @@ def weighted_draws(categories: DataFrame, cat_col: str, weight_col: str,
     join on their bucket (an equi join plus a range check), so neither side
     is cross joined or broadcast by assumption.
     """
-    w = Window.orderBy(cat_col).rowsBetween(Window.unboundedPreceding, -1)
-    cats = (categories.filter(F.col(weight_col) > 0)
-            .withColumn("lo", F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("long"))
-            .withColumn("hi", F.col("lo") + F.col(weight_col)))
+    cats = running_sum(categories.filter(F.col(weight_col) > 0), [F.col(cat_col)], weight_col, "lo")
+    cats = cats.withColumn("hi", F.col("lo") + F.col(weight_col))
     total = cats.agg(F.sum(weight_col).cast("long")).scalar()
     width = F.greatest(F.ceil(total / buckets), F.lit(1)).cast("long")
     spans = cats.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"),
