@@ -109,7 +109,7 @@ _MEMO: dict = {}
 def compare_pairs(t: Tables, pairs=PAIRS) -> DataFrame:
     """Verdict per pair; memoised per (session, folder, pairs) because the
     E-1..E-5 queries all read the same comparison."""
-    key = (id(t.spark), t.sf_dir, tuple(p.name for p in pairs))
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, tuple(p.name for p in pairs))
     if key not in _MEMO:
         _MEMO[key] = _compare_pairs(t, pairs).checkpoint(eager=True)
     return _MEMO[key]

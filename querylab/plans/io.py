@@ -34,7 +34,7 @@ def s3(t: Tables) -> DataFrame:
     """Corpus CSV folders (quoted multi-line fields) read back with the
     database name taken from each file's path."""
     path = _tmp(t, "corpus")
-    w = W.workload(t.spark, t.sf_dir).select("db_id", "query_id", F.col("gold_sql").alias("query"))
+    w = W.workload_table(t.spark, t.sf_dir).select("db_id", "query_id", F.col("gold_sql").alias("query"))
     S.write_corpus(w, path, "db_id", "query")
     r = S.read_corpus(t.spark, path, "query_id BIGINT, query STRING")
     return r.select("db_id", "query_id", "query")
@@ -45,7 +45,7 @@ def s9(t: Tables) -> DataFrame:
     """Per-database CSV sink that keeps only rows starting with SELECT (the
     parse-error rows mixed in are dropped), counted after reading back."""
     path = _tmp(t, "sink")
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     good = w.select("db_id", "query_id", F.col("gold_sql").alias("query"))
     bad = w.filter(F.col("query_id") % 10 == 0).select(
         "db_id", "query_id", F.concat(F.lit("Error: could not parse "), F.col("pred_sql")).alias("query"))
@@ -125,7 +125,7 @@ def s13(t: Tables) -> DataFrame:
     """Gold and prediction files per (model, database); one prediction set
     is missing and is reported by the full outer join."""
     path = _tmp(t, "evalfiles")
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     gold = w.select("model", "db_id", F.lit("gold").alias("kind"), F.col("gold_sql").alias("value"))
     pred = (w.filter(~((F.col("model") == 2) & (F.col("db_id") == "signup")))
             .select("model", "db_id", F.lit("predict").alias("kind"), F.col("pred_sql").alias("value")))

@@ -28,7 +28,7 @@ _LIT = X.LITERAL.replace("'", "''")
       '([<>!])\\s+=', '\\1=', 'g'), '(?i)\\bdistinct\\s+', '', 'g'), '(?i)\\bvalue\\b', '1', 'g') ELSE p END),
   '''') AS cleaned FROM w""", ids=("E-9",))
 def e9(t: Tables) -> DataFrame:
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     return w.select("query_id", SC.cleanup(F.col("pred_sql")).alias("cleaned"))
 
 
@@ -36,7 +36,7 @@ def e9(t: Tables) -> DataFrame:
   array_to_string(regexp_extract_all(pred_sql, '({_LIT})', 1), '|') AS vals,
   regexp_replace(pred_sql, '{_LIT}', '#VALUE#', 'g') AS slotted FROM w""", ids=("E-10",))
 def e10(t: Tables) -> DataFrame:
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     vals, slotted = SC.value_slots(F.col("pred_sql"))
     return w.select("query_id", F.array_join(vals, "|").alias("vals"), slotted.alias("slotted"))
 
@@ -46,7 +46,7 @@ def e10(t: Tables) -> DataFrame:
   SELECT query_id, CAST(len(list_distinct(regexp_extract_all(gold_sql, '({_LIT})', 1))) AS INT) AS n_values,
          CAST(len(regexp_extract_all(pred_sql, '({_LIT})', 1)) AS INT) AS n_slots FROM w) x""", ids=("E-11",))
 def e11(t: Tables) -> DataFrame:
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     vals, slots, n_alt = SC.plug_alternatives(F.col("gold_sql"), F.col("pred_sql"))
     return w.select("query_id", F.size(vals).alias("n_values"), slots.alias("n_slots"), n_alt.alias("n_alternatives"))
 
@@ -55,7 +55,7 @@ def e11(t: Tables) -> DataFrame:
 def e11_rows(t: Tables) -> DataFrame:
     """Every predicted query with gold values plugged into its slots (row
     count = sum of |values| ^ slots; checked against E11 counts in tests)."""
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     return SC.plugged_predictions(w, "gold_sql", "pred_sql", ["query_id"])
 
 
@@ -77,7 +77,7 @@ SELECT query_id, lower(c), '<=', v FROM (
   SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)) AS c,
          UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 3)) AS v FROM w) d""", ids=("E-12",))
 def e12(t: Tables) -> DataFrame:
-    return SC.typed_comparisons(W.workload(t.spark, t.sf_dir), "gold_sql", ["query_id"])
+    return SC.typed_comparisons(W.workload_table(t.spark, t.sf_dir), "gold_sql", ["query_id"])
 
 
 # ------------------------------------------------------------ E-13 .. E-15
@@ -100,7 +100,7 @@ def _fk_map(t: Tables) -> dict[str, str]:
 
 
 def unit_pairs(t: Tables) -> DataFrame:
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     m = _fk_map(t)
     w = w.select("query_id", "db_id", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
                  SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
@@ -252,7 +252,7 @@ def e16(t: Tables) -> DataFrame:
 FROM w WHERE flag GROUP BY db_id, iter
 UNION ALL SELECT 'all', iter - 2, COUNT(*) FROM w WHERE flag GROUP BY iter""", ids=("E-17",))
 def e17(t: Tables) -> DataFrame:
-    return SC.success_by_iteration(W.workload(t.spark, t.sf_dir), "db_id", "iter", "flag")
+    return SC.success_by_iteration(W.workload_table(t.spark, t.sf_dir), "db_id", "iter", "flag")
 
 
 @query("E18_rate_by_hardness", TRUTH_WORK + """SELECT COALESCE(hardness, 'total') AS level, COUNT(*) AS n,
@@ -266,7 +266,7 @@ def e18(t: Tables) -> DataFrame:
 FLOOR((COUNT_IF(flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS success_pct,
 FLOOR((COUNT_IF(NOT flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS fail_pct FROM w""", ids=("E-19",))
 def e19(t: Tables) -> DataFrame:
-    return SC.summary_rows(W.workload(t.spark, t.sf_dir), "flag")
+    return SC.summary_rows(W.workload_table(t.spark, t.sf_dir), "flag")
 
 
 @query("E20_cumulative_success", TRUTH_WORK + """, j AS (SELECT hardness, iter, flag FROM t JOIN w USING (query_id)),
@@ -293,7 +293,7 @@ fail AS (SELECT DISTINCT m.model, m.db_id, m.gold_sql FROM m JOIN e USING (query
 
 def failures(t: Tables) -> DataFrame:
     """(model, db, gold query) for every prediction that is not an exact match."""
-    mw = W.multi_model_workload(t.spark, t.sf_dir)
+    mw = W.multi_model_table(t.spark, t.sf_dir)
     m = _fk_map(t)
     w = mw.select("query_id", "model", "db_id", "gold_sql", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
                   SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))

@@ -24,7 +24,7 @@ def st1(t: Tables) -> DataFrame:
     final counts cover every query exactly once."""
     base = scratch_path(t.spark, f"stream-{uuid.uuid4().hex}")
     corpus, sink, ckpt = f"{base}/corpus", f"{base}/sink", f"{base}/checkpoint"
-    w = W.workload(t.spark, t.sf_dir).select("db_id", "query_id", F.col("gold_sql").alias("query"))
+    w = W.workload_table(t.spark, t.sf_dir).select("db_id", "query_id", F.col("gold_sql").alias("query"))
     glob = f"{corpus}/*/*/*.csv"
     S.write_corpus(w.filter(F.col("query_id") % 2 == 0), f"{corpus}/arrival=1", "db_id", "query")
     run_once(t.spark, glob, sink, ckpt)

@@ -22,7 +22,7 @@ TRUTH_WORK = f"WITH t AS ({W.truth_sql()}),\nw AS ({W.workload_sql()})\n"
 
 def featured(t: Tables) -> DataFrame:
     """Workload view + gold-query features, components and hardness."""
-    return WL.with_hardness(W.workload(t.spark, t.sf_dir), "gold_sql")
+    return WL.with_hardness(W.workload_table(t.spark, t.sf_dir), "gold_sql")
 
 
 _C1 = ["n_select", "n_agg_select", "n_tables", "n_where_conds", "n_or", "n_like", "n_not", "n_group",
@@ -31,7 +31,7 @@ _C1 = ["n_select", "n_agg_select", "n_tables", "n_where_conds", "n_or", "n_like"
 
 @query("C1_clause_features", TRUTH + "SELECT query_id, " + ", ".join(_C1) + ", n_nested FROM t", ids=("C-1",))
 def c1(t: Tables) -> DataFrame:
-    f = WL.clause_features(W.workload(t.spark, t.sf_dir), "gold_sql")
+    f = WL.clause_features(W.workload_table(t.spark, t.sf_dir), "gold_sql")
     nested = F.col("n_nested_where") + (F.col("set_op") != "none").cast("int")
     return f.select("query_id", *_C1, nested.alias("n_nested"))
 
@@ -150,14 +150,14 @@ def _template_col(t: Tables, col: str = "gold_sql"):
 
 @query("C9_templates", WORK + f"SELECT query_id, {_template_sql('gold_sql')} AS template FROM w", ids=("C-9",))
 def c9(t: Tables) -> DataFrame:
-    return W.workload(t.spark, t.sf_dir).select("query_id", _template_col(t).alias("template"))
+    return W.workload_table(t.spark, t.sf_dir).select("query_id", _template_col(t).alias("template"))
 
 
 @query("C10_template_dedup", WORK + f"SELECT db_id, template, MIN(query_id) AS query_id FROM ("
        f"SELECT db_id, query_id, {_template_sql('gold_sql')} AS template FROM w) x GROUP BY db_id, template",
        ids=("C-10",))
 def c10(t: Tables) -> DataFrame:
-    w = W.workload(t.spark, t.sf_dir).select("db_id", "query_id", _template_col(t).alias("template"))
+    w = W.workload_table(t.spark, t.sf_dir).select("db_id", "query_id", _template_col(t).alias("template"))
     return WL.first_per_key(w, ["db_id", "template"], "query_id").select("db_id", "template", "query_id")
 
 
@@ -178,7 +178,7 @@ def c11(t: Tables) -> DataFrame:
 def c12(t: Tables) -> DataFrame:
     """Queries of one key merged with a blank line, then split back: the
     round trip must give every query once."""
-    w = W.workload(t.spark, t.sf_dir)
+    w = W.workload_table(t.spark, t.sf_dir)
     merged = WL.merge_queries(w, ["db_id"], "query_id", "gold_sql")
     return WL.split_queries(merged, ["db_id"])
 
