@@ -117,11 +117,6 @@ def result_rows(df: DataFrame, side: str, keys: dict | None = None,
 
 # ------------------------------------------------------------------ pieces
 
-def _by_side(keys: Sequence[str], df: DataFrame, value: Column, name: str) -> list[Column]:
-    return [F.sum(F.when(F.col("side") == GOLD, value).otherwise(0)).alias(f"{name}_gold"),
-            F.sum(F.when(F.col("side") == PRED, value).otherwise(0)).alias(f"{name}_pred")]
-
-
 def shape_stats(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Row counts and arities per side (arity 0 when a side is empty)."""
     g = F.col("side") == GOLD

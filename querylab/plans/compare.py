@@ -157,11 +157,6 @@ def _bag_eq(a: str, b: str) -> str:
             f"NOT EXISTS (SELECT * FROM ({b} EXCEPT ALL {a}) y))")
 
 
-def _order_keys(order: str, types) -> str:
-    # Positional names of the ORDER BY keys (c0.. are the renamed outputs).
-    return order
-
-
 def _pair_oracle(p: Pair, gold_cols: list[str], pred_cols: list[str]) -> str:
     kg, kp = len(p.gold_types), len(p.pred_types)
     ng, np_ = f"(SELECT COUNT(*) FROM ({p.gold}) g)", f"(SELECT COUNT(*) FROM ({p.pred}) p)"
