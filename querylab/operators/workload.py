@@ -199,6 +199,19 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --------------------------------------------------- C-9..C-12 templates, dedup
 
+def replace_words(text: Column, words: Sequence[str], replacement: str) -> Column:
+    """Replace every whole word that equals one of ``words`` (ignoring case)
+    by ``replacement``.  The text is split at word boundaries and each piece
+    is looked up in a hash set: linear in the text, whatever the number of
+    words (a regex alternation would try every word at every position)."""
+    if not words:
+        return text
+    lowered = sorted({w.lower() for w in words})
+    pieces = F.split(text, r"\b")
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.lower(p).isin(lowered), F.lit(replacement))
+                                    .otherwise(p)), "")
+
+
 def template(text: Column, tables: Sequence[str], columns: Sequence[str]) -> Column:
     """Normalise a query to a template (C-9): literals -> #VALUE#, table names
     -> #TABLE#, column names -> #COLUMN#, aliases and qualifiers removed,
@@ -206,10 +219,8 @@ def template(text: Column, tables: Sequence[str], columns: Sequence[str]) -> Col
     t = X.replace_literals(text)
     t = F.regexp_replace(t, r"(?i)\s+as\s+\w+", "")
     t = F.regexp_replace(t, r"\b\w+\.(\w+)", "$1")
-    if columns:
-        t = F.regexp_replace(t, r"(?i)\b(?:" + "|".join(sorted(columns, key=len, reverse=True)) + r")\b", "#COLUMN#")
-    if tables:
-        t = F.regexp_replace(t, r"(?i)\b(?:" + "|".join(sorted(tables, key=len, reverse=True)) + r")\b", "#TABLE#")
+    t = replace_words(t, columns, "#COLUMN#")
+    t = replace_words(t, tables, "#TABLE#")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

@@ -167,7 +167,14 @@ def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
     read it do not re-derive it and their plans stay small."""
     k = (spark.sparkContext.applicationId, *key)
     if k not in _MEMO:
-        _MEMO[k] = build().checkpoint(eager=True)
+        df = build()
+        # A small input file is a single scan partition; the per-row text work
+        # downstream needs the cores, so spread it (a metadata check: with
+        # many input files the table is already split and is not shuffled).
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par)
+        _MEMO[k] = df.checkpoint(eager=True)
     return _MEMO[k]
 
 
