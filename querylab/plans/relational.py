@@ -373,7 +373,7 @@ def f6_part(t: Tables) -> DataFrame:
 
 @query("F6_named_patterns_documents", _pattern_counts_sql("documents", "text"), ids=("F-6",))
 def f6_docs(t: Tables) -> DataFrame:
-    return _pattern_counts(t.documents, "text")
+    return _pattern_counts(t.spread("documents"), "text")
 
 
 @query("F7_null_checks", """
