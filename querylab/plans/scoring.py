@@ -292,12 +292,17 @@ fail AS (SELECT DISTINCT m.model, m.db_id, m.gold_sql FROM m JOIN e USING (query
 
 
 def failures(t: Tables) -> DataFrame:
-    """(model, db, gold query) for every prediction that is not an exact match."""
-    mw = W.multi_model_table(t.spark, t.sf_dir)
+    """(model, db, gold query) for every prediction that is not an exact match.
+    Gold units depend on the query only, so they are cut once per query and
+    joined to the per-model prediction units on the query id."""
     m = _fk_map(t)
-    w = mw.select("query_id", "model", "db_id", "gold_sql", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
-                  SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
-    u = SC.with_units(SC.with_units(w, "gold", "g"), "pred", "p")
+    gold = W.workload_table(t.spark, t.sf_dir).select(
+        "query_id", "db_id", "gold_sql", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"))
+    gu = SC.with_units(gold, "gold", "g").select("query_id", "db_id", "gold_sql", "g")
+    preds = W.multi_model_table(t.spark, t.sf_dir).select(
+        "query_id", "model", SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
+    pu = SC.with_units(preds, "pred", "p").select("query_id", "model", "p")
+    u = pu.join(gu, "query_id")
     keys = ["query_id", "model"]
     ex = SC.exact_match(SC.component_scores(u, keys), u, keys)
     return (u.select(*keys, "db_id", "gold_sql").join(ex.filter(F.col("exact") == 0), keys)
