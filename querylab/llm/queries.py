@@ -6,8 +6,10 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from querylab.llm.common import new_dir, table
+from querylab.llm.simhash_dedup import near_duplicates
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +31,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_dir(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), out, tokenizer_path())
     return read_token_files(spark, out)
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents: three-word shingles, two bits."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
