@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
+from querylab.llm import toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: three-word shingles, two bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a factorization machine."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
