@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import toxicity
+from querylab.llm import mixing, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes from each."""
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op5_mixing"] = mixing.SQL
