@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import mixing, toxicity
+from querylab.llm import mixing, simhash, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_mixing"] = mixing.SQL
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of all documents and of their edited texts."""
+    found = simhash.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", simhash.hex_of("fp").alias("fingerprint"),
+                        simhash.hex_of("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
