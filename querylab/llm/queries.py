@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import mixing, simhash, toxicity
+from querylab.llm import mixing, pii, secrets, simhash, spans, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,22 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.edited_likeness(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", simhash.hex_of("fp").alias("fingerprint"),
                         simhash.hex_of("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...], *more: str) -> DataFrame:
+    return found.select(
+        "doc_id", *[spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in kinds],
+        F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"), *more)
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it in all documents."""
+    return _span_digest(pii.find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, judged by who owns their values."""
+    return _span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"),
+                        "n_live", "n_example")
