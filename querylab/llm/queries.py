@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import line_templates, mixing, pii, secrets, simhash, spans, toxicity
+from querylab.llm import chat, line_templates, mixing, pii, secrets, simhash, spans, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, judged by who owns their values."""
     return _span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"),
                         "n_live", "n_example")
+
+
+@query
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in reply order, linked by what they quote, without quotes."""
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+SQL["op10_quotation_linking"] = chat.SQL
