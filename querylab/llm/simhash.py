@@ -111,10 +111,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     if not follows.filter("again").isEmpty():
         texts = texts.dropDuplicates(["k1", "k2"])
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    # Both joins below deal the texts by the same key, so they are shuffled once.
+    # Both joins deal the texts by the same key, so they are shuffled once; heads are a quarter of them.
     heads = (texts.withColumnsRenamed({"k1": "n1", "k2": "n2"}).join(follows, ["n1", "n2"])
-             .select("k1", "k2", "again", F.substring("text", F.lit(1), quarter).alias("head")))
-    both = (texts.join(follows, ["k1", "k2"]).join(heads, ["k1", "k2", "again"])
+             .select(*follows.columns, F.substring("text", F.lit(1), quarter).alias("head")))
+    both = (texts.join(heads, ["k1", "k2"])
             .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), "head")))
     keys = ["k1", "k2", "again", "doc_id", "n_chars", "n1", "n2", "rows"]
     kinds = both.withColumn("edited_sha256", F.sha2("edited", 256)).select(
