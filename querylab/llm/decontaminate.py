@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHARD_BYTES = 6 << 20
+from querylab.llm.common import small_batches
+
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 SAMPLE_EVERY = 16
 _LOCATE_ROWS = 1 << 18
@@ -351,14 +353,26 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, clean: bool, keep
     rows = docs.select(F.col("text").alias("text"), F.lit(None).cast("binary").alias("hits"),
                        F.lit(None).cast("array<string>").alias("items"),
                        *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)])
+    small_batches(spark)
+    last = None
     for b in range(blocks):
         held = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         sent = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in held], window))
-        rows = rows.mapInArrow(
-            lambda batches, sent=sent: (_searched(s, sent.value) for s in _shards(batches)), rows.schema)
+        if b < blocks - 1:
+            rows = rows.mapInArrow(
+                lambda batches, sent=sent: (_searched(s, sent.value) for s in _shards(batches)), rows.schema)
+        else:
+            last = sent
     fields = [*_RESULT, *([T.StructField("text", T.StringType())] if clean else []), *[docs.schema[c] for c in keep]]
     inner = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
-    return rows.mapInArrow(lambda batches: (_finished(b, clean) for b in batches), inner), [f.name for f in fields]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last block is searched in the same pass that finishes the rows
+        if last is not None:
+            batches = (_searched(s, last.value) for s in _shards(batches))
+        for b in batches:
+            yield _finished(b, clean)
+    return rows.mapInArrow(finish, inner), [f.name for f in fields]
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, clean: bool = False,

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylab.llm.common import arrow_rows, saved
+from querylab.llm.common import saved, small_batches
 from querylab.llm.graph import components
 
 SEED = 42
@@ -224,8 +224,8 @@ def links(nodes: DataFrame, max_distance: int, bucket: int = BUCKET) -> DataFram
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
     """One row a document: doc_id, text_hash, fp (signed long), root (the least
     fingerprint of the group) and component_id (its least doc_id)."""
-    with arrow_rows(docs.sparkSession, 500):
-        fps = saved(fingerprints(docs, shingle), "fingerprints")
+    small_batches(docs.sparkSession)
+    fps = saved(fingerprints(docs, shingle), "fingerprints")
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes, max_distance))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(

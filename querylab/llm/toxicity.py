@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querylab.llm.common import arrow_rows, saved
+from querylab.llm.common import saved, small_batches
 
 SAMPLE = 20_000
 BUCKETS = 1 << 20
@@ -41,7 +41,7 @@ FEATURES = 2048
 FACTORS = 8
 HOLD_OUT = 5
 STEMS = (4, 5, 6, 7)
-_MEMORY = 1_000_000
+_MEMORY = 200_000
 
 #: Lower-cases A-Z, keeps 0-9, a-z and non-ASCII characters, blanks the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -137,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     # A document that repeats its id would pass the bound: one row an id, by its text.
     rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).drop("doc_id")
-    with arrow_rows(docs.sparkSession, 500):
-        held = saved(rows.mapInArrow(terms, "toxic int, terms binary"), "terms")
+    small_batches(docs.sparkSession)
+    held = saved(rows.mapInArrow(terms, "toxic int, terms binary"), "terms")
     seen = (held.mapInArrow(counts, "bucket long, clean long, toxic long").groupBy("bucket")
             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     n0, n1 = held.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and score (0 to 1) of every row's whole text."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +180,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             rows = []
             for t in batch.column(0):
                 words = text_words(t.as_py())
-                if len(known) > _MEMORY:
-                    known = {}
+                found = {k for w in words.intersection(known) for k in known[w]}
                 for w in words.difference(known):
-                    known[w] = tuple(number[b] for b in word_buckets(w) if b in number)
-                rows.append(np.array(sorted({k for w in words for k in known[w]}), np.int64))
+                    own = tuple(number[b] for b in word_buckets(w) if b in number)
+                    found.update(own)
+                    if len(known) < _MEMORY:  # the first words met are the frequent ones
+                        known[w] = own
+                rows.append(np.array(sorted(found), np.int64))
             p = 1 / (1 + np.exp(-np.clip(m.raw(rows), -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns[1:]], names=names)
 
