@@ -19,18 +19,40 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: A quoted literal or name: either quote, the quote doubled inside it.
+QUOTED = r"""'(?:[^']|'')*+'|"(?:[^"]|"")*+\""""
+
+
 def strip_quoted(q) -> Column:
-    """Empty every quoted literal ('...' with '' escapes)."""
-    return F.regexp_replace(_c(q), r"'(?:[^']|'')*'", "''")
+    """Empty every quoted literal ('...' or "...", doubled quotes inside)."""
+    return F.regexp_replace(_c(q), QUOTED, "''")
+
+
+# The functions below walk the parentheses of a text with a depth counter, so
+# any depth is right.  Texts are queries: short, whatever the number of rows.
+
+def _walk(x: Column, pieces: str, start: Column, step) -> Column:
+    """Fold ``step(state, piece)`` over the pieces of ``x`` that match
+    ``pieces``; the state holds ``out``, the text so far."""
+    return F.aggregate(F.regexp_extract_all(x, F.lit(pieces), F.lit(0)), start, step, lambda s: s["out"])
 
 
-def hide_subqueries(q, rounds: int = 3) -> Column:
-    """Replace innermost ``(SELECT ...)`` groups (one level of function
-    parentheses allowed inside) by ``(#SUB#)``, ``rounds`` levels deep."""
-    x = _c(q)
-    for _ in range(rounds):
-        x = F.regexp_replace(x, r"(?i)\(\s*select\b[^()]*(?:\([^()]*\)[^()]*)*\)", f"({SUB})")
-    return x
+def hide_subqueries(q) -> Column:
+    """Replace every outermost ``(SELECT ...)`` group by ``(#SUB#)``."""
+    opened = "\u0003"  # stands for a parenthesis that opens a subquery
+    marked = F.regexp_replace(_c(q), r"(?i)\(\s*+(?=select\b)", opened)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(-1).alias("hidden"))
+
+    def step(s: Column, p: Column) -> Column:
+        opens = p.isin("(", opened)
+        depth = s["depth"] + F.when(opens, 1).when(p == ")", -1).otherwise(0)
+        inside = s["hidden"] >= 0
+        hides = ~inside & (p == opened)
+        shows = inside & (p == ")") & (depth == s["hidden"])
+        out = F.when(hides, F.concat(s["out"], F.lit(f"({SUB}"))).when(~inside | shows, F.concat(s["out"], p)).otherwise(s["out"])
+        hidden = F.when(hides, s["depth"]).when(shows, -1).otherwise(s["hidden"])
+        return F.struct(out.alias("out"), depth.alias("depth"), hidden.alias("hidden"))
+    return _walk(marked, rf"[(){opened}]|[^(){opened}]+", start, step)
 
 
 def outer_text(q) -> Column:
@@ -70,11 +92,25 @@ def clause(main, name: str) -> Column:
     return F.regexp_extract(_c(main), f"(?is){_START[name]}(.*?){_STOP[name]}", 1)
 
 
+def _level(s: Column, p: Column) -> Column:
+    return s["depth"] + F.when(p == "(", 1).when(p == ")", -1).otherwise(0)
+
+
 def flatten_parens(x) -> Column:
-    y = _c(x)
-    for _ in range(2):
-        y = F.regexp_replace(y, r"\([^()]*\)", "()")
-    return y
+    """Empty every outermost pair of parentheses."""
+    def step(s: Column, p: Column) -> Column:
+        depth = _level(s, p)
+        seen = (s["depth"] <= 0) | (depth <= 0)
+        return F.struct(F.when(seen, F.concat(s["out"], p)).otherwise(s["out"]).alias("out"), depth.alias("depth"))
+    return _walk(_c(x), r"[()]|[^()]+", F.struct(F.lit("").alias("out"), F.lit(0).alias("depth")), step)
+
+
+def mark_commas(x, mark: str = "\u0001") -> Column:
+    """Replace the commas outside all parentheses by ``mark``."""
+    def step(s: Column, p: Column) -> Column:
+        piece = F.when((p == ",") & (s["depth"] <= 0), F.lit(mark)).otherwise(p)
+        return F.struct(F.concat(s["out"], piece).alias("out"), _level(s, p).alias("depth"))
+    return _walk(_c(x), r"[(),]|[^(),]+", F.struct(F.lit("").alias("out"), F.lit(0).alias("depth")), step)
 
 
 def n_items(part) -> Column:
@@ -103,7 +139,7 @@ def split_items(part) -> Column:
     """Top-level items of a clause as an array of trimmed, lower-cased strings
     (commas inside parentheses do not split)."""
     p = _c(part)
-    marked = F.regexp_replace(p, r",(?![^()]*\))", "\u0001")
+    marked = mark_commas(p)
     return F.when(F.trim(p) == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.split(marked, "\u0001"), lambda s: F.lower(F.trim(s))))
 
@@ -125,9 +161,9 @@ def connectors(part) -> Column:
         F.regexp_extract_all(p, F.lit(r"(?i)\s(and|or)\s"), 1), lambda s: F.lower(s))))
 
 
-# Quoted strings and unsigned numbers (no look-around, so the same pattern
-# runs on Java regex and RE2).
-LITERAL = r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b"
+# Quoted strings, and numbers with the sign that follows an operator, a comma
+# or an opening parenthesis.
+LITERAL = QUOTED + r"|(?:(?<=[=<>(,])|(?<=[=<>(,]\s))-\d++(?:\.\d++)?+\b|\b\d++(?:\.\d++)?+\b"
 
 
 def literals(q) -> Column:

@@ -143,7 +143,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.unionAll(own).filter(F.col("src") != F.col("dst")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with component = smallest node id of its component
     (K-4), by alternating large-star / small-star rounds until the edge set
     stops changing.  Every round is a few grouped aggregations and joins,
@@ -153,7 +153,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     e = e.checkpoint(eager=True)
     prev = None
-    for _ in range(max_rounds):
+    while True:
         e = _small_star(_large_star(e)).checkpoint(eager=True)
         sig = e.agg(F.count(F.lit(1)).alias("n"),
                     F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()

@@ -28,23 +28,31 @@ GOLD, PRED = "gold", "pred"
 
 # ------------------------------------------------------------ canonical cells
 
-def canonical_cell(c: Column, dt: T.DataType) -> Column:
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        # -0.0 + 0.0 = 0.0, so the sign of zero never separates equal numbers.
-        return F.concat(F.lit("n|"), (c.cast("double") + F.lit(0.0)).cast("string"))
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.concat(F.lit("t|"), c.cast("string"))
-    if isinstance(dt, T.StringType):
-        return F.concat(F.lit("s|"), c)
-    return F.concat(F.lit("x|"), F.to_json(F.struct(c.alias("v"))))
-
-
 def canonical_cell_sql(name: str, dt: T.DataType) -> str:
-    """SQL spelling of :func:`canonical_cell` (for building one large
-    UNION ALL statement instead of many chained DataFrame unions)."""
+    """Canonical string of one output cell, as SQL (one large UNION ALL is
+    built from these instead of many chained DataFrame unions).
+
+    Numbers compare by value across types: integers and decimals give their
+    exact digits; a double that is a whole number gives those digits too (so
+    1, 1.0 and 1.00 agree, and 2^53 and 2^53 + 1 differ), any other its
+    shortest decimal form."""
     q = f"`{name}`"
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        return f"concat('n|', CAST(CAST({q} AS DOUBLE) + 0.0 AS STRING))"
+    if isinstance(dt, (T.BooleanType, T.IntegralType)):
+        return f"concat('n|', CAST(CAST({q} AS BIGINT) AS STRING))"
+    if isinstance(dt, T.DecimalType):
+        plain = f"CAST({q} AS STRING)"
+        if dt.scale == 0:
+            return f"concat('n|', {plain})"
+        # whole numbers lose the point; -0.00 is 0
+        bare = f"regexp_replace(regexp_replace({plain}, '0+$', ''), '[.]$', '')"
+        return f"concat('n|', CASE WHEN {q} = 0 THEN '0' ELSE {bare} END)"
+    if isinstance(dt, T.FractionalType):
+        d = f"CAST({q} AS DOUBLE)"
+        whole = f"CAST(CAST({d} AS DECIMAL(38, 0)) AS STRING)"
+        dec = f"try_cast(CAST({d} AS STRING) AS DECIMAL(38, 18))"
+        part = f"regexp_replace(CAST({dec} AS STRING), '0+$', '')"
+        return (f"concat('n|', CASE WHEN {d} = rint({d}) AND abs({d}) < 1e37 THEN {whole} "
+                f"WHEN CAST({dec} AS DOUBLE) = {d} THEN {part} ELSE CAST({d} AS STRING) END)")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return f"concat('t|', CAST({q} AS STRING))"
     if isinstance(dt, T.StringType):
@@ -59,7 +67,23 @@ def cells_sql(schema: T.StructType) -> str:
 def cells_of(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     cols = list(columns) if columns is not None else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.array(*[canonical_cell(F.col(c), types[c]) for c in cols])
+    return F.expr("array(" + ", ".join(canonical_cell_sql(c, types[c]) for c in cols) + ")")
+
+
+def _numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows in ``order`` (none: the query's own) with ``__pid`` and a number
+    ``__mid`` rising inside each partition, written once to the shared folder:
+    every later read sees the same partitions, whatever columns it needs."""
+    s = df.orderBy(*order) if order else df
+    return (s.withColumn("__pid", F.spark_partition_id())
+            .withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+
+
+def _offsets(s: DataFrame, value: Column) -> DataFrame:
+    """Sum of ``value`` over all earlier partitions: one row a partition."""
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = s.groupBy("__pid").agg(F.sum(value).alias("__t"))
+    return totals.select("__pid", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__off"))
 
 
 def dense_positions(df: DataFrame, order: Sequence[Column], pos_col: str = "pos") -> DataFrame:
@@ -67,13 +91,8 @@ def dense_positions(df: DataFrame, order: Sequence[Column], pos_col: str = "pos"
     single-partition window: sort (range partitioned), number rows inside
     each partition, then add per-partition offsets from a table with one row
     per partition (its size is bounded by the partition count)."""
-    s = (df.orderBy(*order) if order else df)   # empty order: keep the query's own order
-    s = (s.withColumn("__pid", F.spark_partition_id())
-         .withColumn("__mid", F.monotonically_increasing_id()))
-    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    out = s.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
+    s = _numbered(df, order)
+    out = s.join(F.broadcast(_offsets(s, F.lit(1))), "__pid")
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
     return out.withColumn(pos_col, (F.col("__off") + local).cast("bigint")).drop("__pid", "__mid", "__off")
 
@@ -84,14 +103,10 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: str, out_col: str
     partitioned by the partition id, i.e. bounded by partition size), and add
     the totals of all earlier partitions (a table with one row per
     partition)."""
-    s = (df.orderBy(*order).withColumn("__pid", F.spark_partition_id())
-         .withColumn("__mid", F.monotonically_increasing_id()))
-    tot = s.groupBy("__pid").agg(F.sum(value).alias("__t"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.withColumn("__off", F.coalesce(F.sum("__t").over(w), F.lit(0)))
+    s = _numbered(df, order)
     inner = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    out = s.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
+    out = (s.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+           .join(F.broadcast(_offsets(s, F.col(value))), "__pid"))
     return out.withColumn(out_col, (F.col("__off") + F.col("__in")).cast("long")).drop("__pid", "__mid", "__off", "__in")
 
 
@@ -160,39 +175,52 @@ def unordered_row(cells: Column | None = None) -> Column:
 
 
 def column_signatures(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Order-independent multiset signature of every output column: exact
-    (decimal) sum of two 64-bit hashes plus a XOR and the NULL count."""
-    ex = results.select(*keys, "side", F.posexplode("cells").alias("col", "v"))
-    h1 = F.xxhash64(F.col("v"), F.lit(1)).cast("decimal(38,0)")
-    h2 = F.xxhash64(F.col("v"), F.lit(2))
+    """Signatures of every output column: ``linked`` (exact sum of hashes of a
+    value with its unordered row; equal for columns that can be matched),
+    a XOR and the NULL count; and ``own`` (with the ordered row), by which the
+    columns of one side are told to be the same in every row."""
+    ex = results.select(*keys, "side", F.xxhash64(unordered_row()).alias("u"), F.xxhash64("cells").alias("o"),
+                        F.posexplode("cells").alias("col", "v"))
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
     return ex.groupBy(*keys, "side", "col").agg(
-        F.sum(h1).alias("s1"), F.bit_xor(h2).alias("x2"), F.count_if(F.col("v").isNull()).alias("nulls"))
+        total("v", "u").alias("linked"), F.bit_xor(F.xxhash64(F.col("v"), F.lit(2))).alias("x2"),
+        F.count_if(F.col("v").isNull()).alias("nulls"), total("v", "o").alias("own"))
 
 
-def _bijections(cands: Column) -> Column:
+def _bijections(cands: Column, before: Column) -> Column:
     """All bijections respecting ``cands`` (cands[i] = pred columns allowed at
     gold position i), built JVM-side with higher-order functions: extend
-    every partial assignment by each still-unused candidate."""
+    every partial assignment by each still-unused candidate.  Columns that are
+    the same in every row are interchangeable and come in one order only:
+    ``before[j]`` is the same column's previous copy, or -1."""
     seed = F.array(F.array().cast("array<int>"))
     return F.aggregate(
         cands, seed,
         lambda acc, c: F.flatten(F.transform(
-            acc, lambda a: F.transform(F.filter(c, lambda j: ~F.array_contains(a, j)),
-                                       lambda j: F.concat(a, F.array(j))))))
+            acc, lambda a: F.transform(
+                F.filter(c, lambda j: ~F.array_contains(a, j) & ((before[j] < 0) | F.array_contains(a, before[j]))),
+                lambda j: F.concat(a, F.array(j))))))
 
 
 def candidate_permutations(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., perm_id, perm array<int>) where ``perm[i]`` is the pred column
     placed at gold position i."""
     sig = column_signatures(results, keys)
-    g = sig.filter(F.col("side") == GOLD).select(*keys, F.col("col").alias("gcol"), "s1", "x2", "nulls")
-    p = sig.filter(F.col("side") == PRED).select(*keys, F.col("col").alias("pcol"), "s1", "x2", "nulls")
+    match = ["linked", "x2", "nulls"]
+    g = sig.filter(F.col("side") == GOLD).select(*keys, F.col("col").alias("gcol"), *match)
+    p = sig.filter(F.col("side") == PRED).select(*keys, F.col("col").alias("pcol"), *match, "own")
     # Gold columns without any candidate keep an empty list: no permutation.
-    cand = (g.join(p, [*keys, "s1", "x2", "nulls"], "left")
+    cand = (g.join(p, [*keys, *match], "left")
             .groupBy(*keys, "gcol").agg(F.array_sort(F.collect_list("pcol")).alias("c"))
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gcol", "c"))).alias("cs"))
             .select(*keys, F.transform("cs", lambda s: s["c"].cast("array<int>")).alias("cands")))
-    return cand.select(*keys, F.posexplode(_bijections(F.col("cands"))).alias("perm_id", "perm"))
+    copies = (p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pcol", "own"))).alias("ps"))
+              .select(*keys, F.transform("ps", lambda x: x["own"]).alias("own")))
+    index = F.sequence(F.lit(0), F.size("own") - 1)
+    before = copies.select(*keys, F.transform(index, lambda j: F.coalesce(F.array_max(F.filter(
+        index, lambda k: (k < j) & (F.col("own")[k] == F.col("own")[j]))), F.lit(-1))).alias("before"))
+    return cand.join(before, list(keys)).select(
+        *keys, F.posexplode(_bijections(F.col("cands"), F.col("before"))).alias("perm_id", "perm"))
 
 
 def permuted_mismatches(results: DataFrame, keys: Sequence[str], order_matters: bool) -> DataFrame:
@@ -308,7 +336,7 @@ def with_cached_verdicts(pairs: DataFrame, cache: DataFrame, keys: Sequence[str]
 
 
 __all__ = [
-    "GOLD", "PRED", "canonical_cell", "cells_of", "dense_positions", "result_rows", "shape_stats",
+    "GOLD", "PRED", "canonical_cell_sql", "cells_of", "dense_positions", "result_rows", "shape_stats",
     "bag_mismatches", "set_mismatches", "positional_mismatches", "unordered_row", "column_signatures",
     "candidate_permutations", "permuted_mismatches", "partial_cover", "compare_results",
     "test_suite_verdict", "accuracy", "with_cached_verdicts",

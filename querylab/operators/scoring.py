@@ -48,50 +48,63 @@ def value_slots(text: Column) -> tuple[Column, Column]:
 
 def plug_alternatives(gold: Column, pred: Column) -> tuple[Column, Column, Column]:
     """E-11: distinct gold values, number of predicted slots and the number
-    of ways to fill the slots (|values| ^ slots)."""
+    of ways to fill the slots (|values| ^ slots; NULL beyond a bigint)."""
     vals = F.array_distinct(X.literals(gold))
     slots = F.size(X.literals(pred))
-    n_alt = F.when(slots == 0, F.lit(1)).otherwise(F.pow(F.size(vals), slots)).cast("bigint")
+    n_alt = F.when(slots == 0, F.lit(1)).otherwise(F.pow(F.size(vals), slots)).try_cast("bigint")
     return vals, slots, n_alt
 
 
-def plugged_predictions(df: DataFrame, gold_col: str, pred_col: str, keys: Sequence[str]) -> DataFrame:
-    """Every way of plugging gold values into the predicted slots (E-11),
-    one row per alternative; the work per query is |values| ^ slots, built
-    with higher-order functions inside the row (no join between queries)."""
-    vals = F.array_distinct(X.literals(F.col(gold_col)))
-    parts = F.split(X.replace_literals(F.col(pred_col), "\u0003"), "\u0003")
-    n_slots = F.size(parts) - 1
-    seed = F.array(F.array().cast("array<string>"))
-    tuples = F.aggregate(F.sequence(F.lit(1), F.greatest(n_slots, F.lit(1))), seed,
-                         lambda acc, _: F.flatten(F.transform(acc, lambda a: F.transform(
-                             vals, lambda v: F.concat(a, F.array(v))))))
-    tuples = F.when(n_slots == 0, F.array(F.array().cast("array<string>"))).otherwise(tuples)
-    ex = df.select(*keys, parts.alias("__parts"), F.posexplode(tuples).alias("alt_id", "__vals"))
-    plugged = F.array_join(F.transform("__parts", lambda p, i: F.concat(
-        p, F.coalesce(F.try_element_at(F.col("__vals"), i + 1), F.lit("")))), "")
-    return ex.select(*keys, "alt_id", plugged.alias("plugged"))
+def plug_candidates(df: DataFrame, gold_col: str, pred_col: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, slot, predicted, value): for every literal slot of the predicted
+    query what it holds and each distinct gold value that may be plugged in
+    (E-11).  Rows grow with slots times values, not with their combinations;
+    :func:`plugged` fills the slots for one choice of values."""
+    slots = df.select(*keys, F.array_distinct(X.literals(F.col(gold_col))).alias("__vals"),
+                      F.posexplode(X.literals(F.col(pred_col))).alias("slot", "predicted"))
+    return slots.select(*keys, "slot", "predicted", F.explode("__vals").alias("value"))
 
 
-COMPARISON = (r"(?i)([\w.]+)\s*(>=|<=|!=|<>|=|>|<|\blike\b)\s*('(?:[^']|'')*'|\d+(?:\.\d+)?)")
-BETWEEN = r"(?i)([\w.]+)\s+between\s+(\d+(?:\.\d+)?)\s+and\s+(\d+(?:\.\d+)?)"
+def plugged(pred: Column, values: Column) -> Column:
+    """The predicted text with its i-th literal replaced by ``values[i]``."""
+    parts = F.split(X.replace_literals(pred, "\u0003"), "\u0003")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == F.size(parts) - 1, p).otherwise(
+        F.concat(p, F.coalesce(F.try_element_at(values, i + 1), F.lit(""))))), "")
+
+
+_NUMBER = r"-?\d++(?:\.\d++)?+"
+# The first alternative passes over quoted text that is not itself a compared value.
+COMPARISON = (r"(?i)([\w.]+)\s*(>=|<=|!=|<>|=|>|<|\blike\b)\s*+(" + X.QUOTED + "|" + _NUMBER + ")|" + X.QUOTED)
+BETWEEN = rf"(?i)([\w.]+)\s+between\s+({_NUMBER})\s+and\s+({_NUMBER})|" + X.QUOTED
 
 
 def typed_comparisons(df: DataFrame, text_col: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, column, op, value) for every literal comparison, BETWEEN ends
-    as ``>=`` / ``<=`` (E-12)."""
+    """(keys, table, column, op, value) for every literal comparison, BETWEEN
+    ends as ``>=`` / ``<=`` (E-12).  ``table`` is the column's qualifier, an
+    alias resolved to its table; of a bare column it is the query's table when
+    FROM names exactly one, else NULL."""
     t = F.col(text_col)
-    cmp = F.arrays_zip(F.regexp_extract_all(t, F.lit(COMPARISON), 1).alias("column"),
-                       F.regexp_extract_all(t, F.lit(COMPARISON), 2).alias("op"),
-                       F.regexp_extract_all(t, F.lit(COMPARISON), 3).alias("value"))
-    lo = F.arrays_zip(F.regexp_extract_all(t, F.lit(BETWEEN), 1).alias("column"),
-                      F.transform(F.regexp_extract_all(t, F.lit(BETWEEN), 1), lambda _: F.lit(">=")).alias("op"),
-                      F.regexp_extract_all(t, F.lit(BETWEEN), 2).alias("value"))
-    hi = F.arrays_zip(F.regexp_extract_all(t, F.lit(BETWEEN), 1).alias("column"),
-                      F.transform(F.regexp_extract_all(t, F.lit(BETWEEN), 1), lambda _: F.lit("<=")).alias("op"),
-                      F.regexp_extract_all(t, F.lit(BETWEEN), 3).alias("value"))
-    ex = df.select(*keys, F.explode(F.concat(cmp, lo, hi)).alias("c"))
-    return ex.select(*keys, F.lower("c.column").alias("column"), F.lower("c.op").alias("op"), F.col("c.value").alias("value"))
+
+    def found(pattern: str, op: Column | None, value: int) -> Column:
+        pick = lambda g: F.regexp_extract_all(t, F.lit(pattern), F.lit(g))
+        ops = pick(2) if op is None else F.transform(pick(1), lambda _: op)
+        zipped = F.arrays_zip(pick(1).alias("column"), ops.alias("op"), pick(value).alias("value"))
+        return F.filter(zipped, lambda x: x["column"] != "")
+    every = F.concat(found(COMPARISON, None, 3), found(BETWEEN, F.lit(">="), 2), found(BETWEEN, F.lit("<="), 3))
+    outer = X.strip_quoted(t)
+    named = r"(?i)\b(?:from|join|,)\s+(\w+)(?:\s+as)?\s+(?!(?:where|join|on|group|having|order|limit|union|intersect|except|left|right|full|inner|cross|natural)\b)(\w+)"
+    ex = df.select(*keys, F.array_distinct(F.transform(F.regexp_extract_all(
+                       outer, F.lit(r"(?i)\b(?:from|join)\s+(\w+)"), F.lit(1)), lambda x: F.lower(x))).alias("__tables"),
+                   F.transform(F.regexp_extract_all(outer, F.lit(named), F.lit(2)), lambda x: F.lower(x)).alias("__aliases"),
+                   F.transform(F.regexp_extract_all(outer, F.lit(named), F.lit(1)), lambda x: F.lower(x)).alias("__named"),
+                   F.explode(every).alias("c"))
+    full = F.lower("c.column")
+    prefix = F.regexp_extract(full, r"^(\w+)\.", 1)
+    of_alias = F.try_element_at(F.col("__named"), F.nullif(F.array_position("__aliases", prefix).cast("int"), F.lit(0)))
+    only = F.when(F.size("__tables") == 1, F.col("__tables")[0])
+    return ex.select(*keys, F.when(prefix == "", only).otherwise(F.coalesce(of_alias, prefix)).alias("table"),
+                     F.regexp_replace(full, r"^\w+\.", "").alias("column"), F.lower("c.op").alias("op"),
+                     F.col("c.value").alias("value"))
 
 
 # ----------------------------------------------------------- E-13 units
@@ -164,14 +177,14 @@ def _score(label_total: Column, pred_total: Column, equal: Column) -> Column:
                     F.when((label_total == pred_total) & equal, 1).otherwise(0).alias("score"))
 
 
-def component_scores(df: DataFrame, keys: Sequence[str], gold: str = "g", pred: str = "p") -> DataFrame:
-    """Long form (keys, component, label_total, pred_total, score) (E-13)."""
+def _components(gold: str, pred: str) -> dict[str, Column]:
+    """(label_total, pred_total, score) of every component of a row."""
     g, p = F.col(gold), F.col(pred)
     has_g, has_p = F.size(g["group_cols"]) > 0, F.size(p["group_cols"]) > 0
     has_og, has_op = F.size(g["order_items"]) > 0, F.size(p["order_items"]) > 0
     ao_eq = g["and_or"] == p["and_or"]
     iuen_g, iuen_p = (g["set_op"] != "").cast("int"), (p["set_op"] != "").cast("int")
-    comps = {
+    return {
         "select": _score(F.size(g["select"]), F.size(p["select"]), g["select"] == p["select"]),
         "select_no_agg": _score(F.size(g["select"]), F.size(p["select"]), g["select_no_agg"] == p["select_no_agg"]),
         "where": _score(F.size(g["where"]), F.size(p["where"]), g["where"] == p["where"]),
@@ -187,17 +200,22 @@ def component_scores(df: DataFrame, keys: Sequence[str], gold: str = "g", pred:
         "iuen": _score(iuen_g, iuen_p, (g["set_op"] == p["set_op"]) & (g["set_tail"] == p["set_tail"])),
         "keywords": _score(F.size(g["keywords"]), F.size(p["keywords"]), g["keywords"] == p["keywords"]),
     }
-    arr = F.array(*[F.struct(F.lit(k).alias("component"), v.alias("s")) for k, v in comps.items()])
+
+def component_scores(df: DataFrame, keys: Sequence[str], gold: str = "g", pred: str = "p") -> DataFrame:
+    """Long form (keys, component, label_total, pred_total, score) (E-13)."""
+    arr = F.array(*[F.struct(F.lit(k).alias("component"), v.alias("s")) for k, v in _components(gold, pred).items()])
     return df.select(*keys, F.explode(arr).alias("x")).select(
         *keys, F.col("x.component").alias("component"), F.col("x.s.label_total").alias("label_total"),
         F.col("x.s.pred_total").alias("pred_total"), F.col("x.s.score").alias("score"))
 
 
-def exact_match(scores: DataFrame, units_df: DataFrame, keys: Sequence[str], gold: str = "g", pred: str = "p") -> DataFrame:
-    """E-14: every component scores 1 and the same sorted tables."""
-    allc = scores.groupBy(*keys).agg(F.bool_and(F.col("score") == 1).alias("all_components"))
-    tabs = units_df.select(*keys, (F.col(f"{gold}.tables") == F.col(f"{pred}.tables")).alias("same_tables"))
-    return allc.join(tabs, list(keys)).select(*keys, (F.col("all_components") & F.col("same_tables")).cast("int").alias("exact"))
+def exact(gold: str = "g", pred: str = "p") -> Column:
+    """E-14: 1 if every component scores 1 and the sorted tables agree; a
+    condition on one row, so it costs no shuffle."""
+    ok = F.col(f"{gold}.tables") == F.col(f"{pred}.tables")
+    for c in _components(gold, pred).values():
+        ok = ok & (c["score"] == 1)
+    return ok.cast("int")
 
 
 # ------------------------------------------------------------ E-15 rollups
@@ -207,10 +225,8 @@ def partial_rollup(scores: DataFrame, level_col: str) -> DataFrame:
     over label_total > 0, F1 from the averages (1 when both are 0)."""
     acc = F.avg(F.when(F.col("pred_total") > 0, F.col("score")))
     rec = F.avg(F.when(F.col("label_total") > 0, F.col("score")))
-    g = (scores.groupBy(F.col(level_col).alias("level"), "component")
-         .agg(acc.alias("acc"), rec.alias("rec")))
-    allv = scores.groupBy("component").agg(acc.alias("acc"), rec.alias("rec")).withColumn("level", F.lit("all"))
-    out = g.unionByName(allv).fillna(0.0, subset=["acc", "rec"])
+    both = scores.withColumn("level", F.explode(F.array(F.col(level_col), F.lit("all"))))
+    out = both.groupBy("level", "component").agg(acc.alias("acc"), rec.alias("rec")).fillna(0.0, subset=["acc", "rec"])
     f1 = F.when((F.col("acc") == 0) & (F.col("rec") == 0), F.lit(1.0)).otherwise(
         2.0 * F.col("acc") * F.col("rec") / (F.col("acc") + F.col("rec")))
     return out.withColumn("f1", f1)
@@ -242,10 +258,9 @@ def turn_accuracy(turns: DataFrame, session_col: str, turn_col: str, flags: Sequ
 def success_by_iteration(df: DataFrame, db_col: str, iter_col: str, flag_col: str, offset: int = 2) -> DataFrame:
     """Successful conversions per (db, iteration) and per iteration overall
     (db = 'all'); iterations are stored with an offset (E-17)."""
-    ok = df.filter(F.col(flag_col)).withColumn("iteration", F.col(iter_col) - offset)
-    per_db = ok.groupBy(db_col, "iteration").agg(F.count(F.lit(1)).alias("n_success"))
-    total = ok.groupBy("iteration").agg(F.count(F.lit(1)).alias("n_success")).withColumn(db_col, F.lit("all"))
-    return per_db.unionByName(total)
+    ok = df.filter(F.col(flag_col)).select(F.explode(F.array(F.col(db_col), F.lit("all"))).alias(db_col),
+                                           (F.col(iter_col) - offset).alias("iteration"))
+    return ok.groupBy(db_col, "iteration").agg(F.count(F.lit(1)).alias("n_success"))
 
 
 def rate_by_level(df: DataFrame, level_col: str, flag_col: str) -> DataFrame:
@@ -272,12 +287,9 @@ def cumulative_success(df: DataFrame, level_col: str, iter_col: str, flag_col: s
     """Cumulative successes by iteration, overall ('all') and per level, and
     normalised by the level size (E-20).  The window runs over the small
     aggregated (level, iteration) table, not the raw rows."""
-    per = df.groupBy(level_col, iter_col).agg(F.count_if(F.col(flag_col)).alias("n_success"))
-    sizes = df.groupBy(level_col).agg(F.count(F.lit(1)).alias("level_size"))
-    allp = (df.groupBy(iter_col).agg(F.count_if(F.col(flag_col)).alias("n_success"))
-            .withColumn(level_col, F.lit("all")))
-    alls = df.agg(F.count(F.lit(1)).alias("level_size")).withColumn(level_col, F.lit("all"))
-    per = per.unionByName(allp).join(sizes.unionByName(alls), level_col)
+    both = df.select(F.explode(F.array(F.col(level_col), F.lit("all"))).alias(level_col), iter_col, flag_col)
+    per = both.groupBy(level_col, iter_col).agg(F.count_if(F.col(flag_col)).alias("n_success"), F.count("*").alias("__n"))
+    per = per.withColumn("level_size", F.sum("__n").over(Window.partitionBy(level_col))).drop("__n")
     w = Window.partitionBy(level_col).orderBy(iter_col).rowsBetween(Window.unboundedPreceding, 0)
     return (per.withColumn("cum_success", F.sum("n_success").over(w))
             .withColumn("cum_rate", F.col("cum_success") / F.col("level_size")))

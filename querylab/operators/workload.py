@@ -113,10 +113,12 @@ def with_hardness(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
 # --------------------------------------------------- C-4 / C-5 profiles
 
 def db_profile(df: DataFrame, db_col: str = "db_id", max_tables: int = 7) -> DataFrame:
-    """Per-database counts by hardness, by table count and nested (C-4).
+    """Per-database counts by hardness, by table count (``table_other``:
+    none, or more than ``max_tables``) and nested (C-4).
     Conditional counts instead of a pivot: one pass, fixed output schema."""
     aggs = [F.count_if(F.col("hardness") == lv).alias(lv) for lv in LEVELS]
     aggs += [F.count_if(F.col("n_tables") == k).alias(f"table_{k}") for k in range(1, max_tables + 1)]
+    aggs += [F.count_if(~F.col("n_tables").between(1, max_tables)).alias("table_other")]
     aggs += [F.count_if(F.col("comp2") > 0).alias("nested"), F.count(F.lit(1)).alias("all")]
     return df.groupBy(db_col).agg(*aggs)
 
@@ -274,30 +276,36 @@ def fill_quota(df: DataFrame, quota: DataFrame, group: Sequence[str], level_col:
 
 
 def hash_order(id_col: str) -> Column:
-    """Deterministic pseudo-random order reproducible in any SQL engine."""
-    return (F.col(id_col) % 1000003) * 2654435761 % 4294967311
+    """Deterministic pseudo-random order reproducible in any SQL engine: every
+    bit of the id enters, so the order does not repeat."""
+    return F.md5(F.col(id_col).cast("string"))
 
 
 # ------------------------------------------------ C-15 weighted resampling
 
-def weighted_draws(categories: DataFrame, cat_col: str, weight_col: str,
-                   draws: DataFrame, draw_col: str, buckets: int = 1024) -> DataFrame:
+def draw_point(draw_col: str, total: int) -> Column:
+    """A point of [0, total) by the hash of a draw's id."""
+    return F.conv(F.substring(F.md5(F.col(draw_col).cast("string")), 1, 15), 16, 10).cast("long") % total
+
+
+def weighted_draws(categories: DataFrame, cat_col: str, weight_col: str, draws: DataFrame, draw_col: str) -> DataFrame:
     """With-replacement weighted choice, one pick per draw row (C-15).
 
     Weights are non-negative integers.  Each category owns the half-open
     interval [lo, lo + w) of the cumulative weight line; draw d picks the
-    category whose interval holds ``r = hash(d) mod W``.  The interval table
-    is exploded into the fixed buckets of the line it overlaps and draws
-    join on their bucket (an equi join plus a range check), so neither side
-    is cross joined or broadcast by assumption.
+    category whose interval holds ``r = hash(d) mod W``.  The line is cut into
+    as many buckets as there are categories (in powers of two), the interval
+    table is exploded into the buckets it overlaps, and draws join on their
+    bucket (an equi join plus a range check): on average an interval or two a
+    bucket, and draws spread over all of them.
     """
     cats = running_sum(categories.filter(F.col(weight_col) > 0), [F.col(cat_col)], weight_col, "lo")
     cats = cats.withColumn("hi", F.col("lo") + F.col(weight_col))
-    total = cats.agg(F.sum(weight_col).cast("long")).scalar()
-    width = F.greatest(F.ceil(total / buckets), F.lit(1)).cast("long")
+    total, n = cats.agg(F.sum(weight_col).cast("long"), F.count("*")).first()
+    total, width = total or 1, max(1, (total or 1) >> max(10, n.bit_length()))
     spans = cats.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"),
                                                            F.floor((F.col("hi") - 1) / width).cast("long"))))
-    d = draws.withColumn("r", ((F.col(draw_col) % 1000003) * 2654435761) % total)
+    d = draws.withColumn("r", draw_point(draw_col, total))
     d = d.withColumn("bucket", F.floor(F.col("r") / width).cast("long"))
     return (d.join(spans.select(cat_col, "lo", "hi", "bucket"), "bucket")
             .filter((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))

@@ -93,9 +93,11 @@ def s6(t: Tables) -> DataFrame:
        ids=("S-8",))
 def s8(t: Tables) -> DataFrame:
     """Field of a JSON cell after repair: some cells are damaged on purpose
-    (trailing comma, single quotes) and must still yield the field."""
+    (trailing comma, single quotes), some hold apostrophes, and all must yield
+    the field."""
     p = F.col("props")
-    broken = (F.when(F.col("event_id") % 7 == 0, F.regexp_replace(p, "}$", ", }"))
+    broken = (F.when(F.col("event_id") % 5 == 0, F.regexp_replace(p, "}$", ", \"note\": \"it's {ok}\"}"))
+              .when(F.col("event_id") % 7 == 0, F.regexp_replace(p, "}$", ", }"))
               .when(F.col("event_id") % 11 == 0, F.regexp_replace(p, '"', "'")).otherwise(p))
     return t.events.select("event_id", S.repaired_json_field(broken, "k").alias("k"))
 
@@ -145,8 +147,7 @@ def e21(t: Tables) -> DataFrame:
     """Failures written as an evaluation log (delimited text blocks), mined
     back and filtered to one hardness level."""
     path = _tmp(t, "evallog")
-    u = unit_pairs(t)
-    ex = SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
+    ex = unit_pairs(t).select("query_id", SC.exact().alias("exact"))
     f = (featured(t).join(ex.filter(F.col("exact") == 0), "query_id")
          .withColumn("question", F.concat(F.lit("q"), F.col("query_id").cast("string"))))
     S.write_log_blocks(f, path, "hardness", "pred_sql", "gold_sql", "question")

@@ -20,7 +20,9 @@ from querylab.tables import Tables
 
 # ------------------------------------------------------------ E-9 .. E-12
 
-_LIT = X.LITERAL.replace("'", "''")
+# The workload's literals are unsigned integers and single-quoted words: a
+# pattern of the oracle's own, not the library's.
+_LIT = r"''[^'']*''|\b[0-9]+\b"
 
 
 @query("E9_cleanup", WORK + """SELECT query_id, array_to_string(list_transform(string_split(pred_sql, ''''),
@@ -51,31 +53,36 @@ def e11(t: Tables) -> DataFrame:
     return w.select("query_id", F.size(vals).alias("n_values"), slots.alias("n_slots"), n_alt.alias("n_alternatives"))
 
 
-@query("E11_value_plugins", None, ids=("E-11",))
+@query("E11_value_plugins", WORK + f"""SELECT query_id, slot, predicted, value FROM (
+  SELECT query_id, slot - 1 AS slot, p[slot] AS predicted, UNNEST(v) AS value FROM (
+    SELECT query_id, p, v, UNNEST(range(1, len(p) + 1)) AS slot FROM (
+      SELECT query_id, regexp_extract_all(pred_sql, '({_LIT})', 1) AS p,
+             list_distinct(regexp_extract_all(gold_sql, '({_LIT})', 1)) AS v FROM w) x) y) z""", ids=("E-11",))
 def e11_rows(t: Tables) -> DataFrame:
-    """Every predicted query with gold values plugged into its slots (row
-    count = sum of |values| ^ slots; checked against E11 counts in tests)."""
+    """What each literal slot of a predicted query may be filled with."""
     w = W.workload_table(t.spark, t.sf_dir)
-    return SC.plugged_predictions(w, "gold_sql", "pred_sql", ["query_id"])
+    return SC.plug_candidates(w, "gold_sql", "pred_sql", ["query_id"])
 
 
-_CMP = SC.COMPARISON.replace("'", "''")
-_BTW = SC.BETWEEN.replace("'", "''")
+# Patterns of the oracle's own: one table, one blank on each side of an operator.
+_CMP = r"([A-Za-z_.]+) ?(>=|<=|!=|=|>|<|LIKE) ?(''[^'']*''|[0-9]+)"
+_BTW = r"([A-Za-z_.]+) BETWEEN ([0-9]+) AND ([0-9]+)"
+_ONE_TABLE = """CASE WHEN len(list_distinct(regexp_extract_all(gold_sql, '(?:FROM|JOIN) ([a-z_]+)', 1))) = 1
+  THEN regexp_extract(gold_sql, 'FROM ([a-z_]+)', 1) END"""
 
 
 @query("E12_typed_comparisons", WORK + f"""
-SELECT query_id, lower(c) AS "column", lower(o) AS op, v AS value FROM (
-  SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 1)) AS c,
+SELECT query_id, CASE WHEN c LIKE '%.%' THEN split_part(c, '.', 1) ELSE tab END AS "table",
+       CASE WHEN c LIKE '%.%' THEN split_part(c, '.', 2) ELSE c END AS "column", lower(o) AS op, v AS value FROM (
+  SELECT query_id, {_ONE_TABLE} AS tab, UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 1)) AS c,
          UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 2)) AS o,
-         UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 3)) AS v FROM w) a
-UNION ALL
-SELECT query_id, lower(c), '>=', v FROM (
-  SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)) AS c,
-         UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 2)) AS v FROM w) b
-UNION ALL
-SELECT query_id, lower(c), '<=', v FROM (
-  SELECT query_id, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)) AS c,
-         UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 3)) AS v FROM w) d""", ids=("E-12",))
+         UNNEST(regexp_extract_all(gold_sql, '{_CMP}', 3)) AS v FROM w
+  UNION ALL
+  SELECT query_id, {_ONE_TABLE}, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)), '>=',
+         UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 2)) FROM w
+  UNION ALL
+  SELECT query_id, {_ONE_TABLE}, UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 1)), '<=',
+         UNNEST(regexp_extract_all(gold_sql, '{_BTW}', 3)) FROM w) x""", ids=("E-12",))
 def e12(t: Tables) -> DataFrame:
     return SC.typed_comparisons(W.workload_table(t.spark, t.sf_dir), "gold_sql", ["query_id"])
 
@@ -194,8 +201,7 @@ def e13(t: Tables) -> DataFrame:
 
 @query("E14_exact_match", _EXACT_SQL, ids=("E-14",))
 def e14(t: Tables) -> DataFrame:
-    u = unit_pairs(t)
-    return SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
+    return unit_pairs(t).select("query_id", SC.exact().alias("exact"))
 
 
 _PARTIAL_SQL = f"""{TRUTH}, s AS ({_SCORES_SQL}),
@@ -221,8 +227,7 @@ def e15(t: Tables) -> DataFrame:
 SELECT COALESCE(hardness, 'all') AS level, COUNT(*) AS n, AVG(CAST(exact AS DOUBLE)) AS exact
 FROM t JOIN e USING (query_id) GROUP BY ROLLUP (hardness)""", ids=("E-15", "E-7"))
 def e15_exact(t: Tables) -> DataFrame:
-    u = unit_pairs(t)
-    ex = SC.exact_match(SC.component_scores(u, ["query_id"]), u, ["query_id"])
+    ex = unit_pairs(t).select("query_id", SC.exact().alias("exact"))
     lv = featured(t).select("query_id", "hardness")
     return SC.exact_rollup(ex.join(lv, "query_id"), "hardness", ["exact"]).select("level", "n", "exact")
 
@@ -302,24 +307,26 @@ def failures(t: Tables) -> DataFrame:
     preds = W.multi_model_table(t.spark, t.sf_dir).select(
         "query_id", "model", SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
     pu = SC.with_units(preds, "pred", "p").select("query_id", "model", "p")
-    u = pu.join(gu, "query_id")
-    keys = ["query_id", "model"]
-    ex = SC.exact_match(SC.component_scores(u, keys), u, keys)
-    return (u.select(*keys, "db_id", "gold_sql").join(ex.filter(F.col("exact") == 0), keys)
-            .select("model", "db_id", "gold_sql").distinct())
+    u = pu.join(gu, "query_id").filter(SC.exact() == 0)
+    return u.select("model", "db_id", "gold_sql").distinct()
+
+
+def _n_models(t: Tables) -> int:
+    """How many models there are predictions of."""
+    return W.multi_model_table(t.spark, t.sf_dir).agg(F.count_distinct("model")).first()[0]
 
 
 @query("E22_common_failures", _FAIL_SQL + " SELECT db_id, gold_sql FROM fail GROUP BY db_id, gold_sql "
-       "HAVING COUNT(DISTINCT model) = 3", ids=("E-22",))
+       "HAVING COUNT(DISTINCT model) = (SELECT COUNT(DISTINCT model) FROM m)", ids=("E-22",))
 def e22(t: Tables) -> DataFrame:
-    """Failed (db, gold template) pairs shared by all three models."""
-    return SC.common_failures(failures(t), ["db_id", "gold_sql"], "model", 3)
+    """Failed (db, gold template) pairs shared by all models."""
+    return SC.common_failures(failures(t), ["db_id", "gold_sql"], "model", _n_models(t))
 
 
 @query("E23_unique_failures", _FAIL_SQL + ", common AS (SELECT db_id, gold_sql FROM fail GROUP BY db_id, "
-       "gold_sql HAVING COUNT(DISTINCT model) = 3) SELECT f.model, f.db_id, f.gold_sql FROM fail f "
+       "gold_sql HAVING COUNT(DISTINCT model) = (SELECT COUNT(DISTINCT model) FROM m)) SELECT f.model, f.db_id, f.gold_sql FROM fail f "
        "ANTI JOIN common c ON f.db_id = c.db_id AND f.gold_sql = c.gold_sql", ids=("E-23",))
 def e23(t: Tables) -> DataFrame:
     k = ["db_id", "gold_sql"]
     f = failures(t)
-    return SC.unique_failures(f, SC.common_failures(f, k, "model", 3), k)
+    return SC.unique_failures(f, SC.common_failures(f, k, "model", _n_models(t)), k)

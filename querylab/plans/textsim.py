@@ -55,18 +55,18 @@ def _prf_sql(prefix: str) -> str:
 @query("E24_candidate_pairs", f"WITH {_PAIRS_CTE} SELECT item_id, doc_id FROM pairs", ids=("E-24",))
 def e24_pairs(t: Tables) -> DataFrame:
     """Benchmark items and the documents sharing a word 8-gram with them."""
-    return TS.candidate_pairs(t.benchmark, "item_id", t.spread("documents"), "doc_id", n=N_SHARED)
+    return TS.candidate_pairs(t.benchmark, "item_id", t.documents, "doc_id", n=N_SHARED)
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return TS.candidate_pairs(t.benchmark, "item_id", t.spread("documents"), "doc_id", n=N_SHARED)
+    return TS.candidate_pairs(t.benchmark, "item_id", t.documents, "doc_id", n=N_SHARED)
 
 
 def _inputs(t: Tables):
     """(pairs, benchmark, paired documents), each materialised once in the
     shared checkpoint folder: every n-gram branch of ROUGE/BLEU reads them
     instead of re-scanning and re-tokenising the whole document table."""
-    docs = t.spread("documents").select("doc_id", "text")
+    docs = t.documents.select("doc_id", "text")
     bench = t.benchmark.select("item_id", "text")
     pairs = TS.candidate_pairs(bench, "item_id", docs, "doc_id", n=N_SHARED).checkpoint(eager=True)
     used = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").checkpoint(eager=True)

@@ -103,35 +103,47 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, multil
 
 
 def repaired_json_field(cell: Column, field: str, dtype: str = "bigint") -> Column:
-    """One field of a possibly broken JSON cell (S-8): trailing commas and
-    single quotes are repaired, then the field is parsed; a regex capture is
-    the fallback when the cell still does not parse."""
-    fixed = F.regexp_replace(F.regexp_replace(cell, r",\s*([}\]])", "$1"), "'", '"')
-    parsed = F.get_json_object(fixed, f"$.{field}")
+    """One field of a possibly broken JSON cell (S-8): the cell as it stands
+    is parsed first; only if that fails are trailing commas dropped, then
+    single quotes swapped; a regex capture is the last resort."""
+    path = f"$.{field}"
+    trimmed = F.regexp_replace(cell, r",\s*([}\]])", "$1")
     fallback = F.regexp_extract(cell, rf"""["']{field}["']\s*:\s*["']?([^,"'}}]+)""", 1)
-    return F.coalesce(parsed, F.when(fallback != "", fallback)).try_cast(dtype)
+    return F.coalesce(F.get_json_object(cell, path), F.get_json_object(trimmed, path),
+                      F.get_json_object(F.regexp_replace(trimmed, "'", '"'), path),
+                      F.when(fallback != "", fallback)).try_cast(dtype)
 
 
 # ------------------------------------------------------------------- logs
 
-LOG_SEPARATOR = "\n@@@@@@@@@@\n"
+#: Fixed values of the log format: the labels of a block's fields, and the
+#: characters whose runs (of any length from three) separate blocks.
+LOG_LABELS = ("Execution error", "Predicted SQL", "Gold SQL", "Question")
+LOG_MARKS = ("@", "-")
 
 
-def write_log_blocks(df: DataFrame, path: str, level_col: str, pred_col: str, gold_col: str, question_col: str) -> None:
+def write_log_blocks(df: DataFrame, path: str, level_col: str, pred_col: str, gold_col: str, question_col: str,
+                     mark: str = "@", run: int = 10) -> None:
     """Evaluation log: one block per failure (level, predicted, gold, question)."""
-    block = F.concat(F.lit("Execution error "), F.col(level_col), F.lit("\nPredicted SQL: "), F.col(pred_col),
-                     F.lit("\nGold SQL: "), F.col(gold_col), F.lit("\nQuestion: "), F.col(question_col))
-    df.select(block.alias("value")).write.mode("overwrite").option("lineSep", LOG_SEPARATOR).text(path)
-
-
-def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(level, pred, gold, question) per log block (S-7)."""
-    b = spark.read.option("lineSep", LOG_SEPARATOR).text(path).filter(F.length(F.trim("value")) > 0)
-    v = F.col("value")
-    return b.select(F.regexp_extract(v, r"Execution error (\w+)", 1).alias("level"),
-                    F.regexp_extract(v, r"(?m)^Predicted SQL: (.*)$", 1).alias("pred"),
-                    F.regexp_extract(v, r"(?m)^Gold SQL: (.*)$", 1).alias("gold"),
-                    F.regexp_extract(v, r"(?m)^Question: (.*)$", 1).alias("question"))
+    level, *rest = LOG_LABELS
+    block = F.concat(F.lit(f"{level} "), F.col(level_col), *[
+        x for label, c in zip(rest, (pred_col, gold_col, question_col)) for x in (F.lit(f"\n{label}: "), F.col(c))])
+    df.select(block.alias("value")).write.mode("overwrite").option("lineSep", f"\n{mark * run}\n").text(path)
+
+
+def read_log_blocks(spark: SparkSession, path: str, mark: str = "@") -> DataFrame:
+    """(level, pred, gold, question) per log block (S-7).  Blocks are separated
+    by lines of three or more ``mark``; a field runs, over any number of lines,
+    to the next label.  Files are split at the separators, not read whole."""
+    run = mark * 3
+    b = spark.read.option("lineSep", f"\n{run}").text(path)
+    v = F.regexp_replace("value", rf"^\s*(?:{mark})*\s*", "")
+    level, *rest = LOG_LABELS
+    ends = rf"(?=\n\s*(?:{'|'.join(LOG_LABELS)})|\s*$)"
+    return (b.select(v.alias("v")).filter(F.col("v").contains(level))
+            .select(F.regexp_extract("v", rf"{level}:?\s+(\w+)", 1).alias("level"),
+                    *[F.trim(F.regexp_extract("v", rf"(?s){label}:[ \t]*\n?(.*?){ends}", 1)).alias(c)
+                      for label, c in zip(rest, ("pred", "gold", "question"))]))
 
 
 # ----------------------------------------------------------------- resume

@@ -15,6 +15,7 @@ them from the text with regular expressions: an independent check.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ----------------------------------------------------------------- shapes
 # Each parameter is an integer SQL expression over event_id / user_id.
@@ -161,26 +162,27 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEMO: dict = {}
 
 
-def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Materialise a derived input table once per Spark application (a
-    reliable checkpoint in the shared checkpoint folder), so the queries that
-    read it do not re-derive it and their plans stay small."""
-    k = (spark.sparkContext.applicationId, *key)
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table (no content is read)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return tuple(f.agg(F.count("*"), F.sum("length"), F.max("modificationTime"),
+                       F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Materialise a table derived from ``events`` once per Spark application
+    and state of its files (a reliable checkpoint in the shared folder), so
+    the queries that read it do not re-derive it and their plans stay small.
+    The rows are dealt evenly as they are written."""
+    k = (spark.sparkContext.applicationId, name, sf_dir, _state(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
     if k not in _MEMO:
-        df = build()
-        # A small input file is a single scan partition; the per-row text work
-        # downstream needs the cores, so spread it (a metadata check: with
-        # many input files the table is already split and is not shuffled).
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
-        _MEMO[k] = df.checkpoint(eager=True)
+        _MEMO[k] = build().hint("rebalance").checkpoint(eager=True)
     return _MEMO[k]
 
 
 def workload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The workload view, materialised once per application."""
-    return _memo(spark, ("workload", sf_dir), lambda: workload(spark, sf_dir))
+    return _memo(spark, sf_dir, "workload", lambda: workload(spark, sf_dir))
 
 
 def workload_sql() -> str:
@@ -206,7 +208,7 @@ def multi_model_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, ("multi_model", sf_dir), lambda: multi_model_workload(spark, sf_dir))
+    return _memo(spark, sf_dir, "multi_model", lambda: multi_model_workload(spark, sf_dir))
 
 
 def multi_model_sql() -> str:

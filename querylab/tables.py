@@ -29,15 +29,6 @@ class Tables:
             raise KeyError(name)
         return self.spark.read.parquet(self.path(name))
 
-    def spread(self, name: str) -> DataFrame:
-        """Scan for per-row heavy work (text tokenising, regexes): when the
-        files give fewer scan partitions than the cluster has cores (one small
-        file, one row group) the rows are spread round-robin; a large table
-        already has enough splits and is returned untouched (no shuffle)."""
-        df = self.table(name)
-        par = self.spark.sparkContext.defaultParallelism
-        return df.repartition(par) if df.rdd.getNumPartitions() < par else df
-
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             return self.table(name)

@@ -1,6 +1,8 @@
 """Unit tests of operators on small hand-made inputs, checked against the
 rules of the evaluator or against brute force."""
 
+import hashlib
+
 import itertools
 
 import pytest
@@ -39,21 +41,52 @@ def test_hardness_rules(spark):
     assert got == {i: h for i, (_, h) in enumerate(HARDNESS_CASES)}
 
 
-def test_hardness_expr_table(spark):
-    """The rule table itself, over a grid of (comp1, comp2, others)."""
-    def rule(c1, c2, o):
-        if c1 <= 1 and o == 0 and c2 == 0:
-            return "easy"
-        if (o <= 2 and c1 <= 1 and c2 == 0) or (c1 <= 2 and o < 2 and c2 == 0):
-            return "medium"
-        if (o > 2 and c1 <= 2 and c2 == 0) or (2 < c1 <= 3 and o <= 2 and c2 == 0) or \
-                (c1 <= 1 and o == 0 and c2 <= 1):
-            return "hard"
-        return "extra"
-    grid = list(itertools.product(range(5), range(3), range(5)))
-    df = spark.createDataFrame(grid, "c1 int, c2 int, o int")
-    rows = df.select("c1", "c2", "o", WL.hardness_expr(F.col("c1"), F.col("c2"), F.col("o")).alias("h")).collect()
-    assert all(r.h == rule(r.c1, r.c2, r.o) for r in rows)
+# (comp1, comp2, others) and the label, worked out by hand from the published rule.
+HARDNESS_POINTS = {
+    "easy": [(0, 0, 0), (1, 0, 0)],
+    "medium": [(0, 0, 1), (1, 0, 2), (2, 0, 0), (2, 0, 1)],
+    "hard": [(0, 0, 3), (2, 0, 3), (3, 0, 0), (3, 0, 2), (2, 0, 4), (0, 1, 0), (1, 1, 0)],
+    "extra": [(3, 0, 3), (4, 0, 0), (4, 0, 2), (2, 1, 0), (1, 1, 1), (0, 2, 0), (2, 0, 2)],
+}
+
+
+def test_hardness_points(spark):
+    rows = [(*p, label) for label, points in HARDNESS_POINTS.items() for p in points]
+    df = spark.createDataFrame(rows, "c1 int, c2 int, o int, label string")
+    got = df.withColumn("h", WL.hardness_expr(F.col("c1"), F.col("c2"), F.col("o"))).collect()
+    assert [tuple(r) for r in got if r.h != r.label] == []
+
+
+DEEP_CASES = [
+    # subqueries and functions at any depth, both quotes
+    ("SELECT a FROM t WHERE x = (SELECT max(round(abs(b), 2)) FROM u WHERE c IN (SELECT d FROM v WHERE e = (SELECT min(f(g(h))) FROM w))) AND y > 1",
+     dict(n_where_conds=2, n_comparison_subquery=1, n_nested_where=1, n_in_subquery=0)),
+    ("SELECT f(g(a, b), h(c, i(d, e))), z FROM t", dict(n_select=2)),
+    ('SELECT a FROM t WHERE name = "x and y or (z" AND note = \'it\'\'s "and" so\'', dict(n_where_conds=2, n_or=0)),
+    ("SELECT a FROM (SELECT b, c FROM u WHERE d = (SELECT 1)) s WHERE s.b BETWEEN 1 AND 2", dict(n_select=1, has_from_subquery=1, n_between=1, n_where_conds=1)),
+]
+
+
+def test_text_features_at_any_depth(spark):
+    df = spark.createDataFrame([(q,) for q, _ in DEEP_CASES], "q string")
+    for r, (q, want) in zip(WL.clause_features(df, "q").collect(), DEEP_CASES):
+        assert {k: r[k] for k in want} == want, q
+
+
+def test_literals_of_both_quotes_and_signs(spark):
+    df = spark.createDataFrame([('SELECT a-3 FROM t WHERE b = -3 AND c IN (-1.5, 2) AND d = "it\'s" AND e = \'say ""x\'',)], "q string")
+    from querylab.functions import sqltext as X
+    assert df.select(X.literals("q").alias("v")).first().v == ["3", "-3", "-1.5", "2", '"it\'s"', "'say \"\"x'"]
+
+
+def test_typed_comparisons(spark):
+    df = spark.createDataFrame([
+        (1, 'SELECT T1.n FROM people AS T1 JOIN pets T2 ON T1.id = T2.pid WHERE T1.n = "abc = 1" AND T2.age >= -3'),
+        (2, "SELECT n FROM people WHERE n LIKE 'a%' AND age BETWEEN -1 AND 2.5"),
+        (3, "SELECT n FROM a JOIN b ON a.x = b.y WHERE z < 4")], "id int, q string")
+    got = sorted((tuple(r) for r in SC.typed_comparisons(df, "q", ["id"]).collect()), key=str)
+    assert got == sorted([(1, "people", "n", "=", '"abc = 1"'), (1, "pets", "age", ">=", "-3"), (2, "people", "n", "like", "'a%'"),
+                          (2, "people", "age", ">=", "-1"), (2, "people", "age", "<=", "2.5"), (3, None, "z", "<", "4")], key=str)
 
 
 # ------------------------------------------------------------ NOT IN
@@ -81,9 +114,9 @@ def _pair(spark, gold, pred, gschema, pschema, ordered=False):
 
 
 def test_result_eq_arity_case(spark):
-    """Rows of different arity are never equal (the evaluator's own check)."""
-    s1 = [(5, 9, "a", "b"), (3, 3, "c", "d")]
-    s2 = [(10, 5, 9, "a", "b"), (23, 3, 3, "c", "d")]
+    """Rows of different arity are never equal, but may be partial answers."""
+    s1 = [(71, 40, "oak", "elm"), (18, 18, "fir", "yew")]
+    s2 = [(6, 71, 40, "oak", "elm"), (7, 18, 18, "fir", "yew")]
     v = _pair(spark, s1, s2, "a int, b int, c string, d string", "z int, a int, b int, c string, d string")
     assert not v.equal and v.partial
 
@@ -104,6 +137,30 @@ def test_result_eq_numbers_and_nulls(spark):
     assert _pair(spark, [], [], "a int", "a int, b int").equal
 
 
+def test_result_eq_is_exact_beyond_doubles(spark):
+    from decimal import Decimal
+    big = 9007199254740992
+    assert not _pair(spark, [(big,)], [(big + 1,)], "a long", "a long").equal
+    assert _pair(spark, [(big,)], [(float(big),)], "a long", "a double").equal
+    assert _pair(spark, [(Decimal("12345678.90"), Decimal("100.00"))], [(12345678.9, 100.0)], "a decimal(12,2), b decimal(12,2)",
+                 "a double, b double").equal
+    assert _pair(spark, [(0.0, Decimal("0.00"))], [(-0.0, 0.0)], "a double, b decimal(5,2)", "a double, b double").equal
+    assert _pair(spark, [(1.5e-9, float("nan"))], [(1.5e-9, float("nan"))], "a double, b double", "a double, b double").equal
+
+
+def test_result_eq_with_many_tied_columns(spark):
+    """Ten columns that are the same in every row are one choice, not ten factorial."""
+    cols = [f"c{k}" for k in range(10)]
+    gold = ", ".join(f"{c} string" for c in cols) + ", k int"
+    pred = "k int, " + ", ".join(f"{c} string" for c in cols)
+    rows = [((None,) * 10 + (i,), (i,) + (None,) * 10) for i in range(20)]
+    assert _pair(spark, [a for a, _ in rows], [b for _, b in rows], gold, pred).equal
+    # columns tied as bags but linked to their rows
+    left = [(i % 3, (i + 1) % 3, (i + 2) % 3) for i in range(9)]
+    assert _pair(spark, left, [(c, a, b) for a, b, c in left], "a int, b int, c int", "x int, y int, z int").equal
+    assert not _pair(spark, left, [(c, b, a) for a, b, c in left[:-1]] + [(0, 0, 0)], "a int, b int, c int", "x int, y int, z int").equal
+
+
 def test_result_eq_ordered(spark):
     assert _pair(spark, [(1,), (2,)], [(1,), (2,)], "a int", "a int", ordered=True).equal
     assert not _pair(spark, [(1,), (2,)], [(2,), (1,)], "a int", "a int", ordered=True).equal
@@ -116,6 +173,27 @@ def test_dense_positions(spark):
     assert [r.v for r in pos] == sorted(r.v for r in pos)
 
 
+@pytest.mark.parametrize("partitions,coalesce", [(8, True), (200, True), (200, False)])
+def test_positions_are_a_permutation(spark, partitions, coalesce):
+    """Rows with payload, many and few partitions, merged and not: nothing is lost or numbered twice."""
+    keys = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": str(coalesce).lower(),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 200_000).select(((F.col("id") * 7919) % 200_003).alias("v"), F.repeat(F.lit("x"), 40).alias("pay"))
+        pos = C.dense_positions(df, [F.col("v")]).agg(
+            F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()
+        assert tuple(pos) == (200_000, 200_000, 0, 199_999)
+        run = C.running_sum(df.withColumn("one", F.lit(1)), [F.col("v")], "one", "before").select("before").agg(
+            F.count("*"), F.count_distinct("before"), F.max("before")).first()
+        assert tuple(run) == (200_000, 200_000, 199_999)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # ------------------------------------------------------------ components
 
 def test_connected_components_vs_brute_force(spark):
@@ -174,15 +252,16 @@ def test_rouge_l_on_fixture(spark, sf_dir):
 
 # ----------------------------------------------------------- value plugs
 
-def test_plugged_predictions_count(spark):
-    df = spark.createDataFrame([(1, "SELECT a FROM t WHERE x = 3 AND y = 'k'", "SELECT a FROM t WHERE x = 1 AND y = 2"),
+def test_plug_candidates_and_plugged(spark):
+    df = spark.createDataFrame([(1, "SELECT a FROM t WHERE x = 3 AND y = 'k'", "SELECT a FROM t WHERE x = 1 AND y = -2"),
                                 (2, "SELECT 1", "SELECT b FROM t")], "id int, g string, p string")
-    rows = SC.plugged_predictions(df, "g", "p", ["id"]).collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.id, []).append(r.plugged)
-    assert len(by[1]) == 4 and "SELECT a FROM t WHERE x = 'k' AND y = 3" in by[1]
-    assert by[2] == ["SELECT b FROM t"]
+    rows = sorted(tuple(r) for r in SC.plug_candidates(df, "g", "p", ["id"]).collect())
+    assert rows == [(1, 0, "1", "'k'"), (1, 0, "1", "3"), (1, 1, "-2", "'k'"), (1, 1, "-2", "3")]
+    got = df.select(SC.plugged(F.col("p"), F.array(F.lit("'k'"), F.lit("3"))).alias("t")).collect()
+    assert [r.t for r in got] == ["SELECT a FROM t WHERE x = 'k' AND y = 3", "SELECT b FROM t"]
+    many = " AND ".join(f"x{k} = {k}" for k in range(60))
+    one = spark.createDataFrame([(many, many)], "g string, p string")
+    assert one.select(SC.plug_alternatives(F.col("g"), F.col("p"))[2].alias("n")).first().n is None
 
 
 def test_weighted_draws_exact(spark):
@@ -194,7 +273,7 @@ def test_weighted_draws_exact(spark):
     hi = {1: 5, 3: 15, 4: 16}
     want = {}
     for d in range(500):
-        r = ((d % 1000003) * 2654435761) % 16
+        r = int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16) % 16
         for c in lo:
             if lo[c] <= r < hi[c]:
                 want[c] = want.get(c, 0) + 1
