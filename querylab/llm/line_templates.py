@@ -32,22 +32,38 @@ CONSTANT = 0.6
 _BLANK = r"[\x20\x09\x0B-\x0D]+"
 
 
+_WORD = r"[^\x20\x09\x0B-\x0D]"
+
+
+def _masked(text: Column) -> Column:
+    """The text with every token that has a digit masked; each token is looked at once."""
+    digit_free = r"[^\x20\x09\x0B-\x0D0-9]"
+    return F.regexp_replace(text, rf"(?<!{_WORD}){digit_free}*+[0-9]{_WORD}*+", "<*>")
+
+
 def _tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit masked."""
-    words = F.filter(F.split(line, _BLANK), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.rlike(w, F.lit("[0-9]")), "<*>").otherwise(w))
+    return F.filter(F.split(_masked(line), _BLANK), lambda w: w != "")
+
+
+def _leaf(line: Column, depth: int) -> Column:
+    """Number of tokens and the leading ones, hashed, without cutting the whole line up."""
+    head = F.regexp_extract(line, rf"^{_BLANK.replace('+', '*+')}((?:{_WORD}++{_BLANK.replace('+', '*+')}){{0,{depth}}}+)", 1)
+    head = F.trim(F.regexp_replace(_masked(head), _BLANK, " "))
+    return F.xxhash64(F.regexp_count(line, F.lit(f"{_WORD}++")), head)
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS,
                     constant: float = CONSTANT) -> DataFrame:
     """(text_key, lines): for texts with any, the hashes of the lines whose template recurs."""
     lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-             .select("text_key", F.xxhash64("line").alias("line"), _tokens(F.col("line")).alias("tokens"))
-             .filter(F.size("tokens") > 0)
-             .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))))
+             .filter(F.rlike("line", F.lit(_WORD))).withColumn("leaf", _leaf(F.col("line"), depth)))
     common = saved(lines.select("leaf", "text_key").distinct().groupBy("leaf").count()
                    .filter(F.col("count") >= min_texts).select("leaf"), "leaves")
-    held = saved(lines.join(common, "leaf", "left_semi").dropDuplicates(["text_key", "line"]), "leaf-lines")
+    # Only lines in leaves that recur are cut into tokens.
+    held = lines.join(common, "leaf", "left_semi").select(
+        "text_key", F.xxhash64("line").alias("line"), "leaf", _tokens(F.col("line")).alias("tokens"))
+    held = saved(held.dropDuplicates(["text_key", "line"]), "leaf-lines")
     after = held.select("text_key", "line", "leaf", F.size("tokens").alias("n"),
                         F.posexplode_outer(F.slice("tokens", depth + 1, F.size("tokens"))).alias("at", "token"))
     votes = after.filter((F.col("token") != "<*>")).select("leaf", "at", "token", "text_key").distinct().groupBy(
