@@ -15,6 +15,7 @@ DataFrame ``(src, dst)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,74 @@ def catalog_df(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), CATALOG_SCHEMA)
 
 
+# ------------------------------------------------- keys and counts from data
+
+def is_key_like(name: str) -> bool:
+    return name.endswith(("key", "_id"))
+
+
+def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, n_values): non-null values of every column, one
+    aggregate over each table."""
+    parts = []
+    for n, df in tables.items():
+        pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
+        wide = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        parts.append(wide.selectExpr(f"'{n}' AS table", f"stack({len(df.columns)}, {pairs}) AS (column, n_values)"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _unique(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
+    """One row: are ``cols`` together non-null and distinct in every row?"""
+    some = df.select(*cols).groupBy(*cols).agg(F.count("*").alias("n"))
+    null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    return some.agg((F.coalesce(F.max("n") == 1, F.lit(False)) & ~F.coalesce(F.bool_or(null), F.lit(False))).alias("ok")).select(
+        F.lit(table).alias("table"), F.array(*map(F.lit, cols)).alias("cols"), "ok")
+
+
+def infer_primary_keys(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """(table, column) of primary keys, found by scanning for uniqueness: the
+    first key-like column that is unique, else the first pair of a table's
+    first key-like column with another integer column.  The answer has a row
+    or two a table."""
+    def first(candidates: list[tuple[str, list[str]]]) -> dict[str, list[str]]:
+        if not candidates:
+            return {}
+        rows = reduce(DataFrame.unionAll, [_unique(tables[n], n, c) for n, c in candidates]).filter("ok").collect()
+        good = {(r["table"], tuple(r["cols"])) for r in rows}
+        out: dict[str, list[str]] = {}
+        for n, c in candidates:
+            if (n, tuple(c)) in good:
+                out.setdefault(n, c)
+        return out
+    likely = {n: [c for c in df.columns if is_key_like(c)] for n, df in tables.items()}
+    keys = first([(n, [c]) for n, cs in likely.items() for c in cs])
+    whole = {n: [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)] for n, df in tables.items()}
+    keys |= first([(n, [cs[0], o]) for n, cs in likely.items() if cs and n not in keys for o in whole[n] if o != cs[0]])
+    return [(n, c) for n in tables for c in keys.get(n, [])]
+
+
+def infer_foreign_keys(tables: dict[str, DataFrame], pks: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
+    """(table, column, referenced table, referenced column): key-like columns
+    named like another table's single-column key (the same name, or the same
+    ending after the first underscore, other than ``id``) all of whose values
+    occur there.  One anti join a candidate, on distinct values."""
+    per = {n: [c for t, c in pks if t == n] for n in tables}
+    parents = [(n, cs[0]) for n, cs in per.items() if len(cs) == 1]
+    ending = lambda c: c.split("_", 1)[-1]
+    pairs = [(a, c, b, k) for a, df in tables.items() for c in df.columns if is_key_like(c)
+             for b, k in parents if a != b and (c == k or ending(c) == ending(k) != "id")]
+    if not pairs:
+        return []
+
+    def missing(i: int, a: str, c: str, b: str, k: str) -> DataFrame:
+        child = tables[a].select(F.col(c).cast("long").alias("v")).filter("v is not null").distinct()
+        parent = tables[b].select(F.col(k).cast("long").alias("v"))
+        return child.join(parent, "v", "left_anti").agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n")
+    rows = reduce(DataFrame.unionAll, [missing(i, *p) for i, p in enumerate(pairs)]).filter("n = 0").collect()
+    return [pairs[i] for i in sorted(r["i"] for r in rows)]
+
+
 # ----------------------------------------------------------- K-1 .. K-3
 
 def columns_relation(catalog: DataFrame, include_star: bool = False) -> DataFrame:

@@ -17,27 +17,47 @@ from querylab.tables import TABLE_NAMES, Tables
 
 DB = "driver"
 
-# Key graph of the driver tables (primary keys, then foreign
-# keys as (table, column, referenced table, referenced column)).
-PKS = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"),
-       ("part", "p_partkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("documents", "doc_id"),
-       ("pages", "page_id"), ("benchmark", "item_id"), ("embeddings", "vec_id"),
-       ("conversations", "conv_id"), ("conversations", "turn")]
-FKS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
-       ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-       ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
-       ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id")]
+# Columns of the driver tables, in order (for the oracle, which
+# names them; the library reads the schemas).
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+                "l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+COLUMNS = {t: c.split() for t, c in COLUMNS.items()}
+# Pairs of columns tried where no single column is a key, and
+# references between key-like columns by their names.
+_PAIRS = {"lineitem": ["l_partkey", "l_suppkey", "l_linenumber"], "conversations": ["turn"]}
+_REFERENCES = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("documents", "doc_id", "labels", "doc_id"),
+    ("labels", "doc_id", "documents", "doc_id")]
+
+
+def _tables(t: Tables) -> dict[str, DataFrame]:
+    return {n: t.table(n) for n in TABLE_NAMES}
 
 
 def catalog(t: Tables) -> DataFrame:
-    """The catalog feed: one row built from the tables' schemas."""
-    row = K.catalog_row(DB, {n: t.table(n).schema for n in TABLE_NAMES}, PKS, FKS)
+    """The catalog feed: one row from the tables' schemas and the keys that
+    their data show (uniqueness and inclusion scans)."""
+    tables = _tables(t)
+    pks = K.infer_primary_keys(tables)
+    row = K.catalog_row(DB, {n: df.schema for n, df in tables.items()}, pks, K.infer_foreign_keys(tables, pks))
     return K.catalog_df(t.spark, [row])
 
 
-def _values(rows, cols) -> str:
-    body = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS v({', '.join(chr(34) + c + chr(34) for c in cols)})"
+def counted(t: Tables, columns: DataFrame) -> DataFrame:
+    """The column relation with the number of values of each column."""
+    return columns.join(K.value_counts(_tables(t)), ["table", "column"])
 
 
 _NAMES = ", ".join(f"'{n}'" for n in TABLE_NAMES)
@@ -48,16 +68,36 @@ _COLS_SQL = f"""cols AS (
          WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'time'
          WHEN data_type IN ('VARCHAR', 'BOOLEAN', 'BLOB') THEN 'text' ELSE 'others' END AS type
   FROM information_schema.columns WHERE table_name IN ({_NAMES}))"""
-_PK_SQL = f"pks AS (SELECT * FROM {_values(PKS, ['table', 'column'])})"
-_FK_SQL = f"fks AS (SELECT * FROM {_values(FKS, ['table1', 'column1', 'table2', 'column2'])})"
+_COUNTS_SQL = "counts AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", UNNEST([{', '.join(repr(c) for c in cs)}]) AS \"column\", "
+    f"UNNEST([{', '.join(f'COUNT({c})' for c in cs)}]) AS n_values FROM {n}" for n, cs in COLUMNS.items()) + ")"
+
+
+def _distinct_sql(table: str, cols: list[str], rank: int) -> str:
+    null = " OR ".join(f"{c} IS NULL" for c in cols)
+    return (f"SELECT '{table}' AS \"table\", {cols!r} AS cols, {rank} AS rank, COUNT(*) > 0 AND COUNT(*) = "
+            f"(SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(cols)} FROM {table})) "
+            f"AND NOT COALESCE(BOOL_OR({null}), FALSE) AS ok FROM {table}")
+
+
+_PK_SQL = "found AS (" + " UNION ALL ".join(
+    [_distinct_sql(n, [c], i) for n, cs in COLUMNS.items() for i, c in enumerate(cs) if K.is_key_like(c)]
+    + [_distinct_sql(n, [next(c for c in COLUMNS[n] if K.is_key_like(c)), o], 100 + i)
+       for n, others in _PAIRS.items() for i, o in enumerate(others)]) + """),
+pks AS (SELECT "table", UNNEST(cols) AS "column" FROM found WHERE ok
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY "table" ORDER BY rank) = 1)"""
+_FK_SQL = "fks AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS table1, '{c}' AS column1, '{b}' AS table2, '{k}' AS column2 "
+    f"WHERE NOT EXISTS (SELECT 1 FROM {a} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {b}))"
+    for a, c, b, k in _REFERENCES) + ")"
 _DEG_SQL = ("deg AS (SELECT t, COUNT(*) AS degree FROM (SELECT table1 AS t FROM fks UNION ALL "
             "SELECT table2 FROM fks) x GROUP BY t)")
 
 
-@query("K1_column_relation", f"WITH {_COLS_SQL} SELECT '{DB}' AS db_id, \"table\", \"column\", type FROM cols",
-       ids=("K-1", "S-5"))
+@query("K1_column_relation", f"WITH {_COLS_SQL}, {_COUNTS_SQL} SELECT '{DB}' AS db_id, \"table\", \"column\", type, "
+       "n_values FROM cols JOIN counts USING (\"table\", \"column\")", ids=("K-1", "S-5"))
 def k1(t: Tables) -> DataFrame:
-    return K.columns_relation(catalog(t)).select("db_id", "table", "column", "type")
+    return counted(t, K.columns_relation(catalog(t))).select("db_id", "table", "column", "type", "n_values")
 
 
 @query("K2_primary_keys", f"WITH {_PK_SQL}, {_COLS_SQL} SELECT '{DB}' AS db_id, p.\"table\", p.\"column\" "
@@ -130,18 +170,22 @@ def k6(t: Tables) -> DataFrame:
     return s.select(F.array_join("nodes", ",").alias("tables"), F.array_join("edges", ",").alias("edges"))
 
 
-@query("K7_column_owners", f"WITH {_COLS_SQL} SELECT '{DB}' AS db_id, \"column\", "
-       "string_agg(\"table\", ',' ORDER BY \"table\") AS tables, COUNT(*) AS n_tables FROM cols GROUP BY \"column\"",
-       ids=("K-7",))
+@query("K7_column_owners", f"WITH {_COLS_SQL}, {_COUNTS_SQL} SELECT '{DB}' AS db_id, \"column\", "
+       "string_agg(\"table\", ',' ORDER BY \"table\") AS tables, COUNT(*) AS n_tables, SUM(n_values)::BIGINT AS n_values "
+       "FROM cols JOIN counts USING (\"table\", \"column\") GROUP BY \"column\"", ids=("K-7",))
 def k7(t: Tables) -> DataFrame:
-    return K.column_owners(K.columns_relation(catalog(t)))
+    """Owners of each column name, and how many values they hold together."""
+    cols = counted(t, K.columns_relation(catalog(t)))
+    held = cols.groupBy("db_id", "column").agg(F.sum("n_values").alias("n_values"))
+    return K.column_owners(cols).join(held, ["db_id", "column"])
 
 
-@query("K8_qualified_attributes", f"WITH {_COLS_SQL} SELECT '{DB}' AS db_id, \"table\", \"column\", type AS bucket, "
+@query("K8_qualified_attributes", f"WITH {_COLS_SQL}, {_COUNTS_SQL} SELECT '{DB}' AS db_id, \"table\", \"column\", type AS bucket, "
        "CASE WHEN COUNT(*) OVER (PARTITION BY \"column\") > 1 THEN \"table\" || '.' || \"column\" ELSE \"column\" END "
-       "AS attribute FROM cols", ids=("K-8",))
+       "AS attribute FROM cols JOIN counts USING (\"table\", \"column\") WHERE n_values > 0", ids=("K-8",))
 def k8(t: Tables) -> DataFrame:
-    return K.qualified_attributes(K.columns_relation(catalog(t)))
+    """Qualified names of the columns that hold values."""
+    return K.qualified_attributes(counted(t, K.columns_relation(catalog(t))).filter("n_values > 0"))
 
 
 @query("K9_fk_neighbours", f"WITH {_FK_SQL} SELECT DISTINCT '{DB}' AS db_id, \"table\", neighbour FROM ("

@@ -74,7 +74,7 @@ def s5(t: Tables) -> DataFrame:
     path = _tmp(t, "catalog")
     S.write_json_lines(KP.catalog(t), path)
     cat = S.read_json(t.spark, path, K.CATALOG_SCHEMA)
-    return K.columns_relation(cat).select("db_id", "table", "column", "type")
+    return KP.counted(t, K.columns_relation(cat)).select("db_id", "table", "column", "type", "n_values")
 
 
 @query("S6_annotated_json", TRUTH_WORK + "SELECT gold_sql AS query, 'q' || CAST(query_id AS VARCHAR) AS question, "
