@@ -46,11 +46,38 @@ def ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
-def gram_counts(df: DataFrame, id_col: str, tokens: Column, n: int) -> DataFrame:
-    """(id, gram, cnt): partial aggregation per map task before the shuffle."""
-    tok = df.select(F.col(id_col).alias("id"), tokens.alias("__tok"))
-    return (tok.select("id", F.explode(ngrams(F.col("__tok"), n)).alias("gram"))
-            .groupBy("id", "gram").agg(F.count(F.lit(1)).alias("cnt")))
+def _numbered(n: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+
+
+def gram_counts(df: DataFrame, id_col: str, tokens: str, ns: Sequence[int]) -> DataFrame:
+    """(id, n, gram, cnt) for all ``ns`` at once: partial aggregation per map
+    task before the shuffle."""
+    grams = F.concat(*[F.transform(ngrams(F.col(tokens), n), _numbered(n))
+                       for n in ns])
+    return (df.select(F.col(id_col).alias("id"), F.explode(grams).alias("g"))
+            .groupBy("id", "g.n", "g.gram").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def pair_overlaps(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str, ns: Sequence[int],
+                  text_col: str = "text", tokenizer=word_tokens) -> DataFrame:
+    """(ref_id, cand_id, n, overlap, ref_total, cand_total, ref_len, cand_len)
+    for every pair and n: one explode, one join on (pair, n, gram) and one
+    aggregate whatever the number of ``ns``; totals follow from the lengths."""
+    def cut(df: DataFrame, key: str, side: str) -> DataFrame:
+        used = df.join(pairs.select(key).distinct(), key, "left_semi")
+        return used.select(key, tokenizer(F.col(text_col)).alias("__tok")).withColumn(f"{side}_len", F.size("__tok"))
+    r, c = cut(refs, ref_id, "ref"), cut(cands, cand_id, "cand")
+    rc = gram_counts(r, ref_id, "__tok", ns).select(F.col("id").alias(ref_id), "n", "gram", F.col("cnt").alias("cr"))
+    cc = gram_counts(c, cand_id, "__tok", ns).select(F.col("id").alias(cand_id), "n", "gram", F.col("cnt").alias("cc"))
+    found = (pairs.join(rc, ref_id).join(cc, [cand_id, "n", "gram"])
+             .groupBy(ref_id, cand_id, "n").agg(F.sum(F.least("cr", "cc")).alias("overlap")))
+    every = (pairs.join(r.drop("__tok"), ref_id).join(c.drop("__tok"), cand_id)
+             .withColumn("n", F.explode(F.array(*[F.lit(n) for n in ns]))))
+    total = lambda side: F.greatest(F.col(f"{side}_len") - F.col("n") + 1, F.lit(0)).cast("bigint")
+    return every.join(found, [ref_id, cand_id, "n"], "left").select(
+        ref_id, cand_id, "n", F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"),
+        total("ref").alias("ref_total"), total("cand").alias("cand_total"), "ref_len", "cand_len")
 
 
 def candidate_pairs(refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str, text_col: str = "text",
@@ -73,22 +100,20 @@ def _prf(overlap: Column, cand_total: Column, ref_total: Column, prefix: str) ->
 def rouge_n(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str, n: int,
             text_col: str = "text", tokenizer=word_tokens) -> DataFrame:
     """ROUGE-N precision/recall/F per pair (and the overlap counts)."""
-    used_c = cands.join(pairs.select(cand_id).distinct(), cand_id, "left_semi")
-    used_r = refs.join(pairs.select(ref_id).distinct(), ref_id, "left_semi")
-    rc = gram_counts(used_r, ref_id, tokenizer(F.col(text_col)), n).select(
-        F.col("id").alias(ref_id), "gram", F.col("cnt").alias("cr"))
-    cc = gram_counts(used_c, cand_id, tokenizer(F.col(text_col)), n).select(
-        F.col("id").alias(cand_id), "gram", F.col("cnt").alias("cc"))
-    rt = rc.groupBy(ref_id).agg(F.sum("cr").alias("ref_total"))
-    ct = cc.groupBy(cand_id).agg(F.sum("cc").alias("cand_total"))
-    ov = (pairs.join(rc, ref_id).join(cc, [cand_id, "gram"])
-          .groupBy(ref_id, cand_id).agg(F.sum(F.least("cr", "cc")).alias("overlap")))
-    out = (pairs.join(ov, [ref_id, cand_id], "left").join(rt, ref_id, "left").join(ct, cand_id, "left")
-           .fillna(0, subset=["overlap", "ref_total", "cand_total"]))
+    out = pair_overlaps(pairs, refs, ref_id, cands, cand_id, [n], text_col, tokenizer)
     return out.select(ref_id, cand_id, "overlap", "ref_total", "cand_total",
                       *_prf(F.col("overlap"), F.col("cand_total"), F.col("ref_total"), f"rouge{n}"))
 
 
+def average_rouge(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str,
+                  ns: Sequence[int] = (1, 2), text_col: str = "text") -> DataFrame:
+    """(metric, p, r, f): ROUGE-N averaged over all pairs, 6 decimals."""
+    each = pair_overlaps(pairs, refs, ref_id, cands, cand_id, ns, text_col).select(
+        "n", *_prf(F.col("overlap"), F.col("cand_total"), F.col("ref_total"), "x"))
+    return each.groupBy("n").agg(*[F.round(F.avg(f"x_{k}"), 6).alias(k) for k in "prf"]).select(
+        F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"), "p", "r", "f")
+
+
 def _lcs(a, b) -> int:
     """LCS length, bit-parallel over the shorter sequence (Hyyro)."""
     if len(a) > len(b):
@@ -127,17 +152,9 @@ def bleu_counts(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFrame
                 text_col: str = "text", max_n: int = 4) -> DataFrame:
     """Per pair and n: clipped matches and candidate n-gram totals, plus the
     candidate and reference lengths."""
-    parts = []
-    for n in range(1, max_n + 1):
-        o = rouge_n(pairs, refs, ref_id, cands, cand_id, n, text_col, tokenizer=space_tokens)
-        parts.append(o.select(ref_id, cand_id, F.lit(n).alias("n"), F.col("overlap").alias("clipped"),
-                              F.col("cand_total").alias("cand_grams")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    lens = (pairs.join(refs.select(ref_id, F.size(space_tokens(F.col(text_col))).alias("ref_len")), ref_id)
-            .join(cands.select(cand_id, F.size(space_tokens(F.col(text_col))).alias("cand_len")), cand_id))
-    return out.join(lens, [ref_id, cand_id])
+    o = pair_overlaps(pairs, refs, ref_id, cands, cand_id, list(range(1, max_n + 1)), text_col, space_tokens)
+    return o.select(ref_id, cand_id, "n", F.col("overlap").alias("clipped"), F.col("cand_total").alias("cand_grams"),
+                    "cand_len", "ref_len")
 
 
 def _bp(c: Column, r: Column) -> Column:

@@ -879,7 +879,7 @@ def a11(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------- sort and limit (O)
 
-@query("O1_order_by_single", "SELECT n_name FROM nation ORDER BY n_name DESC", ids=("O-1", "O-5"))
+@query("O1_order_by_single", "SELECT n_name FROM nation ORDER BY n_name DESC", ids=("O-1",))
 def o1(t: Tables) -> DataFrame:
     return t.nation.select("n_name").orderBy(F.col("n_name").desc())
 
@@ -907,6 +907,13 @@ def o4(t: Tables) -> DataFrame:
     return R.top_k(g, 10, F.col("__n").desc(), F.col("o_custkey")).select("o_custkey")
 
 
+@query("O5_order_by_null", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY NULL", ids=("O-5",))
+def o5(t: Tables) -> DataFrame:
+    """ORDER BY NULL asks for no order: Catalyst drops the constant key, so no sort and no range shuffle remain."""
+    t.customer.createOrReplaceTempView("null_order_customer")
+    return t.spark.sql("SELECT c_mktsegment, COUNT(*) AS n FROM null_order_customer GROUP BY c_mktsegment ORDER BY NULL")
+
+
 @query("O6_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10", ids=("O-6",))
 def o6(t: Tables) -> DataFrame:
     return R.top_k(t.orders.select("o_orderkey", "o_totalprice"), 10, F.col("o_orderkey"))

@@ -87,10 +87,19 @@ def e24_r2(t: Tables) -> DataFrame:
     return TS.rouge_n(pairs, bench, "item_id", docs, "doc_id", 2)
 
 
+@query("E24_average", f"WITH {_PAIRS_CTE}, {_overlap_cte(1, 'o1')}, {_overlap_cte(2, 'o2')} " + " UNION ALL ".join(
+    f"SELECT 'rouge{n}' AS metric, ROUND(AVG(rouge{n}_p), 6) AS p, ROUND(AVG(rouge{n}_r), 6) AS r, ROUND(AVG(rouge{n}_f), 6) AS f "
+    f"FROM (SELECT {_prf_sql(f'rouge{n}')} FROM o{n}) x{n}" for n in (1, 2)), ids=("E-24",))
+def e24_average(t: Tables) -> DataFrame:
+    """ROUGE-1 and ROUGE-2 averaged over all pairs."""
+    pairs, bench, docs = _inputs(t)
+    return TS.average_rouge(pairs, bench, "item_id", docs, "doc_id")
+
+
 @query("E24_rougeL", None, ids=("E-24",))
 def e24_rl(t: Tables) -> DataFrame:
     """ROUGE-L from the whole-sequence LCS (checked against a dynamic
-    programming brute force in tests/test_textsim.py)."""
+    programming brute force in tests/test_operators.py)."""
     pairs, bench, docs = _inputs(t)
     return TS.rouge_l(pairs, bench, "item_id", docs, "doc_id")
 
