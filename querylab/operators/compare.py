@@ -263,8 +263,11 @@ def partial_cover(results: DataFrame, keys: Sequence[str], stats: DataFrame) ->
 
 # ------------------------------------------------------------------ verdicts
 
+VERDICTS = ("direct_equal", "quick_ok", "equal", "partial")
+
+
 def compare_results(results: DataFrame, keys: Sequence[str], order_matters: bool = False,
-                    pairs: DataFrame | None = None) -> DataFrame:
+                    pairs: DataFrame | None = None, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
     """Full result equality per key (the evaluator's ``result_eq``):
 
     both empty -> equal; else row counts and arities must agree, the bags
@@ -281,28 +284,29 @@ def compare_results(results: DataFrame, keys: Sequence[str], order_matters: bool
     if pairs is not None:
         stats = pairs.select(*keys).join(stats, keys, "left").fillna(
             0, subset=["n_gold", "n_pred", "arity_gold", "arity_pred"])
-    if order_matters:
-        direct = positional_mismatches(results, keys)
-        quick = positional_mismatches(results, keys, unordered_row())
-    else:
-        direct = bag_mismatches(results, keys)
-        quick = set_mismatches(results, keys, unordered_row())
     shaped = (F.col("n_gold") == F.col("n_pred")) & (F.col("arity_gold") == F.col("arity_pred"))
     both_empty = (F.col("n_gold") == 0) & (F.col("n_pred") == 0)
-    v = (stats.join(direct.withColumnRenamed("n_mismatch", "d"), keys, "left")
-         .join(quick.withColumnRenamed("n_mismatch", "q"), keys, "left")
-         .withColumn("direct_equal", both_empty | (shaped & (F.coalesce("d", F.lit(0)) == 0)))
-         .withColumn("quick_ok", both_empty | (shaped & (F.coalesce("q", F.lit(0)) == 0))))
-    # Permutations are only searched for pairs that pass the cheap stages
-    # but are not equal as they stand.
-    todo = v.filter(F.col("quick_ok") & ~F.col("direct_equal") & (F.col("n_gold") > 0)).select(*keys)
-    perm = permuted_mismatches(results.join(todo, keys, "left_semi"), keys, order_matters)
-    partial = partial_cover(results, keys, stats)
-    return (v.join(perm, keys, "left").join(partial, keys, "left")
-            .select(*keys, "n_gold", "n_pred", "arity_gold", "arity_pred", "direct_equal", "quick_ok",
-                    (both_empty | F.col("direct_equal")
-                     | (F.col("quick_ok") & F.coalesce(F.col("n_perm_mismatch") == 0, F.lit(False)))).alias("equal"),
-                    F.coalesce("partial", F.lit(False)).alias("partial")))
+    v, want = stats, set(verdicts)
+    if want & {"direct_equal", "equal"}:
+        direct = positional_mismatches(results, keys) if order_matters else bag_mismatches(results, keys)
+        v = v.join(direct.withColumnRenamed("n_mismatch", "d"), keys, "left").withColumn(
+            "direct_equal", both_empty | (shaped & (F.coalesce("d", F.lit(0)) == 0)))
+    if want & {"quick_ok", "equal"}:
+        quick = (positional_mismatches(results, keys, unordered_row()) if order_matters
+                 else set_mismatches(results, keys, unordered_row()))
+        v = v.join(quick.withColumnRenamed("n_mismatch", "q"), keys, "left").withColumn(
+            "quick_ok", both_empty | (shaped & (F.coalesce("q", F.lit(0)) == 0)))
+    if "equal" in want:
+        # Permutations are only searched for pairs that pass the cheap stages
+        # but are not equal as they stand.
+        todo = v.filter(F.col("quick_ok") & ~F.col("direct_equal") & (F.col("n_gold") > 0)).select(*keys)
+        perm = permuted_mismatches(results.join(todo, keys, "left_semi"), keys, order_matters)
+        v = v.join(perm, keys, "left").withColumn("equal", both_empty | F.col("direct_equal") | (
+            F.col("quick_ok") & F.coalesce(F.col("n_perm_mismatch") == 0, F.lit(False))))
+    if "partial" in want:
+        v = v.join(partial_cover(results, keys, stats), keys, "left").withColumn(
+            "partial", F.coalesce("partial", F.lit(False)))
+    return v.select(*keys, "n_gold", "n_pred", "arity_gold", "arity_pred", *[x for x in VERDICTS if x in want])
 
 
 def test_suite_verdict(per_db: DataFrame, pair_keys: Sequence[str], db_col: str = "db",

@@ -258,9 +258,10 @@ def turn_accuracy(turns: DataFrame, session_col: str, turn_col: str, flags: Sequ
 def success_by_iteration(df: DataFrame, db_col: str, iter_col: str, flag_col: str, offset: int = 2) -> DataFrame:
     """Successful conversions per (db, iteration) and per iteration overall
     (db = 'all'); iterations are stored with an offset (E-17)."""
-    ok = df.filter(F.col(flag_col)).select(F.explode(F.array(F.col(db_col), F.lit("all"))).alias(db_col),
-                                           (F.col(iter_col) - offset).alias("iteration"))
-    return ok.groupBy(db_col, "iteration").agg(F.count(F.lit(1)).alias("n_success"))
+    both = df.select(F.explode(F.array(F.col(db_col), F.lit("all"))).alias(db_col),
+                     (F.col(iter_col) - offset).alias("iteration"), flag_col)
+    # Counted, not filtered first: a filter would be pushed into the flag's own projections and run them again.
+    return both.groupBy(db_col, "iteration").agg(F.count_if(F.col(flag_col)).alias("n_success")).filter("n_success > 0")
 
 
 def rate_by_level(df: DataFrame, level_col: str, flag_col: str) -> DataFrame:

@@ -34,7 +34,7 @@ COLUMNS = {t: c.split() for t, c in COLUMNS.items()}
 # Pairs of columns tried where no single column is a key, and
 # references between key-like columns by their names.
 _PAIRS = {"lineitem": ["l_partkey", "l_suppkey", "l_linenumber"], "conversations": ["turn"]}
-_REFERENCES = [
+REFERENCES = [
     ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
     ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
     ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
@@ -89,7 +89,7 @@ pks AS (SELECT "table", UNNEST(cols) AS "column" FROM found WHERE ok
 _FK_SQL = "fks AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS table1, '{c}' AS column1, '{b}' AS table2, '{k}' AS column2 "
     f"WHERE NOT EXISTS (SELECT 1 FROM {a} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {b}))"
-    for a, c, b, k in _REFERENCES) + ")"
+    for a, c, b, k in REFERENCES) + ")"
 _DEG_SQL = ("deg AS (SELECT t, COUNT(*) AS degree FROM (SELECT table1 AS t FROM fks UNION ALL "
             "SELECT table2 FROM fks) x GROUP BY t)")
 

@@ -907,7 +907,7 @@ def o4(t: Tables) -> DataFrame:
     return R.top_k(g, 10, F.col("__n").desc(), F.col("o_custkey")).select("o_custkey")
 
 
-@query("O5_order_by_null", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY NULL", ids=("O-5",))
+@query("O5_order_by_null", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment", ids=("O-5",))
 def o5(t: Tables) -> DataFrame:
     """ORDER BY NULL asks for no order: Catalyst drops the constant key, so no sort and no range shuffle remain."""
     t.customer.createOrReplaceTempView("null_order_customer")

@@ -92,27 +92,38 @@ def e12(t: Tables) -> DataFrame:
 def _fk_map(t: Tables) -> dict[str, str]:
     """Column -> representative of its FK-equivalence class (from the
     catalog key graph: a handful of metadata rows)."""
-    from querylab.plans.catalog import FKS
+    from querylab.plans.catalog import REFERENCES
     parent: dict[str, str] = {}
 
     def find(a):
         while parent.setdefault(a, a) != a:
             a = parent[a]
         return a
-    for _, c1, _, c2 in FKS:
+    for _, c1, _, c2 in REFERENCES:
         ra, rb = find(c1), find(c2)
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
     return {c: find(c) for c in parent}
 
 
-def unit_pairs(t: Tables) -> DataFrame:
+def unit_pairs(t: Tables, *more: str) -> DataFrame:
+    """Clause units of gold (g) and predicted (p) queries, with the workload's ``more`` columns."""
     w = W.workload_table(t.spark, t.sf_dir)
     m = _fk_map(t)
-    w = w.select("query_id", "db_id", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
+    w = w.select("query_id", "db_id", *more, SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
                  SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
     w = SC.with_units(SC.with_units(w, "gold", "g"), "pred", "p")
-    return w.select("query_id", "db_id", "g", "p")
+    return w.select("query_id", "db_id", *more, "g", "p")
+
+
+def outcomes(t: Tables, *more: str) -> DataFrame:
+    """(query_id, db_id, more, flag): does the prediction match exactly (E-14)?"""
+    return unit_pairs(t, *more).select("query_id", "db_id", *more, (SC.exact() == 1).alias("flag"))
+
+
+def featured_outcomes(t: Tables) -> DataFrame:
+    """The featured workload with the outcome as its flag."""
+    return featured(t).drop("flag").join(outcomes(t).select("query_id", "flag"), "query_id")
 
 
 def scores(t: Tables) -> DataFrame:
@@ -234,47 +245,46 @@ def e15_exact(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ E-16
 
-_TURN_FLAG_COLS = ["((conv_id + turn) % 4 <> 0) AS exec", "((conv_id * 3 + turn) % 5 <> 0) AS exact"]
-_TURN_FLAGS = ", ".join(_TURN_FLAG_COLS)
+# The outcome of every workload query, as the generator's parameters give it.
+_OUT = f", e AS ({_EXACT_SQL}), o AS (SELECT w.* EXCLUDE (flag), e.exact = 1 AS flag FROM w JOIN e USING (query_id)) "
 
 
-@query("E16_turn_accuracy", f"""WITH tr AS (SELECT conv_id, turn + 1 AS turn, {_TURN_FLAGS} FROM conversations)
+@query("E16_turn_accuracy", WORK + _OUT + """
 SELECT CASE WHEN turn <= 4 THEN 'turn ' || CAST(turn AS VARCHAR) ELSE 'turn > 4' END AS bucket, COUNT(*) AS n,
-       AVG(CAST(exec AS DOUBLE)) AS exec, AVG(CAST(exact AS DOUBLE)) AS exact FROM tr GROUP BY 1
+       AVG(CAST(flag AS DOUBLE)) AS exact FROM o GROUP BY 1
 UNION ALL
-SELECT 'joint_all', COUNT(*), AVG(CAST(e AS DOUBLE)), AVG(CAST(x AS DOUBLE)) FROM (
-  SELECT conv_id, BOOL_AND(exec) AS e, BOOL_AND(exact) AS x FROM tr GROUP BY conv_id) s""", ids=("E-16",))
+SELECT 'joint_all', COUNT(*), AVG(CAST(x AS DOUBLE)) FROM (
+  SELECT session_id, BOOL_AND(flag) AS x FROM o GROUP BY session_id) s""", ids=("E-16",))
 def e16(t: Tables) -> DataFrame:
-    """Per-turn and joint (all turns right) accuracy over conversation turns
-    with execution / exact flags derived from (conv_id, turn)."""
-    tr = t.conversations.selectExpr("conv_id", "turn + 1 AS turn", *_TURN_FLAG_COLS)
-    return SC.turn_accuracy(tr, "conv_id", "turn", ["exec", "exact"])
+    """Per-turn and joint (all turns right) exact-match accuracy over sessions."""
+    turns = outcomes(t, "session_id", "turn").withColumnRenamed("flag", "exact")
+    return SC.turn_accuracy(turns, "session_id", "turn", ["exact"])
 
 
 # ---------------------------------------------------------- E-17 .. E-20
 
-@query("E17_success_by_iteration", WORK + """SELECT db_id, iter - 2 AS iteration, COUNT(*) AS n_success
-FROM w WHERE flag GROUP BY db_id, iter
-UNION ALL SELECT 'all', iter - 2, COUNT(*) FROM w WHERE flag GROUP BY iter""", ids=("E-17",))
+@query("E17_success_by_iteration", WORK + _OUT + """SELECT db_id, iter - 2 AS iteration, COUNT(*) AS n_success
+FROM o WHERE flag GROUP BY db_id, iter
+UNION ALL SELECT 'all', iter - 2, COUNT(*) FROM o WHERE flag GROUP BY iter""", ids=("E-17",))
 def e17(t: Tables) -> DataFrame:
-    return SC.success_by_iteration(W.workload_table(t.spark, t.sf_dir), "db_id", "iter", "flag")
+    return SC.success_by_iteration(outcomes(t, "iter"), "db_id", "iter", "flag")
 
 
-@query("E18_rate_by_hardness", TRUTH_WORK + """SELECT COALESCE(hardness, 'total') AS level, COUNT(*) AS n,
-COUNT_IF(flag) AS n_success, COUNT_IF(flag) / COUNT(*) AS rate FROM t JOIN w USING (query_id) GROUP BY ROLLUP (hardness)""",
+@query("E18_rate_by_hardness", TRUTH_WORK + _OUT + """SELECT COALESCE(hardness, 'total') AS level, COUNT(*) AS n,
+COUNT_IF(flag) AS n_success, COUNT_IF(flag) / COUNT(*) AS rate FROM t JOIN o USING (query_id) GROUP BY ROLLUP (hardness)""",
        ids=("E-18",))
 def e18(t: Tables) -> DataFrame:
-    return SC.rate_by_level(featured(t), "hardness", "flag").select("level", "n", "n_success", "rate")
+    return SC.rate_by_level(featured_outcomes(t), "hardness", "flag").select("level", "n", "n_success", "rate")
 
 
-@query("E19_summary", WORK + """SELECT COUNT(*) AS n, COUNT_IF(flag) AS n_success, COUNT_IF(NOT flag) AS n_failed,
+@query("E19_summary", WORK + _OUT + """SELECT COUNT(*) AS n, COUNT_IF(flag) AS n_success, COUNT_IF(NOT flag) AS n_failed,
 FLOOR((COUNT_IF(flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS success_pct,
-FLOOR((COUNT_IF(NOT flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS fail_pct FROM w""", ids=("E-19",))
+FLOOR((COUNT_IF(NOT flag) * 20000 + COUNT(*)) / (2 * COUNT(*))) / 100.0 AS fail_pct FROM o""", ids=("E-19",))
 def e19(t: Tables) -> DataFrame:
-    return SC.summary_rows(W.workload_table(t.spark, t.sf_dir), "flag")
+    return SC.summary_rows(outcomes(t), "flag")
 
 
-@query("E20_cumulative_success", TRUTH_WORK + """, j AS (SELECT hardness, iter, flag FROM t JOIN w USING (query_id)),
+@query("E20_cumulative_success", TRUTH_WORK + _OUT + """, j AS (SELECT hardness, iter, flag FROM t JOIN o USING (query_id)),
 per AS (SELECT hardness, iter, COUNT_IF(flag) AS n_success FROM j GROUP BY hardness, iter
         UNION ALL SELECT 'all', iter, COUNT_IF(flag) FROM j GROUP BY iter),
 sz AS (SELECT hardness, COUNT(*) AS level_size FROM j GROUP BY hardness UNION ALL SELECT 'all', COUNT(*) FROM j)
@@ -283,7 +293,7 @@ SELECT hardness, iter, n_success, level_size,
   SUM(n_success) OVER (PARTITION BY hardness ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / level_size AS cum_rate
 FROM per JOIN sz USING (hardness)""", ids=("E-20",))
 def e20(t: Tables) -> DataFrame:
-    out = SC.cumulative_success(featured(t), "hardness", "iter", "flag")
+    out = SC.cumulative_success(featured_outcomes(t), "hardness", "iter", "flag")
     return out.select("hardness", "iter", "n_success", "level_size",
                       F.col("cum_success").cast("bigint").alias("cum_success"), "cum_rate")
 
@@ -307,8 +317,8 @@ def failures(t: Tables) -> DataFrame:
     preds = W.multi_model_table(t.spark, t.sf_dir).select(
         "query_id", "model", SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
     pu = SC.with_units(preds, "pred", "p").select("query_id", "model", "p")
-    u = pu.join(gu, "query_id").filter(SC.exact() == 0)
-    return u.select("model", "db_id", "gold_sql").distinct()
+    u = pu.join(gu, "query_id").groupBy("model", "db_id", "gold_sql").agg(F.min(SC.exact()).alias("least"))
+    return u.filter("least = 0").drop("least")
 
 
 def _n_models(t: Tables) -> int:
