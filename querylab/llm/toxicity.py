@@ -180,12 +180,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             rows = []
             for t in batch.column(0):
                 words = text_words(t.as_py())
-                found = {k for w in words.intersection(known) for k in known[w]}
-                for w in words.difference(known):
-                    own = tuple(number[b] for b in word_buckets(w) if b in number)
+                found = set()
+                for w in words:
+                    own = known.get(w)
+                    if own is None:
+                        own = tuple(number[b] for b in word_buckets(w) if b in number)
+                        if len(known) < _MEMORY:  # the first words met are the frequent ones
+                            known[w] = own
                     found.update(own)
-                    if len(known) < _MEMORY:  # the first words met are the frequent ones
-                        known[w] = own
                 rows.append(np.array(sorted(found), np.int64))
             p = 1 / (1 + np.exp(-np.clip(m.raw(rows), -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns[1:]], names=names)
