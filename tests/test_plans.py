@@ -48,3 +48,7 @@ def test_top_k_per_group_limits_before_shuffle(spark, sf_dir, name):
     df = REG[name].run(spark, sf_dir)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p
+
+
+def test_exact_match_is_a_condition_on_a_row(spark, sf_dir):
+    assert "Exchange" not in plan(spark, sf_dir, "E14_exact_match")
