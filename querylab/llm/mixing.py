@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querylab.llm.common import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 10_000
 MAX_EPOCHS = 3
@@ -65,7 +67,8 @@ def mix_plan(docs: DataFrame, seed: int = 0, bucket_rows: int = BUCKET_ROWS) ->
     """One row a document: doc_id, size, source, source_size, target, key,
     before (words of its source before it in key order) and taken."""
     rows = docs.select("doc_id", "source", _size(), _key(seed))
-    known = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    # A row a source, written so that the planner knows its size: a small table is broadcast, a large one is not.
+    known = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), "targets")
     known = known.withColumns({"named": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()})
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     buckets = F.ceil(F.col("rows") / bucket_rows)
@@ -107,6 +110,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
         .select(F.coalesce("source", F.lit("")).alias("__named"), F.col("source").isNull().alias("__unnamed"),
                 F.col("epochs").alias("__epochs"), F.col("cut.key").alias("__cut"),
                 F.col("cut.part").alias("__part")))
+    cut = saved(cut, "cuts")  # as above, a row a source of known size
     keyed = docs.withColumns({"__named": F.coalesce("source", F.lit("")), "__unnamed": F.col("source").isNull(),
                               "__key": _key(seed), "__words": _size()}).join(cut, ["__named", "__unnamed"])
     at_cut = F.coalesce(F.col("__key") == F.col("__cut"), F.lit(False))
