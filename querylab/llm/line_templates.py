@@ -6,7 +6,10 @@ In the leaf, a token further on is constant where at least ``MIN_TEXTS``
 different texts have it at that position, and variable otherwise.  The line's
 template is its leaf with the constants.  Lines whose template has at least
 ``CONSTANT`` of its tokens constant and recurs in ``MIN_TEXTS`` or more
-different texts are dropped from all documents.
+different texts are dropped from all documents.  With ``long_words``, a line of
+that many words or more, all of them constant (the same words, blanks apart),
+goes from ``LONG_TEXTS`` different texts on; short and generalised templates keep
+the higher count.
 
 Copies of a whole text are one witness, so a copied document does not make
 templates of its own lines.  Only (leaf, text) hashes of all lines are shuffled;
@@ -29,6 +32,8 @@ from querylab.llm.common import saved
 DEPTH = 4
 MIN_TEXTS = 5
 CONSTANT = 0.6
+LONG_WORDS = 50
+LONG_TEXTS = 2
 _BLANK = r"[\x20\x09\x0B-\x0D]+"
 
 
@@ -53,8 +58,19 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(F.regexp_count(line, F.lit(f"{_WORD}++")), head)
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS,
-                    constant: float = CONSTANT) -> DataFrame:
+def _repeated(docs: DataFrame, long_words: int, long_texts: int) -> DataFrame:
+    """Distinct (text_key, line): lines of ``long_words`` or more that stand in ``long_texts`` different texts."""
+    words = F.regexp_replace(F.regexp_replace("line", _BLANK, " "), "^ | $", "")
+    lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+             .filter(F.regexp_count("line", F.lit(f"{_WORD}++")) >= long_words))
+    held = saved(lines.select("text_key", F.xxhash64("line").alias("line"), F.md5(words).alias("words")).distinct(), "long-lines")
+    wide = (held.select("words", "text_key").distinct().groupBy("words").count()
+            .filter(F.col("count") >= long_texts).select("words"))
+    return held.join(wide, "words", "left_semi").select("text_key", "line")
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, constant: float = CONSTANT,
+                    long_words: int | None = None, long_texts: int = LONG_TEXTS) -> DataFrame:
     """(text_key, lines): for texts with any, the hashes of the lines whose template recurs."""
     lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
              .filter(F.rlike("line", F.lit(_WORD))).withColumn("leaf", _leaf(F.col("line"), depth)))
@@ -78,8 +94,11 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
     parsed = saved(parsed, "parsed-lines")
     wide = (parsed.select("template", "text_key").distinct().groupBy("template").count()
             .filter(F.col("count") >= min_texts).select("template"))
+    gone = parsed.join(wide, "template", "left_semi").select("text_key", "line")
+    if long_words is not None:
+        gone = gone.unionByName(_repeated(docs, long_words, long_texts))
     # A text's own lines bound its list.
-    return (parsed.join(wide, "template", "left_semi").groupBy("text_key")
+    return (gone.groupBy("text_key")
             .agg(F.collect_set("line").alias("lines")))
 
 

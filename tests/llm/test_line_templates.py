@@ -4,7 +4,7 @@ import re
 import duckdb
 
 from querylab.llm import line_templates as lt
-from querylab.llm.queries import op2_line_templates
+from querylab.llm.queries import op2_line_templates, op2_templates_and_passages
 
 BLANK = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
@@ -62,3 +62,32 @@ def test_query_matches_sql_and_brute_force(spark):
     assert got == sorted(con.execute(lt.SQL).fetchall())
     assert got == sorted(brute(con.execute("select doc_id, text from documents").fetchall()))
     assert sum(r[2] for r in got) > 100
+
+
+def test_long_lines_go_from_two_texts_on(spark):
+    passage = " ".join(f"word{'abcdefgh'[k % 8]}{'xyz'[k % 3]}" for k in range(55))
+    short, copied = " ".join(["below"] * 49), " ".join(["mirror"] * 60)
+    rows = [(1, f"one\n{passage}"), (2, f"two\n  {passage.replace(' ', chr(9))}\nend"), (3, f"three\n{short}"), (4, f"four\n{short}"),
+            (5, copied), (6, copied), (7, f"{passage} 7"), (8, f"{passage} 8"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lt.line_counts(df, long_words=lt.LONG_WORDS).collect()}
+    assert got[1] == (1, "one") and got[2] == (1, "two\nend")
+    # short lines, copies of one text and generalised templates keep the higher count
+    assert all(got[k] == (0, t) for k, t in rows[2:])
+    assert all(r.n_dropped == 0 for r in lt.line_counts(df).collect())
+
+
+def test_long_lines_of_documents(spark):
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall()
+    texts = collections.defaultdict(set)
+    for t in {t for _, t in rows if t}:
+        for line in t.split("\n"):
+            w = tuple(x for x in BLANK.split(line) if x)
+            if len(w) >= lt.LONG_WORDS:
+                texts[w].add(t)
+    by_template = {r.doc_id: r.text for r in op2_line_templates(spark, d).collect()}
+    got = {r.doc_id: r.text for r in op2_templates_and_passages(spark, d).collect()}
+    long = lambda x: len(texts.get(tuple(w for w in BLANK.split(x) if w), ())) >= lt.LONG_TEXTS
+    want = {k: None if t is None else "\n".join(x for x in t.split("\n") if not long(x)) for k, t in by_template.items()}
+    assert got == want and got != by_template
