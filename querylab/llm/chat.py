@@ -51,20 +51,44 @@ def _passages(lines: Column) -> Column:
     return F.size(F.filter(F.zip_with(levels, before, lambda a, b: (a > 0) & (a != b)), lambda x: x))
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
+def _units(lines: Column) -> Column:
+    """Distinct (level, hash) of the lines with words and of the paragraphs:
+    lines of one level in a row up to a blank one, joined by a space."""
+    begin = F.struct(F.lit(-1).alias("level"), F.array().cast("array<string>").alias("part"),
+                     F.array().cast("array<struct<level:int,hash:bigint>>").alias("out"))
+
+    def closed(acc: Column) -> Column:
+        whole = F.struct(acc["level"].alias("level"), F.xxhash64(F.array_join(acc["part"], " ")).alias("hash"))
+        return F.when(F.size(acc["part"]) > 1, F.concat(acc["out"], F.array(whole))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        words = F.when(x["norm"] == "", F.array().cast("array<string>")).otherwise(F.array(x["norm"]))
+        same = (acc["level"] == x["level"]) & (x["norm"] != "")
+        return F.struct(x["level"].cast("int").alias("level"),
+                        F.when(same, F.concat(acc["part"], words)).otherwise(words).alias("part"),
+                        F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"))
+    single = F.transform(F.filter(lines, lambda x: x["norm"] != ""), lambda x: F.struct(
+        x["level"].cast("int").alias("level"), F.xxhash64(x["norm"]).alias("hash")))
+    return F.array_distinct(F.concat(single, F.aggregate(lines, begin, step, closed)))
+
+
+def link_quotes(messages: DataFrame, deep: bool = False) -> DataFrame:
     """One row a message: conv_id, turn, role, place (0 first), parent_turn
     (null for a conversation's first turn), linked (by quotes, not by place),
     quote_level (deepest), n_quoted (quoted lines with words), n_matched (of
-    those, lines of the parent), n_passages and text without quotes."""
+    those, lines of the parent), n_passages and text without quotes; with
+    ``deep`` also links, and n_matched counts lines and paragraphs."""
     rows = messages.select(
         F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"),
         _parsed(F.coalesce("text", F.lit(""))).alias("lines"), F.xxhash64("role", "text").alias("of"))
     rows = rows.select("conv_id", "turn", "role", "of", "lines", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"),
                        F.col("conv_id").isNull().alias("c0"))
-    own = F.array_distinct(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & (x["norm"] != "")),
-                                       lambda x: F.xxhash64(x["norm"])))
-    cited = F.array_distinct(F.transform(F.filter("lines", lambda x: (x["level"] == 1) & (x["norm"] != "")),
-                                         lambda x: F.xxhash64(x["norm"])))
+    units = _units(F.col("lines")) if deep else F.array_distinct(F.transform(
+        F.filter("lines", lambda x: (x["level"] < 2) & (x["norm"] != "")),
+        lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["norm"]).alias("hash"))))
+    rows = rows.withColumn("units", units)
+    own = F.transform(F.filter("units", lambda u: u["level"] == 0), lambda u: u["hash"])
+    cited = F.filter("units", lambda u: u["level"] > 0)
     kept = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     held = saved(rows.select(
         "conv_id", "turn", "role", "of", "c", "c0", own.alias("own"), cited.alias("cited"),
@@ -74,12 +98,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.regexp_replace(kept, r"^[\s]+|[\s]+$", "").alias("text")), "messages")
     # Only conversations that quote bring their own lines into the join.
     quoting = held.filter(F.size("cited") > 0)
-    quotes = quoting.select("c", "c0", F.col("turn").alias("at"), F.explode("cited").alias("hash")).distinct()
+    quotes = quoting.select("c", "c0", F.col("turn").alias("at"), F.explode("cited").alias("u")).select("c", "c0", "at", "u.*").distinct()
     sources = (held.join(quoting.select("c", "c0").distinct(), ["c", "c0"], "left_semi").filter("turn is not null")
                .select("c", "c0", F.col("turn").alias("parent"), F.explode("own").alias("hash")).distinct())
     votes = (quotes.join(sources, ["c", "c0", "hash"]).filter("parent < at")
-             .groupBy("c", "c0", "at", "parent").agg(F.count("*").alias("n")))
-    links = votes.groupBy("c", "c0", F.col("at").alias("turn")).agg(F.max(F.struct("n", "parent")).alias("best"))
+             .groupBy("c", "c0", "at", "level", "parent").agg(F.count("*").alias("n")))
+    levels = votes.groupBy("c", "c0", "at", "level").agg(F.max(F.struct("n", "parent")).alias("best"))
+    # A message's own levels bound its list; the shallowest comes first.
+    links = levels.groupBy("c", "c0", F.col("at").alias("turn")).agg(F.array_sort(F.collect_list(F.struct(
+        "level", F.col("best.parent").alias("parent_turn"), F.col("best.n").alias("n")))).alias("links"))
+    links = links.withColumn("best", F.struct(F.col("links")[0]["n"].alias("n"), F.col("links")[0]["parent_turn"].alias("parent")))
     turns = held.select("c", "c0", "turn").groupBy("c", "c0", "turn").agg(F.count("*").alias("rows"))
     placed = _places(turns)
     before = placed.filter("turn is not null").select("c", "c0", (F.col("rank") + 1).alias("rank"), F.col("turn").alias("previous"))
@@ -91,7 +119,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return out.select(
         "conv_id", "turn", "role", (F.col("first") + F.col("nth")).cast("long").alias("place"),
         F.coalesce("best.parent", "previous").alias("parent_turn"), F.col("best").isNotNull().alias("linked"), "quote_level",
-        "n_quoted", F.coalesce("best.n", F.lit(0)).cast("long").alias("n_matched"), "n_passages", "text")
+        "n_quoted", F.coalesce("best.n", F.lit(0)).cast("long").alias("n_matched"), "n_passages", "text",
+        *[F.coalesce("links", F.array().cast("array<struct<level:int,parent_turn:bigint,n:bigint>>")).alias("links")] * deep)
 
 
 def _places(turns: DataFrame) -> DataFrame:

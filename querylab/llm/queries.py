@@ -119,3 +119,9 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_quotation_linking"] = chat.SQL
+
+
+@query
+def op10_quotation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, linked by the lines and paragraphs that they quote at any level."""
+    return chat.link_quotes(table(spark, sf_dir, "conversations"), deep=True)

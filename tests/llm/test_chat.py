@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 
 from querylab.llm import chat
-from querylab.llm.queries import op10_quotation_linking
+from querylab.llm.queries import op10_quotation_chains, op10_quotation_linking
 
 MARKS = re.compile(r"^[ \t]*(?:>[ \t]*)+")
 
@@ -78,3 +78,20 @@ def test_query_matches_sql(spark):
     rows = con.execute("select conv_id, turn, role, text from conversations").fetchall()
     got = order(op10_quotation_linking(spark, d).collect())
     assert got == order(con.execute(chat.SQL).fetchall()) == order(brute(rows))
+
+
+def test_deep_and_rewrapped_quotes(spark):
+    rows = [(1, 0, "How do I sort\na long list?\n\nThanks a lot"), (1, 1, "> How do I sort a long\n> list?\nUse sorted()"),
+            (1, 2, "a turn between"), (1, 3, ">> thanks a LOT\nwelcome"), (1, 4, ">> How do I\n>> sort a long list?\n> Use sorted()\nyes"),
+            (1, 5, ">> Use sorted()\n> no such line\n>>> nothing\n> >> > a turn between"), (1, 6, "> How do I sort\n> a long"), (2, 0, "> alone"), (2, 1, None)]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.linked, [tuple(x) for x in r.links]) for r in chat.link_quotes(df, deep=True).collect()}
+    assert got == {(1, 0): (None, False, []), (1, 1): (0, True, [(1, 0, 1)]), (1, 2): (1, False, []), (1, 3): (0, True, [(2, 0, 1)]),
+                   (1, 4): (1, True, [(1, 1, 1), (2, 0, 1)]), (1, 5): (1, True, [(2, 1, 1), (4, 2, 1)]), (1, 6): (0, True, [(1, 0, 1)]),
+                   (2, 0): (None, False, []), (2, 1): (0, False, [])}
+
+
+def test_chains_of_given_conversations(spark):
+    d = "/root/testdata/sf0.01"
+    chains = op10_quotation_chains(spark, d)
+    assert order(chains.drop("links").collect()) == order(op10_quotation_linking(spark, d).collect())
