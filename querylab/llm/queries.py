@@ -93,6 +93,13 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         simhash.hex_of("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+@query
+def op7_near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other fingerprints within three bits of those of every fiftieth document."""
+    found = simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(simhash.hex_of("query").alias("fingerprint"), simhash.hex_of("fp").alias("near_fingerprint"), "distance")
+
+
 def _span_digest(found: DataFrame, kinds: tuple[str, ...], *more: str) -> DataFrame:
     return found.select(
         "doc_id", *[spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in kinds],

@@ -10,6 +10,10 @@ explosion of terms ends in a grouped sum of longs.
 by permuted block tables: 64 bits are cut into ``radius + 3`` blocks; any two
 fingerprints within the radius agree in at least three whole blocks, so one
 table for each choice of three blocks, keyed by their bits, holds the pair.
+Fingerprints under a key that more than ``CROWDED`` of them share, and the
+queries there, meet at midpoints instead: every value within half the radius of
+the query and within the other half of the fingerprint.  Whatever meets is
+within the radius, so no pair is tried in vain, and a pair meets a bounded number of times.
 
 Cases: a null text counts as an empty one; a text without words has
 fingerprint zero; repeated rows each get a row and come after one another; a
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import saved
 
 BITS = 64
+CROWDED = 256
 _LANES = (1 << 32) + 1
 
 
@@ -149,10 +154,39 @@ def _tables(fps: DataFrame, radius: int) -> DataFrame:
         "bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+def _ball(fps: DataFrame, radius: int) -> DataFrame:
+    """A row for each value ``mid`` within ``radius`` bits of a fingerprint."""
+    flips = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(63)), -(1 << 63)]])
+    out = fps.withColumns({"mid": F.col("fp"), "__last": F.lit(0)})
+    for _ in range(radius):
+        out = (out.select("*", F.posexplode(flips).alias("__at", "__flip")).filter((F.col("__at") > F.col("__last")) | (F.col("__last") == 0))
+               .withColumns({"mid": F.col("mid").bitwiseXOR(F.col("__flip")), "__last": F.col("__at")}).drop("__at", "__flip"))
+    return out.drop("__last")
+
+
+def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, crowded: int = CROWDED) -> DataFrame:
     """Distinct (query, fp, distance) with ``fp`` of ``fps(fp)`` within ``radius``
     bits of ``query`` of ``queries(fp)``; a query finds itself if it is there."""
-    q = _tables(queries.select("fp").distinct(), radius).withColumnRenamed("fp", "query")
-    found = _tables(fps.select("fp").distinct(), radius).join(q, ["mask", "bits"])
+    q = _tables(queries.select("fp").distinct(), radius)
+    keys = ["mask", "bits"]
+    held = saved(_tables(fps.select("fp").distinct(), radius).join(q.select(*keys).distinct(), keys, "left_semi"), "keyed")
+    dense = saved(held.groupBy(*keys).count().filter(F.col("count") > crowded).select(*keys), "crowded")
+    asked = q.withColumnRenamed("fp", "query")
+    found = held.join(dense, keys, "left_anti").join(asked, keys).select("query", "fp")
+    # Both sides of a crowded key, without the key.
+    many = _ball(held.join(dense, keys, "left_semi").select("fp").distinct(), radius // 2)
+    few = _ball(q.join(dense, keys, "left_semi").select("fp").distinct(), radius - radius // 2).withColumnRenamed("fp", "query")
+    found = found.unionByName(many.join(few, "mid").select("query", "fp"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("query"))).alias("distance")
     return found.select("query", "fp", distance).filter(F.col("distance") <= radius).distinct()
+
+
+def near_fingerprints(docs: DataFrame, every: int = 50, radius: int = 3) -> DataFrame:
+    """(query, fp, distance) between distinct fingerprints: the queries are
+    those of rows whose ``doc_id`` is divisible by ``every``, fps those of all rows."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    # Rows that share a key have the same text: their votes are doubled, the majority is not changed.
+    prints = saved(fingerprints(docs.select(F.struct(asked.alias("asked"), F.col("doc_id").alias("doc_id"), F.md5(text).alias("of")).alias("key"), text.alias("text")))
+                   .select("fp", "key.asked").groupBy("fp").agg(F.max("asked").alias("asked")), "searched")
+    return within_radius(prints, prints.filter("asked"), radius).filter("distance > 0")

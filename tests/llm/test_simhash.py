@@ -6,8 +6,8 @@ import duckdb
 import numpy as np
 import xxhash
 
-from querylab.llm.queries import op7_document_fingerprints
-from querylab.llm.simhash import edited_likeness, fingerprints, within_radius
+from querylab.llm.queries import op7_document_fingerprints, op7_near_fingerprints
+from querylab.llm.simhash import edited_likeness, fingerprints, near_fingerprints, within_radius
 
 SEED = 42
 
@@ -83,3 +83,35 @@ def test_query_matches_brute_force(spark):
     want = sorted((a, n, s, f"{f & (1 << 64) - 1:016x}", f"{g & (1 << 64) - 1:016x}", x, y) for a, n, s, f, g, x, y in brute(docs))
     assert got == want
     assert np.mean([r[5] for r in got if r[1] > 200]) > np.mean([r[6] for r in got if r[1] > 200]) + 0.15
+
+
+def test_crowded_keys(spark):
+    rng = np.random.default_rng(3)
+    out = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(600)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    fps = [signed(x) for x in out]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for radius in (0, 1, 2, 3):
+        got = {tuple(r) for r in within_radius(df, df.limit(20), radius, crowded=5).collect()}
+        want = {(a, b, d) for a, b in itertools.product(set(fps[:20]), set(fps))
+                if (d := bin((a ^ b) & (1 << 64) - 1).count("1")) <= radius}
+        assert got == want
+
+
+def near_brute(rows):
+    fps = {(d, brute_fp(t)) for d, t in rows}
+    asked = {f for d, f in fps if d is not None and d % 50 == 0}
+    return {(a, b, n) for a, b in itertools.product(asked, {f for _, f in fps}) if 0 < (n := bin(a ^ b).count("1")) <= 3}
+
+
+def test_near_fingerprints(spark):
+    words = " ".join(f"w{k}" for k in range(400))
+    rows = [(k, f"{words} tail{k}") for k in range(45, 60)] + [(100, "else"), (100, "else"), (None, words), (0, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    unsigned = lambda r: (r.query & (1 << 64) - 1, r.fp & (1 << 64) - 1, r.distance)
+    got = [unsigned(r) for r in near_fingerprints(df).collect()]
+    assert len(got) == len(set(got)) > 0 and set(got) == near_brute(rows)
+    d = "/root/testdata/sf0.01"
+    docs = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall()
+    got = sorted((r.fingerprint, r.near_fingerprint, r.distance) for r in op7_near_fingerprints(spark, d).collect())
+    assert got == sorted((f"{a:016x}", f"{b:016x}", n) for a, b, n in near_brute(docs))
