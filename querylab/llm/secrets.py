@@ -9,6 +9,10 @@ all candidates' values are counted over the corpus by distinct owners
 example, any other looks live.  A live candidate outside the base spans becomes
 a span of kind ``live``; every base span is marked live or example.
 
+With ``distinct_texts``, all copies of one text are one witness: the text counts
+for the least of its owners and repositories, so a mirrored document does not
+make examples of its own secrets.
+
 Values are grouped by (hash, owner, repository) before anything is shuffled, so
 a value that stands in a third of all documents costs a row a task.
 
@@ -28,6 +32,9 @@ from querylab.llm.common import saved
 
 MAX_OWNERS = 1
 MAX_REPOSITORIES = 2
+#: For owners of distinct texts: more than these is wide spread.
+WIDE_OWNERS = 4
+WIDE_REPOSITORIES = 8
 MIN_SYMBOLS = 8
 
 _NAMES = r"(?i:password|passwd|secret|token|api_?key)"
@@ -63,7 +70,8 @@ def ownership(values: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
+                 distinct_texts: bool = False) -> DataFrame:
     """One row a document: doc_id, base and spans (base and live spans, sorted;
     arrays of start, rank, end, kind, value), n_live and n_example (base spans
     that look live, and that are widely copied)."""
@@ -81,11 +89,15 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories
         F.transform("other", lambda s: hashed(s["value"])).alias("other_hashes"))
     held = saved(rows, "candidates")
     some = held.filter((F.size("base") > 0) | (F.size("other") > 0))
-    values = some.select("owner", "repository", F.explode(F.concat("base_hashes", "other_hashes")).alias("hash"))
+    texts = some.groupBy("text_key").agg(F.first(F.array_distinct(F.concat("base_hashes", "other_hashes"))).alias("hashes"),
+                                         F.min(F.struct("owner", "repository")).alias("by"))
+    if distinct_texts:
+        values = texts.select("by.*", F.explode("hashes").alias("hash"))
+    else:
+        values = some.select("owner", "repository", F.explode(F.concat("base_hashes", "other_hashes")).alias("hash"))
     wide = saved(ownership(values).filter((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories))
                  .select("hash"), "examples")
     # What each distinct text holds of widely copied values; a text's own values bound its list.
-    texts = some.groupBy("text_key").agg(F.first(F.array_distinct(F.concat("base_hashes", "other_hashes"))).alias("hashes"))
     copied = (texts.select("text_key", F.explode("hashes").alias("hash")).join(wide, "hash", "left_semi")
               .groupBy("text_key").agg(F.collect_set("hash").alias("copied")))
     none = F.array().cast("array<bigint>")

@@ -7,7 +7,7 @@ import duckdb
 import regex
 
 from querylab.llm import pii, secrets
-from querylab.llm.queries import op6_pii, op9_secret_scan
+from querylab.llm.queries import op6_pii, op9_secret_owners, op9_secret_scan
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -150,3 +150,26 @@ def test_queries_match_brute_force(spark):
     kinds = ("assign", "access", "hex")
     assert sorted(tuple(r) for r in op9_secret_scan(spark, d).collect()) == sorted(
         (i, *digest(b, kinds), listed(s), n, e) for i, b, s, n, e in secrets_brute(docs))
+
+
+def test_mirrored_secrets_stay_live(spark):
+    mirrored, wide = 'password = "hunter2hunter2"\nAbc123Def456Ghi789Jkl0', "token=example1example1"
+    rows = [(k, mirrored, f"s{k}", "en") for k in range(9)] + [(20 + k, f"{wide} {k}", f"s{k}", "en") for k in range(9)]
+    rows += [(40 + k, f"secret: twosources22 {k}", f"s{k}", "en") for k in range(2)] + [(60, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = secrets.find_secrets(df, secrets.WIDE_OWNERS, secrets.WIDE_REPOSITORIES, distinct_texts=True).collect()
+    got = {r.doc_id: (r.n_live, r.n_example, len(r.spans)) for r in found}
+    assert got == {k: (1, 0, 2) for k in range(9)} | {20 + k: (0, 1, 1) for k in range(9)} | {40: (1, 0, 1), 41: (1, 0, 1), 60: (0, 0, 0)}
+
+
+def test_secret_owners_matches_brute_force(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs = duckdb.sql(f"select doc_id, text, source, lang from '{d}/documents.parquet'").fetchall()
+    least = {}
+    for _, t, source, lang in docs:
+        least[t] = min(least.get(t, (source, lang)), (source, lang))
+    monkeypatch.setattr(secrets, "MAX_OWNERS", secrets.WIDE_OWNERS)
+    monkeypatch.setattr(secrets, "MAX_REPOSITORIES", secrets.WIDE_REPOSITORIES)
+    want = secrets_brute([(i, t, *least[t]) for i, t, _, _ in docs])
+    assert sorted(tuple(r) for r in op9_secret_owners(spark, d).collect()) == sorted(
+        (i, *digest(b, ("assign", "access", "hex")), listed(s), n, e) for i, b, s, n, e in want)
