@@ -112,6 +112,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
 
 
+@query
+def op6_pii_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and terms of any length that reveal it, by smoothed disclosure."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"), shortest=1, unseen=pii.UNSEEN)
+    return _span_digest(found, ("email", "ip", "card", "phone"))
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, judged by who owns their values."""

@@ -7,7 +7,7 @@ import duckdb
 import regex
 
 from querylab.llm import pii, secrets
-from querylab.llm.queries import op6_pii, op9_secret_owners, op9_secret_scan
+from querylab.llm.queries import op6_pii, op6_pii_all_terms, op9_secret_owners, op9_secret_scan
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -173,3 +173,39 @@ def test_secret_owners_matches_brute_force(spark, monkeypatch):
     want = secrets_brute([(i, t, *least[t]) for i, t, _, _ in docs])
     assert sorted(tuple(r) for r in op9_secret_owners(spark, d).collect()) == sorted(
         (i, *digest(b, ("assign", "access", "hex")), listed(s), n, e) for i, b, s, n, e in want)
+
+
+def smoothed_brute(rows):
+    word, held, df_t, df_e, df_te, texts = regex.compile(r"\p{L}+"), [], *(collections.Counter() for _ in range(3)), collections.defaultdict(set)
+    for d, t in rows:
+        t = t or ""
+        words = [(w.start(), w.end(), w.group().lower()) for w in word.finditer(t)]
+        df_t.update({w[2] for w in words})
+        base, near = pii_base(t), []
+        for a, _, b, kind, v in base:
+            left = max(0, a - pii.CONTEXT)
+            ws = [(x, y, w) for x, y, w in words if ((x > left or left == 0) and x >= left and y <= a or x >= b and y < b + pii.CONTEXT)
+                  and not any(x < q[2] and q[0] < y for q in base)]
+            near.append((f"{kind}:{digits(v) if kind in ('card', 'phone') else v.lower()}", ws))
+        df_e.update({e for e, _ in near})
+        pairs = {(e, w[2]) for e, ws in near for w in ws}
+        df_te.update(pairs)
+        for k in pairs:
+            texts[k].add(t)
+        held.append((d, base, near))
+    n = len(rows)
+    telling = {k for k, c in df_te.items() if n > df_e[k[0]] and math.log(n * c / (
+        (df_t[k[1]] + pii.UNSEEN * c / len(texts[k])) * df_e[k[0]])) >= pii.THRESHOLD * math.log(n / df_e[k[0]])}
+    return [(d, base, sorted(set(base) | {(x, 4, y, "term", w) for e, ws in near for x, y, w in ws if (e, w) in telling}))
+            for d, base, near in held]
+
+
+def test_short_terms_and_entities_seen_once(spark):
+    rows = [(0, "Kim wrote the note, mail kim.l@x.org today"), (1, None)] + [(10 + k, f"wrote the note mail today {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuples(r.spans) for r in pii.find_pii(df, shortest=1, unseen=pii.UNSEEN).collect()}
+    assert [s[3:] for s in got[0]] == [("term", "kim"), ("email", "kim.l@x.org")] and not any(got[k] for k in got if k)
+    d = "/root/testdata/sf0.01"
+    docs = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall()
+    assert sorted(tuple(r) for r in op6_pii_all_terms(spark, d).collect()) == sorted(
+        (i, *digest(b, ("email", "ip", "card", "phone")), listed(s)) for i, b, s in smoothed_brute(docs))
