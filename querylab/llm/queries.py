@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import chat, line_templates, mixing, pii, secrets, simhash, spans, toxicity
+from querylab.llm import chat, line_templates, merkle, mixing, pii, secrets, simhash, spans, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,13 @@ SQL["op10_quotation_linking"] = chat.SQL
 def op10_quotation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages, linked by the lines and paragraphs that they quote at any level."""
     return chat.link_quotes(table(spark, sf_dir, "conversations"), deep=True)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents, with a tampering check."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_sha256().alias("proof_sha256"), "folded_root", "verified")
+
+
+SQL["op12_merkle_manifest"] = merkle.SQL
