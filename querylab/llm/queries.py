@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import chat, line_templates, merkle, mixing, pii, secrets, simhash, spans, toxicity
+from querylab.llm import chat, divergence, line_templates, merkle, mixing, pii, secrets, simhash, spans, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How all sources of each language differ, by pairs and by telling terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = divergence.SQL

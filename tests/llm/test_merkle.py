@@ -94,7 +94,7 @@ def test_rows_enter_no_sort(spark):
     """Unique ids are ranked by bitmaps: no window and no range exchange over the leaves."""
     df = merkle.placed(merkle.leaves(frame(spark, CASES)))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "bitmap_count" in plan
+    assert "bitmapCount" in plan
     assert "rangepartitioning" not in plan and "+- Window" not in plan
 
 
