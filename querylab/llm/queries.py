@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querylab.llm.common import new_dir, table
 from querylab.llm.decontaminate import find_passages
 from querylab.llm.simhash_dedup import near_duplicates
-from querylab.llm import chat, divergence, line_templates, merkle, mixing, pii, secrets, simhash, spans, toxicity
+from querylab.llm import chat, divergence, language_id, line_templates, merkle, mixing, pii, secrets, simhash, spans, toxicity
 from querylab.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_source_divergence"] = divergence.SQL
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a byte convolutional network."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
