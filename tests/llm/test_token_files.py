@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from querylab.llm import token_files
 from querylab.llm.common import new_dir
 from querylab.llm.queries import tokenizer_path
 from querylab.llm.token_files import (
@@ -45,6 +46,22 @@ def test_encoder_matches_tokenizer(texts):
     assert [x.tolist() for x in enc.encode(texts)] == plain(texts)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdefghijklmnopqrstuvwxyzßàéñøüÿāłſƿȷɏʼ'İÅ.,e\u0301", min_size=1, max_size=12), min_size=1, max_size=8))
+def test_words_of_latin_letters(words):
+    enc = WordCachedEncoder(tokenizer_path())
+    assert enc.direct and enc.kind == "<u2"
+    assert [x.tolist() for x in enc.encode(words + [" ".join(words)])] == plain(words + [" ".join(words)])
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 3)
+    enc = WordCachedEncoder(tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(ODD)] == plain(ODD)
+    assert len(enc.words) <= 3
+
+
 def test_files_and_random_access(spark):
     rows = [(5, "b word"), (None, "null id"), (3, None), (3, "again"), (9, "long word, " * 9000), (5, "b word")]
     rows += [(100 + k, t) for k, t in enumerate(ODD)]
