@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querylab.session import saved
+
 GOLD, PRED = "gold", "pred"
 
 
@@ -130,135 +132,145 @@ def result_rows(df: DataFrame, side: str, keys: dict | None = None,
     return base.withColumn("side", F.lit(side)).select(*(list(keys or {}) + list(key_cols)), "side", "pos", "cells")
 
 
-# ------------------------------------------------------------------ pieces
-
-def shape_stats(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Row counts and arities per side (arity 0 when a side is empty)."""
-    g = F.col("side") == GOLD
-    return results.groupBy(*keys).agg(
-        F.count_if(g).alias("n_gold"), F.count_if(~g).alias("n_pred"),
-        F.coalesce(F.max(F.when(g, F.size("cells"))), F.lit(0)).alias("arity_gold"),
-        F.coalesce(F.max(F.when(~g, F.size("cells"))), F.lit(0)).alias("arity_pred"))
-
-
-def bag_mismatches(results: DataFrame, keys: Sequence[str], row: Column | None = None) -> DataFrame:
-    """Number of distinct rows whose multiplicities differ between sides
-    (E-1 multiset equality when it is 0).  Counting per (keys, row) is a
-    combinable aggregate, so duplicates are pre-aggregated map-side."""
-    row = F.col("cells") if row is None else row
-    per_row = (results.groupBy(*keys, row.alias("__row"))
-               .agg(F.count_if(F.col("side") == GOLD).alias("g"), F.count_if(F.col("side") == PRED).alias("p")))
-    return per_row.groupBy(*keys).agg(F.count_if(F.col("g") != F.col("p")).alias("n_mismatch"))
-
-
-def set_mismatches(results: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
-    """Rows present on one side only (set semantics)."""
-    per_row = (results.groupBy(*keys, row.alias("__row"))
-               .agg(F.max((F.col("side") == GOLD).cast("int")).alias("g"),
-                    F.max((F.col("side") == PRED).cast("int")).alias("p")))
-    return per_row.groupBy(*keys).agg(F.count_if(F.col("g") != F.col("p")).alias("n_mismatch"))
-
-
-def positional_mismatches(results: DataFrame, keys: Sequence[str], row: Column | None = None) -> DataFrame:
-    """Positions whose rows differ (ordered equality, E-2)."""
-    row = F.col("cells") if row is None else row
-    per_pos = (results.groupBy(*keys, "pos")
-               .agg(F.max(F.when(F.col("side") == GOLD, row)).alias("g"),
-                    F.max(F.when(F.col("side") == PRED, row)).alias("p")))
-    return per_pos.groupBy(*keys).agg(F.count_if(~F.col("g").eqNullSafe(F.col("p"))).alias("n_mismatch"))
-
-
-def unordered_row(cells: Column | None = None) -> Column:
-    """Row with its cells sorted (E-3): equal bags of unordered rows are a
-    necessary condition for equality under any column permutation."""
-    return F.array_sort(F.col("cells") if cells is None else cells)
-
-
-def column_signatures(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Signatures of every output column: ``linked`` (exact sum of hashes of a
-    value with its unordered row; equal for columns that can be matched),
-    a XOR and the NULL count; and ``own`` (with the ordered row), by which the
-    columns of one side are told to be the same in every row."""
-    ex = results.select(*keys, "side", F.xxhash64(unordered_row()).alias("u"), F.xxhash64("cells").alias("o"),
-                        F.posexplode("cells").alias("col", "v"))
-    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
-    return ex.groupBy(*keys, "side", "col").agg(
-        total("v", "u").alias("linked"), F.bit_xor(F.xxhash64(F.col("v"), F.lit(2))).alias("x2"),
-        F.count_if(F.col("v").isNull()).alias("nulls"), total("v", "o").alias("own"))
-
-
-def _bijections(cands: Column, before: Column) -> Column:
-    """All bijections respecting ``cands`` (cands[i] = pred columns allowed at
-    gold position i), built JVM-side with higher-order functions: extend
-    every partial assignment by each still-unused candidate.  Columns that are
-    the same in every row are interchangeable and come in one order only:
-    ``before[j]`` is the same column's previous copy, or -1."""
-    seed = F.array(F.array().cast("array<int>"))
-    return F.aggregate(
-        cands, seed,
-        lambda acc, c: F.flatten(F.transform(
-            acc, lambda a: F.transform(
-                F.filter(c, lambda j: ~F.array_contains(a, j) & ((before[j] < 0) | F.array_contains(a, before[j]))),
-                lambda j: F.concat(a, F.array(j))))))
-
-
-def candidate_permutations(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., perm_id, perm array<int>) where ``perm[i]`` is the pred column
-    placed at gold position i."""
-    sig = column_signatures(results, keys)
-    match = ["linked", "x2", "nulls"]
-    g = sig.filter(F.col("side") == GOLD).select(*keys, F.col("col").alias("gcol"), *match)
-    p = sig.filter(F.col("side") == PRED).select(*keys, F.col("col").alias("pcol"), *match, "own")
-    # Gold columns without any candidate keep an empty list: no permutation.
-    cand = (g.join(p, [*keys, *match], "left")
-            .groupBy(*keys, "gcol").agg(F.array_sort(F.collect_list("pcol")).alias("c"))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gcol", "c"))).alias("cs"))
-            .select(*keys, F.transform("cs", lambda s: s["c"].cast("array<int>")).alias("cands")))
-    copies = (p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pcol", "own"))).alias("ps"))
-              .select(*keys, F.transform("ps", lambda x: x["own"]).alias("own")))
-    index = F.sequence(F.lit(0), F.size("own") - 1)
-    before = copies.select(*keys, F.transform(index, lambda j: F.coalesce(F.array_max(F.filter(
-        index, lambda k: (k < j) & (F.col("own")[k] == F.col("own")[j]))), F.lit(-1))).alias("before"))
-    return cand.join(before, list(keys)).select(
-        *keys, F.posexplode(_bijections(F.col("cands"), F.col("before"))).alias("perm_id", "perm"))
-
-
-def permuted_mismatches(results: DataFrame, keys: Sequence[str], order_matters: bool) -> DataFrame:
-    """Minimum mismatch count over the candidate column permutations (E-4)."""
-    perms = candidate_permutations(results, keys)
-    gold = results.filter(F.col("side") == GOLD)
-    pred = (results.filter(F.col("side") == PRED).join(perms, list(keys))
-            .withColumn("cells", F.transform("perm", lambda i: F.col("cells")[i])).drop("perm"))
-    gold = gold.join(perms.select(*keys, "perm_id"), list(keys))
-    both = gold.unionByName(pred)
-    k2 = [*keys, "perm_id"]
-    mm = positional_mismatches(both, k2) if order_matters else bag_mismatches(both, k2)
-    return mm.groupBy(*keys).agg(F.min("n_mismatch").alias("n_perm_mismatch"),
-                                 F.count(F.lit(1)).alias("n_perms"))
-
-
-def _ordered_subsets(m: str, k: str) -> Column:
-    """All k-element index subsets of 0..m-1 in increasing order: the
-    bitmasks 0..2^m-1 with k bits set (m is a column count)."""
-    return F.expr(f"transform(filter(sequence(0L, shiftleft(1L, {m}) - 1), b -> bit_count(b) = {k}), "
-                  f"b -> filter(sequence(0, {m} - 1), i -> (shiftright(b, i) & 1) = 1))")
-
-
-def partial_cover(results: DataFrame, keys: Sequence[str], stats: DataFrame) -> DataFrame:
-    """E-5: every gold row is an ordered sub-sequence of some predicted row.
-
-    Instead of comparing all gold x pred row pairs, each predicted row is
-    projected onto every ordered column subset of the gold arity (C(m, k)
-    projections, m and k are column counts) and gold rows are semi-joined on
-    the projected cells."""
-    st = stats.filter((F.col("arity_pred") > F.col("arity_gold")) & (F.col("n_gold") > 0))
-    subsets = st.select(*keys, F.explode(_ordered_subsets("arity_pred", "arity_gold")).alias("sub"))
-    proj = (results.filter(F.col("side") == PRED).join(subsets, list(keys))
-            .select(*keys, F.transform("sub", lambda i: F.col("cells")[i]).alias("cells")).distinct())
-    gold = results.filter(F.col("side") == GOLD).join(st.select(*keys), list(keys))
-    uncovered = gold.join(proj, [*keys, "cells"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_uncovered"))
-    return (st.select(*keys).join(uncovered, list(keys), "left")
-            .select(*keys, (F.coalesce("n_uncovered", F.lit(0)) == 0).alias("partial")))
+# ------------------------------------------------------------ digests
+
+def _two(*c) -> Column:
+    """Two independent 64-bit hashes of columns, summed over rows: with the row
+    count a digest of the multiset of rows that does not depend on their order.
+    Unequal multisets share it with a chance of about 2^-128."""
+    return F.struct(*[F.sum(F.xxhash64(F.lit(k), *c).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+
+
+def entity_rows(results: DataFrame, *ids: Column | str) -> DataFrame:
+    """(id, pos, cells) of results, an entity being one query's result on one
+    database; NULL cells are empty texts, which no canonical cell is."""
+    return results.select(F.struct(*ids).alias("id"), "pos", F.transform("cells", lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
+
+
+def digests(rows: DataFrame, ordered: bool) -> DataFrame:
+    """One row an entity: n, arity, and digests of its rows as they stand
+    (with their positions if ``ordered``) and with their cells sorted."""
+    pos = ["pos"] if ordered else []
+    return rows.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("arity"),
+        _two(*pos, "cells").alias("direct"), _two(*pos, F.array_sort("cells")).alias("sorted"))
+
+
+def set_digests(rows: DataFrame) -> DataFrame:
+    """(id, rows_set): digest of the distinct rows with their cells sorted."""
+    hashes = rows.select("id", F.xxhash64(F.lit(1), F.array_sort("cells")).alias("a"), F.xxhash64(F.lit(2), F.array_sort("cells")).alias("b"))
+    return hashes.distinct().groupBy("id").agg(_two("a", "b").alias("rows_set"))
+
+
+# ------------------------------------------------------------ refinement
+
+def refine(rows: DataFrame, marked: DataFrame, ordered: bool) -> DataFrame:
+    """Colours of the columns of ``marked(id, mark, arity)``, by refinement.
+
+    A row's colour is the bag of its cells with their columns' colours; a
+    column's colour the bag of its cells with their rows' colours.  Both are
+    made anew until no column class splits (at most as many rounds as there are
+    columns).  Columns that some isomorphism maps onto each other get the same
+    colour, in whatever order rows and columns come.  ``mark`` lists columns
+    that start with a colour of their own.  Returns (id, mark, cols), ``cols``
+    being structs of colour, own (equal only for columns that are the same in
+    every row) and col."""
+    pos = ["pos"] if ordered else []
+    start = marked.select("id", "mark", F.transform(
+        F.sequence(F.lit(0), F.col("arity") - 1), lambda i: F.array_position("mark", i).cast("long")).alias("colours"))
+    n_columns, n_classes = marked.agg(F.sum("arity")).first()[0], None
+    while True:
+        row = F.xxhash64(*pos, F.array_sort(F.zip_with("cells", "colours", lambda v, c: F.xxhash64(v, c))))
+        cells = rows.join(start, "id").select(
+            "id", "mark", row.alias("row"), F.xxhash64(*pos, "cells").alias("whole"),
+            F.posexplode(F.arrays_zip("cells", "colours")).alias("col", "x"))
+        total = cells.groupBy("id", "mark", "col").agg(
+            _two("x.cells", "row").alias("seen"), F.first("x.colours").alias("old"), _two("x.cells", "whole").alias("own"))
+        coloured = saved(total.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct(
+            "col", F.xxhash64("old", "seen").alias("colour"), "own"))).alias("cols")), "colours")
+        n = coloured.agg(F.sum(F.size(F.array_distinct(F.transform("cols", lambda x: x["colour"]))))).first()[0]
+        if n in (n_classes, n_columns):
+            return coloured.select("id", "mark", F.array_sort(F.transform(
+                "cols", lambda x: F.struct(x["colour"].alias("colour"), x["own"].alias("own"), x["col"].alias("col")))).alias("cols"))
+        n_classes, start = n, coloured.select("id", "mark", F.transform("cols", lambda x: x["colour"]).alias("colours"))
+
+
+def _same(cols: Column, colour: Column) -> Column:
+    return F.filter(cols, lambda y: y["colour"] == colour)
+
+
+def _different(cols: Column) -> Column:
+    """One of each group of neighbouring columns that are the same in every row."""
+    return F.filter(cols, lambda y, k: (k == 0) | (F.get(cols, k - 1)["own"] != y["own"]))
+
+
+def permuted_equal(rows: DataFrame, links: DataFrame, sums: DataFrame, ordered: bool) -> DataFrame:
+    """Keys of ``links(key, gold, pred)`` whose results are equal after some
+    permutation of the columns (E-4).
+
+    Refined colours pair the columns; one representative of the pairings they
+    leave is verified by the digest of the permuted rows.  Only if that fails,
+    and columns of one colour differ, the first such gold column is told apart
+    and tried against each such predicted column, and colours are refined again.
+    Results are coloured once, whatever the number of links they are in."""
+    none = F.array().cast("array<int>")
+    states, found = links.select("key", "gold", "pred", none.alias("gmark"), none.alias("pmark")), None
+    arity = sums.select("id", "arity")
+    while True:
+        marked = states.select(F.col("gold").alias("id"), F.col("gmark").alias("mark")).unionByName(
+            states.select(F.col("pred").alias("id"), F.col("pmark").alias("mark"))).distinct().join(arity, "id")
+        coloured = refine(rows, saved(marked, "marked"), ordered)
+        colours = lambda c: F.transform(c, lambda x: x["colour"])
+        paired = F.array_sort(F.zip_with("gcols", "pcols", lambda a, b: F.struct(a["col"].alias("g"), b["col"].alias("p"))))
+        tried = saved(
+            states.join(coloured.toDF("gold", "gmark", "gcols"), ["gold", "gmark"]).join(coloured.toDF("pred", "pmark", "pcols"), ["pred", "pmark"])
+            .filter(colours("gcols") == colours("pcols")).withColumn("perm", F.transform(paired, lambda x: x["p"])), "pairings")
+        turned = rows.join(tried.select(F.col("pred").alias("id"), "key", "gold", "pmark", "perm"), "id").withColumn(
+            "cells", F.transform("perm", lambda j: F.get("cells", j)))
+        proved = turned.groupBy("key", "gold", "pmark").agg(_two(*(["pos"] if ordered else []), "cells").alias("turned"))
+        proved = saved(proved.join(sums.select(F.col("id").alias("gold"), "direct"), "gold").filter(F.col("turned") == F.col("direct"))
+                       .select("key").distinct(), "proved")
+        found = proved if found is None else found.unionByName(proved)
+        class_of = F.get(F.filter("gcols", lambda x: F.size(_different(_same(F.col("gcols"), x["colour"]))) > 1), F.lit(0))
+        open_ = tried.join(proved, "key", "left_anti").withColumn("class", class_of).filter("class is not null")
+        states = saved(open_.select(
+            "key", "gold", "pred", F.concat("gmark", F.array("class.col")).alias("gmark"), "pmark",
+            F.explode(_different(_same(F.col("pcols"), F.col("class.colour")))).alias("x")).select(
+            "key", "gold", "pred", "gmark", F.concat("pmark", F.array("x.col")).alias("pmark")), "states")
+        if states.isEmpty():
+            return found.distinct()
+
+
+# ------------------------------------------------------------ partial answers
+
+def partial_cover(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, partial) for ``links(key, gold, pred)``: every gold row is an
+    ordered sub-sequence of some predicted row (E-5).
+
+    A gold column can only meet a predicted one that shares a value with it, so
+    values are joined first; rising paths through such columns are extended one
+    gold column at a time, dropped where the rows' beginnings never agree, and
+    the gold rows anti-joined with the predicted rows' cells on the whole paths.
+    Nothing grows with the number of column subsets as such."""
+    sides = [saved(rows.join(links.select("key", F.col(side).alias("id")), "id").select("key", "cells").distinct(), side)
+             for side in ("gold", "pred")]
+    gold, pred = sides
+    values = [x.select("key", F.posexplode("cells").alias(c, "v")).distinct() for x, c in ((gold, "g"), (pred, "p"))]
+    shared = saved(values[0].join(values[1], ["key", "v"]).select("key", "g", "p").distinct(), "shared")
+    deepest = gold.agg(F.max(F.size("cells"))).first()[0] or 0
+    paths = links.select("key", F.array().cast("array<int>").alias("path"))
+    for g in range(deepest):
+        last = F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(-1))
+        longer = paths.join(shared.filter(F.col("g") == g).select("key", "p"), "key").filter(F.col("p") > last).select(
+            "key", F.concat("path", F.array("p")).alias("path"))
+        done = paths.join(gold.select("key", F.size("cells").alias("k")).distinct(), "key").filter(F.col("k") <= g).select("key", "path")
+        begins = gold.select("key", F.slice("cells", 1, g + 1).alias("cells")).distinct()
+        seen = (pred.join(longer, "key").select("key", "path", F.transform("path", lambda j: F.get("cells", j)).alias("cells"))
+                .join(begins, ["key", "cells"], "left_semi").select("key", "path").distinct())
+        paths = saved(seen.unionByName(done), "paths")
+    covers = pred.join(paths, "key").select("key", F.transform("path", lambda j: F.get("cells", j)).alias("cells")).distinct()
+    missing = gold.join(covers, ["key", "cells"], "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n_missing"))
+    return links.select("key").join(missing, "key", "left").select("key", F.col("n_missing").isNull().alias("partial"))
 
 
 # ------------------------------------------------------------------ verdicts
@@ -266,47 +278,60 @@ def partial_cover(results: DataFrame, keys: Sequence[str], stats: DataFrame) ->
 VERDICTS = ("direct_equal", "quick_ok", "equal", "partial")
 
 
+def compare_links(rows: DataFrame, links: DataFrame, ordered: bool = False, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
+    """Verdicts of ``links(key, gold, pred)`` between the entities of ``rows``.
+
+    An entity's digests are made once, however many links it is in; rows are
+    read again only for links that the digests leave undecided."""
+    sums = saved(digests(rows, ordered), "digests")
+    if "quick_ok" in verdicts and not ordered:
+        sums = saved(sums.join(set_digests(rows), "id"), "digests")
+    v = links
+    for side in ("gold", "pred"):
+        v = v.join(sums.select(F.col("id").alias(side), F.struct(*[c for c in sums.columns if c != "id"]).alias(f"of_{side}")), side, "left")
+    at = lambda side, c: F.col(f"of_{side}.{c}")
+    both_empty = F.col("of_gold").isNull() & F.col("of_pred").isNull()
+    same = lambda c: F.coalesce(at("gold", "arity") == at("pred", "arity"), F.lit(False)) & (
+        at("gold", "n") == at("pred", "n")) & (at("gold", c) == at("pred", c))
+    v = v.select("key", "gold", "pred", *[F.coalesce(at(s, c), F.lit(0)).cast(t).alias(f"{c}_{s}") for c, t in (("n", "long"), ("arity", "int"))
+                                          for s in ("gold", "pred")],
+                 both_empty.alias("empty"), (both_empty | same("direct")).alias("direct_equal"), same("sorted").alias("maybe"),
+                 *([(both_empty | same("sorted" if ordered else "rows_set")).alias("quick_ok")] if "quick_ok" in verdicts else []))
+    if "equal" in verdicts:
+        v = saved(v, "verdicts")
+        todo = saved(v.filter("maybe and not direct_equal").select("key", "gold", "pred"), "undecided")
+        if todo.isEmpty():
+            v = v.withColumn("equal", F.col("direct_equal"))
+        else:
+            found = permuted_equal(rows, todo, sums, ordered).withColumn("found", F.lit(True))
+            v = v.join(found, "key", "left").withColumn("equal", F.col("direct_equal") | F.coalesce("found", F.lit(False))).drop("found")
+    if "partial" in verdicts:
+        wider = saved(v.filter("arity_pred > arity_gold and n_gold > 0").select("key", "gold", "pred"), "wider")
+        if wider.isEmpty():
+            v = v.withColumn("partial", F.lit(False))
+        else:
+            v = v.join(partial_cover(rows, wider), "key", "left").withColumn("partial", F.coalesce("partial", F.lit(False)))
+    return v
+
+
 def compare_results(results: DataFrame, keys: Sequence[str], order_matters: bool = False,
                     pairs: DataFrame | None = None, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
     """Full result equality per key (the evaluator's ``result_eq``):
 
     both empty -> equal; else row counts and arities must agree, the bags
     (or sequences) of unordered rows must agree (cheap reject), and some
-    column permutation allowed by the column signatures must make the rows
-    equal as bags (or as sequences when ``order_matters``).
+    column permutation must make the rows equal as bags (or as sequences when
+    ``order_matters``).
 
     ``pairs`` lists every key (a pair whose both results are empty has no
     rows at all).  Returns keys + n_gold, n_pred, arity_gold, arity_pred,
     direct_equal, quick_ok, equal, partial.
     """
     keys = list(keys)
-    stats = shape_stats(results, keys)
-    if pairs is not None:
-        stats = pairs.select(*keys).join(stats, keys, "left").fillna(
-            0, subset=["n_gold", "n_pred", "arity_gold", "arity_pred"])
-    shaped = (F.col("n_gold") == F.col("n_pred")) & (F.col("arity_gold") == F.col("arity_pred"))
-    both_empty = (F.col("n_gold") == 0) & (F.col("n_pred") == 0)
-    v, want = stats, set(verdicts)
-    if want & {"direct_equal", "equal"}:
-        direct = positional_mismatches(results, keys) if order_matters else bag_mismatches(results, keys)
-        v = v.join(direct.withColumnRenamed("n_mismatch", "d"), keys, "left").withColumn(
-            "direct_equal", both_empty | (shaped & (F.coalesce("d", F.lit(0)) == 0)))
-    if want & {"quick_ok", "equal"}:
-        quick = (positional_mismatches(results, keys, unordered_row()) if order_matters
-                 else set_mismatches(results, keys, unordered_row()))
-        v = v.join(quick.withColumnRenamed("n_mismatch", "q"), keys, "left").withColumn(
-            "quick_ok", both_empty | (shaped & (F.coalesce("q", F.lit(0)) == 0)))
-    if "equal" in want:
-        # Permutations are only searched for pairs that pass the cheap stages
-        # but are not equal as they stand.
-        todo = v.filter(F.col("quick_ok") & ~F.col("direct_equal") & (F.col("n_gold") > 0)).select(*keys)
-        perm = permuted_mismatches(results.join(todo, keys, "left_semi"), keys, order_matters)
-        v = v.join(perm, keys, "left").withColumn("equal", both_empty | F.col("direct_equal") | (
-            F.col("quick_ok") & F.coalesce(F.col("n_perm_mismatch") == 0, F.lit(False))))
-    if "partial" in want:
-        v = v.join(partial_cover(results, keys, stats), keys, "left").withColumn(
-            "partial", F.coalesce("partial", F.lit(False)))
-    return v.select(*keys, "n_gold", "n_pred", "arity_gold", "arity_pred", *[x for x in VERDICTS if x in want])
+    every = results.select(*keys).distinct() if pairs is None else pairs.select(*keys)
+    links = every.select(F.struct(*keys).alias("key"), *[F.struct(*keys, F.lit(s).alias("side")).alias(s) for s in (GOLD, PRED)])
+    v = compare_links(entity_rows(results, *keys, "side"), links, order_matters, verdicts)
+    return v.select("key.*", "n_gold", "n_pred", "arity_gold", "arity_pred", *[x for x in VERDICTS if x in verdicts])
 
 
 def test_suite_verdict(per_db: DataFrame, pair_keys: Sequence[str], db_col: str = "db",
@@ -340,8 +365,7 @@ def with_cached_verdicts(pairs: DataFrame, cache: DataFrame, keys: Sequence[str]
 
 
 __all__ = [
-    "GOLD", "PRED", "canonical_cell_sql", "cells_of", "dense_positions", "result_rows", "shape_stats",
-    "bag_mismatches", "set_mismatches", "positional_mismatches", "unordered_row", "column_signatures",
-    "candidate_permutations", "permuted_mismatches", "partial_cover", "compare_results",
-    "test_suite_verdict", "accuracy", "with_cached_verdicts",
+    "GOLD", "PRED", "canonical_cell_sql", "cells_of", "dense_positions", "result_rows", "entity_rows", "digests", "set_digests",
+    "refine", "permuted_equal", "partial_cover", "compare_links", "compare_results", "test_suite_verdict", "accuracy",
+    "with_cached_verdicts",
 ]

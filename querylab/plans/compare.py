@@ -10,6 +10,7 @@ of the signature-pruned search.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from querylab.operators import compare as C
 from querylab.plans.registry import query
+from querylab.session import saved
 from querylab.tables import Tables
 
 N, S, T = "n", "s", "t"   # type classes of result columns (number, string, time)
@@ -81,42 +83,43 @@ def _run_sql(t: Tables, sql: str) -> DataFrame:
     return t.spark.sql(sql)
 
 
-def pair_results(t: Tables, pairs=PAIRS) -> DataFrame:
-    """Long result rows of every (pair, side).  Unordered results are glued
-    with one SQL UNION ALL (one analysis instead of a chain of unions);
-    ordered results get dense positions from their own ORDER BY."""
+def pair_entities(t: Tables, pairs) -> tuple[DataFrame, dict[tuple[str, bool], int]]:
+    """(id, pos, cells) of the pairs' queries, each text run once however many
+    pairs it is in, and the number of each (text, ordered).  Unordered results
+    are glued with one SQL UNION ALL (one analysis instead of a chain of
+    unions); ordered results get dense positions from their own ORDER BY."""
     t.register_views()
+    number: dict[tuple[str, bool], int] = {}
     selects, ordered = [], []
-    for i, p in enumerate(pairs):
-        for side, sql in ((C.GOLD, p.gold), (C.PRED, p.pred)):
+    for p in pairs:
+        for sql in (p.gold, p.pred):
+            if (sql, p.order_matters) in number:
+                continue
+            i = number[sql, p.order_matters] = len(number)
             df = t.spark.sql(sql)
             if p.order_matters:
-                ordered.append(C.result_rows(df, side, {"pair": p.name}, order=[]))
+                ordered.append(C.result_rows(df, C.GOLD, {"run": i}, order=[]).drop("side"))
                 continue
-            view = f"__querylab_result_{i}_{side}"
+            view = f"__querylab_result_{i}"
             df.createOrReplaceTempView(view)
-            selects.append(f"SELECT '{p.name}' AS pair, '{side}' AS side, CAST(NULL AS BIGINT) AS pos, "
-                           f"{C.cells_sql(df.schema)} AS cells FROM {view}")
+            selects.append(f"SELECT {i} AS run, CAST(NULL AS BIGINT) AS pos, {C.cells_sql(df.schema)} AS cells FROM {view}")
     out = t.spark.sql("\nUNION ALL\n".join(selects)) if selects else None
     for x in ordered:
         out = x if out is None else out.unionByName(x)
-    return out
+    # Several stages read the results: written once in the shared folder.
+    return saved(C.entity_rows(out, "run"), "results"), number
 
 
 def compare_pairs(t: Tables, pairs=PAIRS, verdicts=C.VERDICTS) -> DataFrame:
     """Verdicts per pair."""
-    names = t.spark.createDataFrame([(p.name, p.order_matters) for p in pairs], "pair string, ordered boolean")
-    # The long results table feeds five comparison stages: materialise it
-    # once in the shared checkpoint folder instead of re-running every query.
-    res = pair_results(t, pairs).checkpoint(eager=True)
+    rows, number = pair_entities(t, pairs)
     out = None
     for ordered in (False, True):
-        sub = [p for p in pairs if p.order_matters == ordered]
-        if not sub:
+        own = [((p.name,), (number[p.gold, ordered],), (number[p.pred, ordered],)) for p in pairs if p.order_matters == ordered]
+        if not own:
             continue
-        r = res.join(names.filter(F.col("ordered") == ordered).select("pair"), "pair", "left_semi")
-        v = C.compare_results(r, ["pair"], order_matters=ordered,
-                              pairs=names.filter(F.col("ordered") == ordered).select("pair"), verdicts=verdicts)
+        links = t.spark.createDataFrame(own, "key struct<pair: string>, gold struct<run: int>, pred struct<run: int>")
+        v = C.compare_links(rows, links, ordered, verdicts).drop("gold", "pred").select("key.*", "*").drop("key")
         out = v if out is None else out.unionByName(v)
     return out
 
@@ -265,20 +268,20 @@ SUITE_PREDS = [
 
 
 def suite_per_db(t: Tables, preds=SUITE_PREDS) -> DataFrame:
-    """Equality verdict per (pair, database)."""
+    """Equality verdict per (pair, database).  The gold query is run, digested
+    and coloured once, whatever the number of predictions."""
     t.register_views()
-    gold = t.spark.sql(SUITE_GOLD)
-    parts = []
-    for name, _, sql in preds:
-        if sql is None:
-            continue
-        parts.append(C.result_rows(gold, C.GOLD, {"pair": name}, key_cols=["db"]))
-        parts.append(C.result_rows(t.spark.sql(sql), C.PRED, {"pair": name}, key_cols=["db"]))
-    res = parts[0]
-    for x in parts[1:]:
-        res = res.unionByName(x)
-    res = res.checkpoint(eager=True)
-    return C.compare_results(res, ["pair", "db"], verdicts=["equal"])
+    known = [(name, sql) for name, _, sql in preds if sql is not None]
+    parts = [C.result_rows(t.spark.sql(sql), C.GOLD, {"query": name}, key_cols=["db"]) for name, sql in [("gold", SUITE_GOLD), *known]]
+    rows = saved(C.entity_rows(reduce(DataFrame.unionByName, parts), "query", "db"), "results")
+    names = t.spark.createDataFrame([(name,) for name, _ in known], "pair string")
+    # A database counts for a prediction if either query has rows on it.
+    dbs = rows.select("id.query", "id.db").distinct()
+    of_gold = dbs.filter(F.col("query") == "gold").select("db").join(F.broadcast(names))  # the names are listed above
+    links = of_gold.select("pair", "db").unionByName(dbs.filter(F.col("query") != "gold").withColumnRenamed("query", "pair")).distinct()
+    links = links.select(F.struct("pair", "db").alias("key"), F.struct(F.lit("gold").alias("query"), "db").alias("gold"),
+                         F.struct(F.col("pair").alias("query"), "db").alias("pred"))
+    return C.compare_links(rows, saved(links, "links"), verdicts=["equal"]).select("key.*", "equal")
 
 
 def suite_pairs(t: Tables, preds=SUITE_PREDS) -> DataFrame:

@@ -7,8 +7,9 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every querylab job wants, whatever the cluster size.
 _BASE_CONF = {
@@ -73,3 +74,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster, since the folder comes from ``spark.checkpoint.dir``)."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/querylab-{name}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: cuts the
+    lineage, and the planner knows the size of what it reads."""
+    path = f"{scratch_path(df.sparkSession, 'tables')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
