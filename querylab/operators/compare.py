@@ -134,26 +134,35 @@ def result_rows(df: DataFrame, side: str, keys: dict | None = None,
 
 # ------------------------------------------------------------ digests
 
+_LANE = (1 << 21) - 1
+
+
 def _two(*c) -> Column:
-    """Two independent 64-bit hashes of columns, summed over rows: with the row
-    count a digest of the multiset of rows that does not depend on their order.
-    Unequal multisets share it with a chance of about 2^-128."""
-    return F.struct(*[F.sum(F.xxhash64(F.lit(k), *c).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    """Two independent 64-bit hashes of columns, summed over rows in lanes of 21
+    bits (exact below 2^42 rows): with the row count a digest of the multiset
+    of rows that does not depend on their order.  Unequal multisets share it
+    with a chance of about 2^-126."""
+    def lanes(k: int) -> list[Column]:
+        h = F.xxhash64(F.lit(k), *c)
+        return [F.sum(F.shiftrightunsigned(h, 21 * i).bitwiseAND(F.lit(_LANE).cast("long"))).alias(f"h{k}_{i}") for i in range(3)]
+    return F.struct(*lanes(1), *lanes(2))
 
 
-def entity_rows(results: DataFrame, *ids: Column | str) -> DataFrame:
+def entity_rows(results: DataFrame, *ids: Column | str, ordered: bool = True) -> DataFrame:
     """(id, pos, cells) of results, an entity being one query's result on one
-    database; NULL cells are empty texts, which no canonical cell is."""
-    return results.select(F.struct(*ids).alias("id"), "pos", F.transform("cells", lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
+    database; NULL cells are empty texts, which no canonical cell is.  Rows
+    without a position are a bag, rows with one a sequence."""
+    pos = F.col("pos") if ordered else F.lit(None).cast("bigint").alias("pos")
+    return results.select(F.struct(*ids).alias("id"), pos, F.transform("cells", lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
 
 
-def digests(rows: DataFrame, ordered: bool) -> DataFrame:
-    """One row an entity: n, arity, and digests of its rows as they stand
-    (with their positions if ``ordered``) and with their cells sorted."""
-    pos = ["pos"] if ordered else []
+def digests(rows: DataFrame) -> DataFrame:
+    """One row an entity: n, arity, whether it is ordered, and digests of its
+    rows as they stand and with their cells sorted (hashes leave out a position
+    that is null)."""
     return rows.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("arity"),
-        _two(*pos, "cells").alias("direct"), _two(*pos, F.array_sort("cells")).alias("sorted"))
+        F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("arity"), F.bool_or(F.col("pos").isNotNull()).alias("ordered"),
+        _two("pos", "cells").alias("direct"), _two("pos", F.array_sort("cells")).alias("sorted"))
 
 
 def set_digests(rows: DataFrame) -> DataFrame:
@@ -164,7 +173,7 @@ def set_digests(rows: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ refinement
 
-def refine(rows: DataFrame, marked: DataFrame, ordered: bool) -> DataFrame:
+def refine(rows: DataFrame, marked: DataFrame) -> DataFrame:
     """Colours of the columns of ``marked(id, mark, arity)``, by refinement.
 
     A row's colour is the bag of its cells with their columns' colours; a
@@ -175,14 +184,13 @@ def refine(rows: DataFrame, marked: DataFrame, ordered: bool) -> DataFrame:
     that start with a colour of their own.  Returns (id, mark, cols), ``cols``
     being structs of colour, own (equal only for columns that are the same in
     every row) and col."""
-    pos = ["pos"] if ordered else []
     start = marked.select("id", "mark", F.transform(
         F.sequence(F.lit(0), F.col("arity") - 1), lambda i: F.array_position("mark", i).cast("long")).alias("colours"))
     n_columns, n_classes = marked.agg(F.sum("arity")).first()[0], None
     while True:
-        row = F.xxhash64(*pos, F.array_sort(F.zip_with("cells", "colours", lambda v, c: F.xxhash64(v, c))))
+        row = F.xxhash64("pos", F.array_sort(F.zip_with("cells", "colours", lambda v, c: F.xxhash64(v, c))))
         cells = rows.join(start, "id").select(
-            "id", "mark", row.alias("row"), F.xxhash64(*pos, "cells").alias("whole"),
+            "id", "mark", row.alias("row"), F.xxhash64("pos", "cells").alias("whole"),
             F.posexplode(F.arrays_zip("cells", "colours")).alias("col", "x"))
         total = cells.groupBy("id", "mark", "col").agg(
             _two("x.cells", "row").alias("seen"), F.first("x.colours").alias("old"), _two("x.cells", "whole").alias("own"))
@@ -204,7 +212,7 @@ def _different(cols: Column) -> Column:
     return F.filter(cols, lambda y, k: (k == 0) | (F.get(cols, k - 1)["own"] != y["own"]))
 
 
-def permuted_equal(rows: DataFrame, links: DataFrame, sums: DataFrame, ordered: bool) -> DataFrame:
+def permuted_equal(rows: DataFrame, links: DataFrame, sums: DataFrame) -> DataFrame:
     """Keys of ``links(key, gold, pred)`` whose results are equal after some
     permutation of the columns (E-4).
 
@@ -219,7 +227,7 @@ def permuted_equal(rows: DataFrame, links: DataFrame, sums: DataFrame, ordered:
     while True:
         marked = states.select(F.col("gold").alias("id"), F.col("gmark").alias("mark")).unionByName(
             states.select(F.col("pred").alias("id"), F.col("pmark").alias("mark"))).distinct().join(arity, "id")
-        coloured = refine(rows, saved(marked, "marked"), ordered)
+        coloured = refine(rows, marked)
         colours = lambda c: F.transform(c, lambda x: x["colour"])
         paired = F.array_sort(F.zip_with("gcols", "pcols", lambda a, b: F.struct(a["col"].alias("g"), b["col"].alias("p"))))
         tried = saved(
@@ -227,7 +235,7 @@ def permuted_equal(rows: DataFrame, links: DataFrame, sums: DataFrame, ordered:
             .filter(colours("gcols") == colours("pcols")).withColumn("perm", F.transform(paired, lambda x: x["p"])), "pairings")
         turned = rows.join(tried.select(F.col("pred").alias("id"), "key", "gold", "pmark", "perm"), "id").withColumn(
             "cells", F.transform("perm", lambda j: F.get("cells", j)))
-        proved = turned.groupBy("key", "gold", "pmark").agg(_two(*(["pos"] if ordered else []), "cells").alias("turned"))
+        proved = turned.groupBy("key", "gold", "pmark").agg(_two("pos", "cells").alias("turned"))
         proved = saved(proved.join(sums.select(F.col("id").alias("gold"), "direct"), "gold").filter(F.col("turned") == F.col("direct"))
                        .select("key").distinct(), "proved")
         found = proved if found is None else found.unionByName(proved)
@@ -243,32 +251,38 @@ def permuted_equal(rows: DataFrame, links: DataFrame, sums: DataFrame, ordered:
 
 # ------------------------------------------------------------ partial answers
 
-def partial_cover(rows: DataFrame, links: DataFrame) -> DataFrame:
+#: Paths a link may hold before rows prune them.
+PATHS = 64
+
+
+def partial_cover(rows: DataFrame, links: DataFrame, sums: DataFrame) -> DataFrame:
     """(key, partial) for ``links(key, gold, pred)``: every gold row is an
     ordered sub-sequence of some predicted row (E-5).
 
     A gold column can only meet a predicted one that shares a value with it, so
-    values are joined first; rising paths through such columns are extended one
-    gold column at a time, dropped where the rows' beginnings never agree, and
-    the gold rows anti-joined with the predicted rows' cells on the whole paths.
-    Nothing grows with the number of column subsets as such."""
-    sides = [saved(rows.join(links.select("key", F.col(side).alias("id")), "id").select("key", "cells").distinct(), side)
-             for side in ("gold", "pred")]
-    gold, pred = sides
-    values = [x.select("key", F.posexplode("cells").alias(c, "v")).distinct() for x, c in ((gold, "g"), (pred, "p"))]
+    values are joined first, and rising paths through such columns are extended
+    one gold column at a time; where a link holds many, those on which no rows
+    begin alike go.  The gold rows are anti-joined with the predicted rows'
+    cells on the whole paths.  Nothing grows with the number of column subsets
+    as such."""
+    gold, pred = (rows.join(links.select("key", F.col(side).alias("id")), "id").select("key", "cells") for side in ("gold", "pred"))
+    values = [x.select("key", F.posexplode("cells").alias(c, "v")).select("key", c, F.xxhash64("v").alias("v")).distinct()
+              for x, c in ((gold, "g"), (pred, "p"))]
     shared = saved(values[0].join(values[1], ["key", "v"]).select("key", "g", "p").distinct(), "shared")
-    deepest = gold.agg(F.max(F.size("cells"))).first()[0] or 0
-    paths = links.select("key", F.array().cast("array<int>").alias("path"))
-    for g in range(deepest):
+    arity = links.join(sums.select(F.col("id").alias("gold"), F.col("arity").alias("k")), "gold").select("key", "k")
+    on = lambda: F.transform("path", lambda j: F.get("cells", j)).alias("cells")
+    paths = arity.withColumn("path", F.array().cast("array<int>"))
+    for g in range(arity.agg(F.max("k")).first()[0]):
         last = F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(-1))
-        longer = paths.join(shared.filter(F.col("g") == g).select("key", "p"), "key").filter(F.col("p") > last).select(
-            "key", F.concat("path", F.array("p")).alias("path"))
-        done = paths.join(gold.select("key", F.size("cells").alias("k")).distinct(), "key").filter(F.col("k") <= g).select("key", "path")
+        longer = paths.join(shared.filter(F.col("g") == g).select("key", "p"), "key").filter((F.col("p") > last) & (F.col("k") > g))
+        paths = saved(longer.withColumn("path", F.concat("path", F.array("p"))).drop("p").unionByName(paths.filter(F.col("k") <= g)), "paths")
+        if paths.groupBy("key").count().filter(F.col("count") > PATHS).isEmpty():
+            continue
         begins = gold.select("key", F.slice("cells", 1, g + 1).alias("cells")).distinct()
-        seen = (pred.join(longer, "key").select("key", "path", F.transform("path", lambda j: F.get("cells", j)).alias("cells"))
-                .join(begins, ["key", "cells"], "left_semi").select("key", "path").distinct())
-        paths = saved(seen.unionByName(done), "paths")
-    covers = pred.join(paths, "key").select("key", F.transform("path", lambda j: F.get("cells", j)).alias("cells")).distinct()
+        seen = pred.join(paths.filter(F.col("k") > g), "key").select("key", "k", "path", on()).distinct()
+        paths = saved(seen.join(begins, ["key", "cells"], "left_semi").select("key", "k", "path").distinct()
+                      .unionByName(paths.filter(F.col("k") <= g)), "paths")
+    covers = pred.join(paths, "key").select("key", on())
     missing = gold.join(covers, ["key", "cells"], "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n_missing"))
     return links.select("key").join(missing, "key", "left").select("key", F.col("n_missing").isNull().alias("partial"))
 
@@ -278,39 +292,40 @@ def partial_cover(rows: DataFrame, links: DataFrame) -> DataFrame:
 VERDICTS = ("direct_equal", "quick_ok", "equal", "partial")
 
 
-def compare_links(rows: DataFrame, links: DataFrame, ordered: bool = False, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
+def compare_links(rows: DataFrame, links: DataFrame, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
     """Verdicts of ``links(key, gold, pred)`` between the entities of ``rows``.
 
     An entity's digests are made once, however many links it is in; rows are
     read again only for links that the digests leave undecided."""
-    sums = saved(digests(rows, ordered), "digests")
-    if "quick_ok" in verdicts and not ordered:
-        sums = saved(sums.join(set_digests(rows), "id"), "digests")
+    sums = digests(rows)
+    sums = saved(sums.join(set_digests(rows), "id") if "quick_ok" in verdicts else sums, "digests")
     v = links
     for side in ("gold", "pred"):
         v = v.join(sums.select(F.col("id").alias(side), F.struct(*[c for c in sums.columns if c != "id"]).alias(f"of_{side}")), side, "left")
     at = lambda side, c: F.col(f"of_{side}.{c}")
     both_empty = F.col("of_gold").isNull() & F.col("of_pred").isNull()
-    same = lambda c: F.coalesce(at("gold", "arity") == at("pred", "arity"), F.lit(False)) & (
-        at("gold", "n") == at("pred", "n")) & (at("gold", c) == at("pred", c))
-    v = v.select("key", "gold", "pred", *[F.coalesce(at(s, c), F.lit(0)).cast(t).alias(f"{c}_{s}") for c, t in (("n", "long"), ("arity", "int"))
-                                          for s in ("gold", "pred")],
-                 both_empty.alias("empty"), (both_empty | same("direct")).alias("direct_equal"), same("sorted").alias("maybe"),
-                 *([(both_empty | same("sorted" if ordered else "rows_set")).alias("quick_ok")] if "quick_ok" in verdicts else []))
-    if "equal" in verdicts:
+    same = lambda c: F.coalesce((at("gold", "arity") == at("pred", "arity")) & (
+        at("gold", "n") == at("pred", "n")) & (at("gold", c) == at("pred", c)), F.lit(False))
+    out = [F.coalesce(at(s, c), F.lit(0)).cast(t).alias(f"{c}_{s}") for c, t in (("n", "long"), ("arity", "int")) for s in ("gold", "pred")]
+    out += [(both_empty | same("direct")).alias("direct_equal"), same("sorted").alias("maybe")]
+    if "quick_ok" in verdicts:
+        out.append((both_empty | F.when(at("gold", "ordered"), same("sorted")).otherwise(same("rows_set"))).alias("quick_ok"))
+    v = v.select("key", "gold", "pred", *out)
+    if "equal" in verdicts or "partial" in verdicts:
         v = saved(v, "verdicts")
-        todo = saved(v.filter("maybe and not direct_equal").select("key", "gold", "pred"), "undecided")
+    if "equal" in verdicts:
+        todo = v.filter("maybe and not direct_equal").select("key", "gold", "pred")
         if todo.isEmpty():
             v = v.withColumn("equal", F.col("direct_equal"))
         else:
-            found = permuted_equal(rows, todo, sums, ordered).withColumn("found", F.lit(True))
+            found = permuted_equal(rows, todo, sums).withColumn("found", F.lit(True))
             v = v.join(found, "key", "left").withColumn("equal", F.col("direct_equal") | F.coalesce("found", F.lit(False))).drop("found")
     if "partial" in verdicts:
-        wider = saved(v.filter("arity_pred > arity_gold and n_gold > 0").select("key", "gold", "pred"), "wider")
+        wider = v.filter("arity_pred > arity_gold and n_gold > 0").select("key", "gold", "pred")
         if wider.isEmpty():
             v = v.withColumn("partial", F.lit(False))
         else:
-            v = v.join(partial_cover(rows, wider), "key", "left").withColumn("partial", F.coalesce("partial", F.lit(False)))
+            v = v.join(partial_cover(rows, wider, sums), "key", "left").withColumn("partial", F.coalesce("partial", F.lit(False)))
     return v
 
 
@@ -330,7 +345,7 @@ def compare_results(results: DataFrame, keys: Sequence[str], order_matters: bool
     keys = list(keys)
     every = results.select(*keys).distinct() if pairs is None else pairs.select(*keys)
     links = every.select(F.struct(*keys).alias("key"), *[F.struct(*keys, F.lit(s).alias("side")).alias(s) for s in (GOLD, PRED)])
-    v = compare_links(entity_rows(results, *keys, "side"), links, order_matters, verdicts)
+    v = compare_links(entity_rows(results, *keys, "side", ordered=order_matters), links, verdicts)
     return v.select("key.*", "n_gold", "n_pred", "arity_gold", "arity_pred", *[x for x in VERDICTS if x in verdicts])
 
 

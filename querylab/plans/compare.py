@@ -113,15 +113,9 @@ def pair_entities(t: Tables, pairs) -> tuple[DataFrame, dict[tuple[str, bool], i
 def compare_pairs(t: Tables, pairs=PAIRS, verdicts=C.VERDICTS) -> DataFrame:
     """Verdicts per pair."""
     rows, number = pair_entities(t, pairs)
-    out = None
-    for ordered in (False, True):
-        own = [((p.name,), (number[p.gold, ordered],), (number[p.pred, ordered],)) for p in pairs if p.order_matters == ordered]
-        if not own:
-            continue
-        links = t.spark.createDataFrame(own, "key struct<pair: string>, gold struct<run: int>, pred struct<run: int>")
-        v = C.compare_links(rows, links, ordered, verdicts).drop("gold", "pred").select("key.*", "*").drop("key")
-        out = v if out is None else out.unionByName(v)
-    return out
+    links = t.spark.createDataFrame([((p.name,), *(((number[sql, p.order_matters],)) for sql in (p.gold, p.pred))) for p in pairs],
+                                    "key struct<pair: string>, gold struct<run: int>, pred struct<run: int>")
+    return C.compare_links(rows, links, verdicts).drop("gold", "pred").select("key.*", "*").drop("key")
 
 
 # ---------------------------------------------------------------- oracle side

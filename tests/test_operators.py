@@ -161,6 +161,38 @@ def test_result_eq_with_many_tied_columns(spark):
     assert not _pair(spark, left, [(c, b, a) for a, b, c in left[:-1]] + [(0, 0, 0)], "a int, b int, c int", "x int, y int, z int").equal
 
 
+def test_result_eq_by_refined_colours(spark):
+    """Columns that colours cannot tell apart: any pairing works, or only some of them do."""
+    names = lambda n: ", ".join(f"c{k} int" for k in range(n))
+    # ten columns, each row a unit: every permutation of the columns is a symmetry
+    unit = [tuple(int(i == k) for i in range(10)) for k in range(10)]
+    assert _pair(spark, unit, [r[3:] + r[:3] for r in unit], names(10), names(10)).equal
+    assert not _pair(spark, unit, unit[:9] + [unit[0]], names(10), names(10)).equal
+    # two linked pairs of columns: (0, 2) and (1, 3) swap together only
+    both = [(a, b, a + 2, b + 2) for a in (0, 1) for b in (0, 1)]
+    for order in ((1, 0, 3, 2), (2, 0, 3, 1), (3, 2, 1, 0)):
+        assert _pair(spark, both, [tuple(r[k] for k in order) for r in both], names(4), names(4)).equal
+    # a ring of six against two rings of three: equal degrees, different tables
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    rings = [(i, (i + 1) % 3) for i in range(3)] + [(3 + i, 3 + (i + 1) % 3) for i in range(3)]
+    table = lambda e: [tuple(int(v in x) for v in range(6)) for x in e]
+    assert not _pair(spark, table(ring), table(rings), names(6), names(6)).equal
+    moved = [(p, q) for p, q in [(4, 2), (2, 0), (0, 5), (5, 3), (3, 1), (1, 4)]]
+    assert _pair(spark, table(ring), table(moved), names(6), names(6)).equal
+
+
+def test_partial_answers_of_many_columns(spark):
+    """40 predicted columns: subsets are not listed; few values shared, then all."""
+    wide = ", ".join(f"c{k} int" for k in range(40))
+    pred = [tuple(100 * k + i for k in range(40)) for i in range(5)]
+    gold = [(r[3], r[17], r[39]) for r in pred]
+    assert _pair(spark, gold, pred, "a int, b int, c int", wide).partial
+    assert not _pair(spark, [(c, b, a) for a, b, c in gold], pred, "a int, b int, c int", wide).partial
+    flags = [tuple(int(k in (i, 12, 30)) for k in range(40)) for i in range(4)]
+    assert _pair(spark, [(1, 0, 1, 1)], flags, "a int, b int, c int, d int", wide).partial
+    assert not _pair(spark, [(1, 1, 1, 1)], flags, "a int, b int, c int, d int", wide).partial
+
+
 def test_result_eq_ordered(spark):
     assert _pair(spark, [(1,), (2,)], [(1,), (2,)], "a int", "a int", ordered=True).equal
     assert not _pair(spark, [(1,), (2,)], [(2,), (1,)], "a int", "a int", ordered=True).equal
