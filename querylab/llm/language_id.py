@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querylab.llm.common import small_batches
+from querylab.llm.common import saved, small_batches
 
 SAMPLE = 2_400
 WINDOWS = 2
@@ -161,11 +161,14 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, windows) of at most ``sample`` labelled documents (one a language
     if there are more of these), as many for each language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
-    # One number; then only ids and labels are ranked, a bounded number a language and task.
-    each = max(1, sample // max(1, known.select("lang").distinct().count()))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= each).select("doc_id", "lang")
+    ids = saved(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct(), "labelled")
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, sample // max(1, sizes.count()))
+    # Ids below a hash bound are a few more than asked for (six deviations), so few rows a language are ranked.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    some = ids.join(sizes, "lang").filter(place * F.col("n") <= each + 6 * each ** 0.5 + 10)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = some.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= each).select("doc_id", "lang")
     rows = (known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
             .join(F.broadcast(chosen), ["doc_id", "lang"]))
 
