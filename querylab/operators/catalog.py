@@ -65,15 +65,25 @@ def is_key_like(name: str) -> bool:
     return name.endswith(("key", "_id"))
 
 
-def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, n_values): non-null values of every column, one
-    aggregate over each table."""
+#: A column whose estimated distinct values fall below this share of its rows
+#: has repeated ones (six deviations of a sketch of 4,096 entries).
+UNIQUE_SHARE = 0.9
+
+
+def profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, likely, whole, n_rows, n_values, values, n_distinct): one
+    scan a table, for all its columns at once.  ``values`` is a theta sketch of
+    a key-like or integer column's values, ``n_distinct`` its estimate."""
     parts = []
     for n, df in tables.items():
-        pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
-        wide = df.agg(*[F.count(c).alias(c) for c in df.columns])
-        parts.append(wide.selectExpr(f"'{n}' AS table", f"stack({len(df.columns)}, {pairs}) AS (column, n_values)"))
-    return reduce(DataFrame.unionAll, parts)
+        whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+        sketch = lambda c: (F.theta_sketch_agg(F.col(c).cast("long" if c in whole else "string"))
+                            if c in whole or is_key_like(c) else F.lit(None).cast("binary"))
+        rows = [F.struct(F.lit(n).alias("table"), F.lit(c).alias("column"), F.lit(is_key_like(c)).alias("likely"),
+                         F.lit(c in whole).alias("whole"), F.count("*").alias("n_rows"), F.count(F.col(c)).alias("n_values"),
+                         sketch(c).alias("values")) for c in df.columns]
+        parts.append(df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
+    return reduce(DataFrame.unionAll, parts).withColumn("n_distinct", F.theta_sketch_estimate("values"))
 
 
 def _unique(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
@@ -84,33 +94,45 @@ def _unique(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
         F.lit(table).alias("table"), F.array(*map(F.lit, cols)).alias("cols"), "ok")
 
 
-def infer_primary_keys(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
-    """(table, column) of primary keys, found by scanning for uniqueness: the
-    first key-like column that is unique, else the first pair of a table's
-    first key-like column with another integer column.  The answer has a row
-    or two a table."""
+def infer_primary_keys(tables: dict[str, DataFrame], columns: DataFrame) -> list[tuple[str, str]]:
+    """(table, column) of primary keys: the first key-like column that is
+    unique, else the first pair of a table's first key-like column with another
+    integer column.  The profile's ``columns`` rule out what has nulls or too
+    few values; only what they leave is scanned exactly.  Pairs are searched
+    only for tables without a single key, and only where the columns' values
+    multiply to the number of rows."""
+    # A row a column, without its sketch.
+    rows = columns.select("table", "column", "likely", "whole", "n_rows", "n_values", "n_distinct").collect()
+    full = {(r.table, r.column): r for r in rows if r.n_rows and r.n_values == r.n_rows}
+
     def first(candidates: list[tuple[str, list[str]]]) -> dict[str, list[str]]:
         if not candidates:
             return {}
-        rows = reduce(DataFrame.unionAll, [_unique(tables[n], n, c) for n, c in candidates]).filter("ok").collect()
-        good = {(r["table"], tuple(r["cols"])) for r in rows}
+        found = reduce(DataFrame.unionAll, [_unique(tables[n], n, c) for n, c in candidates]).filter("ok").collect()
+        good = {(r["table"], tuple(r["cols"])) for r in found}
         out: dict[str, list[str]] = {}
         for n, c in candidates:
             if (n, tuple(c)) in good:
                 out.setdefault(n, c)
         return out
+
     likely = {n: [c for c in df.columns if is_key_like(c)] for n, df in tables.items()}
-    keys = first([(n, [c]) for n, cs in likely.items() for c in cs])
-    whole = {n: [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)] for n, df in tables.items()}
-    keys |= first([(n, [cs[0], o]) for n, cs in likely.items() if cs and n not in keys for o in whole[n] if o != cs[0]])
+    keys = first([(n, [c]) for n, cs in likely.items() for c in cs
+                  if (n, c) in full and full[n, c].n_distinct >= UNIQUE_SHARE * full[n, c].n_rows])
+    pairs = [(n, [cs[0], c]) for n, cs in likely.items() if cs and n not in keys and (n, cs[0]) in full
+             for c in tables[n].columns if c != cs[0] and (n, c) in full and full[n, c].whole
+             and full[n, cs[0]].n_distinct * full[n, c].n_distinct >= UNIQUE_SHARE ** 2 * full[n, c].n_rows]
+    keys |= first(pairs)
     return [(n, c) for n in tables for c in keys.get(n, [])]
 
 
-def infer_foreign_keys(tables: dict[str, DataFrame], pks: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
+def infer_foreign_keys(tables: dict[str, DataFrame], pks: Sequence[tuple[str, str]],
+                       columns: DataFrame) -> list[tuple[str, str, str, str]]:
     """(table, column, referenced table, referenced column): key-like columns
     named like another table's single-column key (the same name, or the same
     ending after the first underscore, other than ``id``) all of whose values
-    occur there.  One anti join a candidate, on distinct values."""
+    occur there.  A value of the child's sketch that the parent's lacks is a
+    value that is missing, so only pairs without one are anti-joined."""
     per = {n: [c for t, c in pks if t == n] for n in tables}
     parents = [(n, cs[0]) for n, cs in per.items() if len(cs) == 1]
     ending = lambda c: c.split("_", 1)[-1]
@@ -118,12 +140,19 @@ def infer_foreign_keys(tables: dict[str, DataFrame], pks: Sequence[tuple[str, st
              for b, k in parents if a != b and (c == k or ending(c) == ending(k) != "id")]
     if not pairs:
         return []
+    named = columns.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, c string, b string, k string")
+    sides = [columns.select(F.col("table").alias(t), F.col("column").alias(c), F.col("values").alias(v))
+             for t, c, v in (("a", "c", "own"), ("b", "k", "theirs"))]
+    lacking = F.theta_sketch_estimate(F.theta_difference("own", "theirs")) > 0
+    left = {r.i for r in named.join(sides[0], ["a", "c"]).join(sides[1], ["b", "k"]).filter(~lacking).select("i").collect()}
+    if not left:
+        return []
 
     def missing(i: int, a: str, c: str, b: str, k: str) -> DataFrame:
         child = tables[a].select(F.col(c).cast("long").alias("v")).filter("v is not null").distinct()
         parent = tables[b].select(F.col(k).cast("long").alias("v"))
         return child.join(parent, "v", "left_anti").agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n")
-    rows = reduce(DataFrame.unionAll, [missing(i, *p) for i, p in enumerate(pairs)]).filter("n = 0").collect()
+    rows = reduce(DataFrame.unionAll, [missing(i, *pairs[i]) for i in sorted(left)]).filter("n = 0").collect()
     return [pairs[i] for i in sorted(r["i"] for r in rows)]
 
 

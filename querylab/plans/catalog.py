@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylab.operators import catalog as K
+from querylab.operators.compare import dense_positions
 from querylab.plans.registry import query
+from querylab.session import saved
+from querylab.sources import workload as W
 from querylab.tables import TABLE_NAMES, Tables
 
 DB = "driver"
@@ -31,8 +34,8 @@ COLUMNS = {
     "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
 }
 COLUMNS = {t: c.split() for t, c in COLUMNS.items()}
-# Pairs of columns tried where no single column is a key, and
-# references between key-like columns by their names.
+# Fixed values, for the oracle: pairs of columns tried where no single column
+# is a key, and references between key-like columns by their names.
 _PAIRS = {"lineitem": ["l_partkey", "l_suppkey", "l_linenumber"], "conversations": ["turn"]}
 REFERENCES = [
     ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
@@ -42,22 +45,52 @@ REFERENCES = [
     ("labels", "doc_id", "documents", "doc_id")]
 
 
-def _tables(t: Tables) -> dict[str, DataFrame]:
-    return {n: t.table(n) for n in TABLE_NAMES}
+_FOUND: dict = {}
+_CLASSES: dict = {}
+
+
+def _state(t: Tables) -> tuple:
+    return t.spark.sparkContext.applicationId, t.sf_dir, W.file_state(t.spark, [t.path(n) for n in TABLE_NAMES])
+
+
+def discovered(t: Tables) -> tuple[DataFrame, list, list]:
+    """The tables' column profile, primary keys and references, found once an
+    application and state of the tables' files."""
+    tables, key = {n: t.table(n) for n in TABLE_NAMES}, _state(t)
+    if key not in _FOUND:
+        columns = saved(K.profile(tables), "profile")
+        pks = K.infer_primary_keys(tables, columns)
+        _FOUND[key] = columns, pks, K.infer_foreign_keys(tables, pks, columns)
+    return _FOUND[key]
 
 
 def catalog(t: Tables) -> DataFrame:
     """The catalog feed: one row from the tables' schemas and the keys that
-    their data show (uniqueness and inclusion scans)."""
-    tables = _tables(t)
-    pks = K.infer_primary_keys(tables)
-    row = K.catalog_row(DB, {n: df.schema for n, df in tables.items()}, pks, K.infer_foreign_keys(tables, pks))
-    return K.catalog_df(t.spark, [row])
+    their data show."""
+    _, pks, fks = discovered(t)
+    return K.catalog_df(t.spark, [K.catalog_row(DB, {n: t.table(n).schema for n in TABLE_NAMES}, pks, fks)])
 
 
 def counted(t: Tables, columns: DataFrame) -> DataFrame:
     """The column relation with the number of values of each column."""
-    return columns.join(K.value_counts(_tables(t)), ["table", "column"])
+    return columns.join(discovered(t)[0].select("table", "column", "n_values"), ["table", "column"])
+
+
+def column_classes(t: Tables) -> dict[str, str]:
+    """Column -> least name of the columns that references link it to: the
+    components of the references' graph, a row a key column, found once a state
+    of the tables."""
+    key = _state(t)
+    if key in _CLASSES:
+        return _CLASSES[key]
+    edges = K.foreign_keys(catalog(t)).select(F.col("column1").alias("a"), F.col("column2").alias("b")).filter("a <> b")
+    names = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
+    ids = saved(dense_positions(names, [F.col("c")], "id"), "key-columns")
+    linked = (edges.join(ids.toDF("a", "src"), "a").join(ids.toDF("b", "dst"), "b").select("src", "dst"))
+    found = K.connected_components(linked)
+    rows = (found.join(ids.toDF("c", "node"), "node").join(ids.toDF("least", "component"), "component").select("c", "least").collect())
+    _CLASSES[key] = {r.c: r.least for r in rows}
+    return _CLASSES[key]
 
 
 _NAMES = ", ".join(f"'{n}'" for n in TABLE_NAMES)

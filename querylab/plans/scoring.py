@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from querylab.functions import sqltext as X
 from querylab.operators import scoring as SC
+from querylab.plans.catalog import column_classes
 from querylab.plans.registry import query
 from querylab.plans.workload import TRUTH, TRUTH_WORK, WORK, _template_col, _template_sql, featured
 from querylab.sources import workload as W
@@ -89,27 +90,10 @@ def e12(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------ E-13 .. E-15
 
-def _fk_map(t: Tables) -> dict[str, str]:
-    """Column -> representative of its FK-equivalence class (from the
-    catalog key graph: a handful of metadata rows)."""
-    from querylab.plans.catalog import REFERENCES
-    parent: dict[str, str] = {}
-
-    def find(a):
-        while parent.setdefault(a, a) != a:
-            a = parent[a]
-        return a
-    for _, c1, _, c2 in REFERENCES:
-        ra, rb = find(c1), find(c2)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return {c: find(c) for c in parent}
-
-
 def unit_pairs(t: Tables, *more: str) -> DataFrame:
     """Clause units of gold (g) and predicted (p) queries, with the workload's ``more`` columns."""
     w = W.workload_table(t.spark, t.sf_dir)
-    m = _fk_map(t)
+    m = column_classes(t)
     w = w.select("query_id", "db_id", *more, SC.fk_canonical(F.col("gold_sql"), m).alias("gold"),
                  SC.fk_canonical(F.col("pred_sql"), m).alias("pred"))
     w = SC.with_units(SC.with_units(w, "gold", "g"), "pred", "p")
@@ -310,7 +294,7 @@ def failures(t: Tables) -> DataFrame:
     """(model, db, gold query) for every prediction that is not an exact match.
     Gold units depend on the query only, so they are cut once per query and
     joined to the per-model prediction units on the query id."""
-    m = _fk_map(t)
+    m = column_classes(t)
     gold = W.workload_table(t.spark, t.sf_dir).select(
         "query_id", "db_id", "gold_sql", SC.fk_canonical(F.col("gold_sql"), m).alias("gold"))
     gu = SC.with_units(gold, "gold", "g").select("query_id", "db_id", "gold_sql", "g")

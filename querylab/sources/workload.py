@@ -162,9 +162,9 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEMO: dict = {}
 
 
-def _state(spark: SparkSession, path: str) -> tuple:
-    """Names, sizes and times of the files of a table (no content is read)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def file_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files of tables (no content is read)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return tuple(f.agg(F.count("*"), F.sum("length"), F.max("modificationTime"),
                        F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
@@ -174,7 +174,7 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     and state of its files (a reliable checkpoint in the shared folder), so
     the queries that read it do not re-derive it and their plans stay small.
     The rows are dealt evenly as they are written."""
-    k = (spark.sparkContext.applicationId, name, sf_dir, _state(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    k = (spark.sparkContext.applicationId, name, sf_dir, file_state(spark, [f"{sf_dir.rstrip('/')}/events.parquet"]))
     if k not in _MEMO:
         _MEMO[k] = build().hint("rebalance").checkpoint(eager=True)
     return _MEMO[k]
