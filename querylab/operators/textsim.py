@@ -2,8 +2,8 @@
 
 * Tokens: lower-cased runs of letters/digits (ROUGE); whitespace-separated
   words (BLEU), over the whole text.
-* Candidate pairs: texts sharing at least one word n-gram (join on the
-  n-gram, never a cross join).
+* Candidate pairs: texts sharing at least one word n-gram (join on hashed
+  n-grams, behind a Bloom filter of the references' ones; never a cross join).
 * ROUGE-N: clipped n-gram overlap from (id, gram, count) tables joined on
   (pair, gram); p = overlap / candidate grams, r = overlap / reference grams,
   f = 2pr / (p + r).
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querylab.session import saved
+
 WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -80,14 +82,52 @@ def pair_overlaps(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFra
         total("ref").alias("ref_total"), total("cand").alias("cand_total"), "ref_len", "cand_len")
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of a token array: every token is hashed
+    once, and n shifted slices of the hashes are combined pairwise."""
+    cnt = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    hashes = F.transform(tokens, lambda x: F.xxhash64(x))
+    out = F.slice(hashes, 1, cnt)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(hashes, k + 1, cnt), lambda a, b: F.xxhash64(a, b))
+    return out
+
+
+#: Bits of the Bloom filter: at most 16 MB, whatever the references.
+BLOOM_BITS = 27
+
+
+def _bloom(hashes: DataFrame) -> DataFrame:
+    """(bucket, bits): one bit a hash, 2^15 bits a row."""
+    at = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
+    return hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767).cast("long")).alias("bit")).groupBy(
+        "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _may_hold(hashes: DataFrame, bloom: DataFrame) -> DataFrame:
+    """The rows of ``hashes(h, ...)`` whose bit is set in the filter."""
+    at = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
+    byte = F.expr("cast(conv(hex(substring(bits, cast((at & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
+    # At most 2^12 rows of 4 KB.
+    held = hashes.withColumn("at", at).withColumn("bucket", F.shiftright("at", 15)).join(F.broadcast(bloom), "bucket")
+    return held.withColumn("byte", byte).filter("(shiftright(byte, cast(at & 7 as int)) & 1) = 1").drop("at", "bucket", "bits", "byte")
+
+
 def candidate_pairs(refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str, text_col: str = "text",
                     n: int = 8) -> DataFrame:
-    """(ref_id, cand_id) pairs sharing at least one word n-gram."""
-    rt = refs.select(F.col(ref_id).alias("rid"), word_tokens(F.col(text_col)).alias("tok"))
-    ct = cands.select(F.col(cand_id).alias("cid"), word_tokens(F.col(text_col)).alias("tok"))
-    rg = rt.select("rid", F.explode(F.array_distinct(ngrams(F.col("tok"), n))).alias("gram"))
-    cg = ct.select("cid", F.explode(F.array_distinct(ngrams(F.col("tok"), n))).alias("gram"))
-    return rg.join(cg, "gram").select(F.col("rid").alias(ref_id), F.col("cid").alias(cand_id)).distinct()
+    """(ref_id, cand_id) pairs sharing at least one word n-gram.
+
+    Only 64-bit hashes move, and of the candidates' only those that pass the
+    references' Bloom filter; pairs of equal hashes are verified by the grams."""
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        grams = F.array_distinct(gram_hashes(word_tokens(F.col(text_col)), n))
+        return df.select(F.col(key).alias(key), F.explode(grams).alias("h"))
+
+    known = saved(hashed(refs, ref_id), "reference-grams")
+    met = _may_hold(hashed(cands, cand_id), saved(_bloom(known), "bloom")).join(known, "h").select(ref_id, cand_id).distinct()
+    texts = [df.select(key, ngrams(word_tokens(F.col(text_col)), n).alias(side)) for df, key, side in ((refs, ref_id, "r"), (cands, cand_id, "c"))]
+    return (saved(met, "met").join(texts[0], ref_id).join(texts[1], cand_id)
+            .filter(F.arrays_overlap("r", "c")).select(ref_id, cand_id))
 
 
 def _prf(overlap: Column, cand_total: Column, ref_total: Column, prefix: str) -> list[Column]:
@@ -107,11 +147,13 @@ def rouge_n(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFrame, ca
 
 def average_rouge(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str,
                   ns: Sequence[int] = (1, 2), text_col: str = "text") -> DataFrame:
-    """(metric, p, r, f): ROUGE-N averaged over all pairs, 6 decimals."""
+    """(metric, p, r, f): ROUGE-N and ROUGE-L averaged over all pairs, 6 decimals."""
     each = pair_overlaps(pairs, refs, ref_id, cands, cand_id, ns, text_col).select(
-        "n", *_prf(F.col("overlap"), F.col("cand_total"), F.col("ref_total"), "x"))
-    return each.groupBy("n").agg(*[F.round(F.avg(f"x_{k}"), 6).alias(k) for k in "prf"]).select(
-        F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"), "p", "r", "f")
+        F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"),
+        *_prf(F.col("overlap"), F.col("cand_total"), F.col("ref_total"), "x"))
+    longest = rouge_l(pairs, refs, ref_id, cands, cand_id, text_col).select(
+        F.lit("rougeL").alias("metric"), *[F.col(f"rougeL_{k}").alias(f"x_{k}") for k in "prf"])
+    return each.unionByName(longest).groupBy("metric").agg(*[F.round(F.avg(f"x_{k}"), 6).alias(k) for k in "prf"])
 
 
 def _lcs(a, b) -> int:
