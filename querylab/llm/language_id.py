@@ -162,7 +162,8 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if there are more of these), as many for each language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     ids = saved(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct(), "labelled")
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    # A row a language, written so that the planner broadcasts it by its known size.
+    sizes = saved(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     each = max(1, sample // max(1, sizes.count()))
     # Ids below a hash bound are a few more than asked for (six deviations), so few rows a language are ranked.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)

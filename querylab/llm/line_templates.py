@@ -6,10 +6,10 @@ In the leaf, a token further on is constant where at least ``MIN_TEXTS``
 different texts have it at that position, and variable otherwise.  The line's
 template is its leaf with the constants.  Lines whose template has at least
 ``CONSTANT`` of its tokens constant and recurs in ``MIN_TEXTS`` or more
-different texts are dropped from all documents.  With ``long_words``, a line of
-that many words or more, all of them constant (the same words, blanks apart),
-goes from ``LONG_TEXTS`` different texts on; short and generalised templates keep
-the higher count.
+different texts are dropped from all documents.  A line of ``LONG_WORDS`` words or
+more, all of them constant (the same words, blanks apart), goes from
+``LONG_TEXTS`` different texts on; short and generalised templates keep the
+higher count.
 
 Copies of a whole text are one witness, so a copied document does not make
 templates of its own lines.  Only (leaf, text) hashes of all lines are shuffled;
@@ -64,13 +64,13 @@ def _repeated(docs: DataFrame, long_words: int, long_texts: int) -> DataFrame:
     lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
              .filter(F.regexp_count("line", F.lit(f"{_WORD}++")) >= long_words))
     held = saved(lines.select("text_key", F.xxhash64("line").alias("line"), F.md5(words).alias("words")).distinct(), "long-lines")
-    wide = (held.select("words", "text_key").distinct().groupBy("words").count()
-            .filter(F.col("count") >= long_texts).select("words"))
+    wide = saved(held.select("words", "text_key").distinct().groupBy("words").count()
+                 .filter(F.col("count") >= long_texts).select("words"), "long-words")
     return held.join(wide, "words", "left_semi").select("text_key", "line")
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, constant: float = CONSTANT,
-                    long_words: int | None = None, long_texts: int = LONG_TEXTS) -> DataFrame:
+                    long_words: int = LONG_WORDS, long_texts: int = LONG_TEXTS) -> DataFrame:
     """(text_key, lines): for texts with any, the hashes of the lines whose template recurs."""
     lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
              .filter(F.rlike("line", F.lit(_WORD))).withColumn("leaf", _leaf(F.col("line"), depth)))
@@ -82,8 +82,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
     held = saved(held.dropDuplicates(["text_key", "line"]), "leaf-lines")
     after = held.select("text_key", "line", "leaf", F.size("tokens").alias("n"),
                         F.posexplode_outer(F.slice("tokens", depth + 1, F.size("tokens"))).alias("at", "token"))
-    votes = after.filter((F.col("token") != "<*>")).select("leaf", "at", "token", "text_key").distinct().groupBy(
-        "leaf", "at", "token").count().filter(F.col("count") >= min_texts).select("leaf", "at", "token", F.lit(1).alias("kept"))
+    # What recurs is written, so the planner knows its size: a small table is broadcast, and no hot key is one task's.
+    votes = saved(after.filter((F.col("token") != "<*>")).select("leaf", "at", "token", "text_key").distinct().groupBy(
+        "leaf", "at", "token").count().filter(F.col("count") >= min_texts).select("leaf", "at", "token", F.lit(1).alias("kept")), "votes")
     leading = F.size(F.filter(F.slice("tokens", 1, depth), lambda t: t != "<*>")).alias("leading")
     parsed = (after.join(votes, ["leaf", "at", "token"], "left").groupBy("text_key", "line", "leaf", "n").agg(
         F.bit_xor(F.when(F.col("kept") == 1, F.xxhash64("at", "token"))).alias("constants"),
@@ -92,39 +93,39 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TE
               .filter(F.col("kept") + F.col("leading") >= constant * F.col("n"))
               .select("text_key", "line", F.xxhash64("leaf", "constants").alias("template")))
     parsed = saved(parsed, "parsed-lines")
-    wide = (parsed.select("template", "text_key").distinct().groupBy("template").count()
-            .filter(F.col("count") >= min_texts).select("template"))
-    gone = parsed.join(wide, "template", "left_semi").select("text_key", "line")
-    if long_words is not None:
-        gone = gone.unionByName(_repeated(docs, long_words, long_texts))
+    wide = saved(parsed.select("template", "text_key").distinct().groupBy("template").count()
+                 .filter(F.col("count") >= min_texts).select("template"), "wide-templates")
+    gone = parsed.join(wide, "template", "left_semi").select("text_key", "line").unionByName(_repeated(docs, long_words, long_texts))
     # A text's own lines bound its list.
     return (gone.groupBy("text_key")
             .agg(F.collect_set("line").alias("lines")))
 
 
 def _without(docs: DataFrame, how: dict) -> DataFrame:
-    """``docs`` with __all and __left: its lines, and those that stay."""
-    found = saved(recurring_lines(docs, **how), "recurring").withColumnsRenamed({"text_key": "__key", "lines": "__lines"})
-    joined = docs.withColumn("__key", F.md5("text")).join(found, "__key", "left").withColumn("__all", F.split("text", "\n"))
-    return joined.withColumn("__left", F.when(F.col("__lines").isNull(), F.col("__all")).otherwise(
-        F.filter("__all", lambda x: ~F.array_contains(F.col("__lines"), F.xxhash64(x)))))
+    """(row, gone, every, left): each row of ``docs`` packed, the hashes of its
+    recurring lines, its lines, and those that stay."""
+    found = saved(recurring_lines(docs, **how), "recurring").toDF("key", "gone")
+    joined = docs.select(F.struct(*docs.columns).alias("row"), F.md5("text").alias("key")).join(found, "key", "left")
+    joined = joined.withColumn("every", F.split("row.text", "\n"))
+    return joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("every")).otherwise(
+        F.filter("every", lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(x)))))
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the lines of recurring templates (``n_chars``, if there, follows)."""
-    out = _without(docs, how).withColumn("text", F.array_join("__left", "\n"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    text = F.array_join("left", "\n")
+    n_chars = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": n_chars}
+    return _without(docs, how).select(*[
+        new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_counts(docs: DataFrame, **how) -> DataFrame:
     """One row a document: doc_id, n_lines, n_dropped and text without the dropped lines."""
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     return _without(docs.select("doc_id", "text"), how).select(
-        "doc_id", count("__all").alias("n_lines"), (count("__all") - count("__left")).alias("n_dropped"),
-        F.array_join("__left", "\n").alias("text"))
+        "row.doc_id", count("every").alias("n_lines"), (count("every") - count("left")).alias("n_dropped"),
+        F.array_join("left", "\n").alias("text"))
 
 
 #: The same in DuckDB, with texts for hashes.
@@ -155,9 +156,15 @@ parsed AS (
     WHERE COALESCE(c.kept, 0) + len(list_filter(h.lead, lambda x: x <> '<*>')) >= {CONSTANT} * h.n),
 wide AS (
     SELECT n, lead, constants FROM parsed GROUP BY n, lead, constants HAVING COUNT(DISTINCT text) >= {MIN_TEXTS}),
+long AS (
+    SELECT text, line, list_filter(string_split_regex(line, '{_BLANK}'), lambda x: x <> '') AS words FROM lines),
+repeated AS (
+    SELECT words FROM long WHERE len(words) >= {LONG_WORDS} GROUP BY words HAVING COUNT(DISTINCT text) >= {LONG_TEXTS}),
 dropped AS (
-    SELECT p.text, list(p.line) AS gone FROM parsed p JOIN wide w
-    ON p.n = w.n AND p.lead = w.lead AND p.constants IS NOT DISTINCT FROM w.constants GROUP BY p.text),
+    SELECT text, list(line) AS gone FROM (
+        SELECT p.text, p.line FROM parsed p JOIN wide w
+        ON p.n = w.n AND p.lead = w.lead AND p.constants IS NOT DISTINCT FROM w.constants
+        UNION ALL SELECT text, line FROM long JOIN repeated USING (words)) GROUP BY text),
 kept AS (
     SELECT d.doc_id, string_split(d.text, chr(10)) AS all_lines,
            list_filter(string_split(d.text, chr(10)), lambda x: NOT COALESCE(list_contains(g.gone, x), FALSE)) AS left_lines,

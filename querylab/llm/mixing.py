@@ -107,26 +107,23 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
         # the document that the rest ends in, and the words of its row that are left
         F.min(F.when((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size")),
                      F.struct("key", (F.col("rest") - F.col("before")).alias("part"), "size"))).alias("cut"))
-        .select(F.coalesce("source", F.lit("")).alias("__named"), F.col("source").isNull().alias("__unnamed"),
-                F.col("epochs").alias("__epochs"), F.col("cut.key").alias("__cut"),
-                F.col("cut.part").alias("__part")))
+        .select(F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNull().alias("unnamed"),
+                "epochs", F.col("cut.key").alias("cut"), F.col("cut.part").alias("part")))
     cut = saved(cut, "cuts")  # as above, a row a source of known size
-    keyed = docs.withColumns({"__named": F.coalesce("source", F.lit("")), "__unnamed": F.col("source").isNull(),
-                              "__key": _key(seed), "__words": _size()}).join(cut, ["__named", "__unnamed"])
-    at_cut = F.coalesce(F.col("__key") == F.col("__cut"), F.lit(False))
-    whole = F.col("__epochs") + F.when(at_cut, 0).otherwise(
-        F.coalesce((F.col("__key") < F.col("__cut")).cast("int"), F.lit(0)))
-    whole = F.when(F.col("__words") == 0, F.greatest(whole, F.lit(1))).otherwise(whole)
+    # The given row travels packed, so its columns may have any names.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("named"),
+                        F.col("source").isNull().alias("unnamed"), _key(seed).alias("key"), _size().alias("words")).join(cut, ["named", "unnamed"])
+    at_cut = F.coalesce(F.col("key") == F.col("cut"), F.lit(False))
+    whole = F.col("epochs") + F.when(at_cut, 0).otherwise(F.coalesce((F.col("key") < F.col("cut")).cast("int"), F.lit(0)))
+    whole = F.when(F.col("words") == 0, F.greatest(whole, F.lit(1))).otherwise(whole)
     blank = r"[\x20\x09-\x0D]+"
-    words = F.slice(F.split(F.regexp_replace("text", "^" + blank, ""), blank), 1, F.col("__part").cast("int"))
+    words = F.slice(F.split(F.regexp_replace("row.text", "^" + blank, ""), blank), 1, F.col("part").cast("int"))
     takes = F.concat(F.array_repeat(F.lit(False), whole.cast("int")),
-                     F.when(at_cut & (F.col("__part") > 0), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    out = keyed.withColumn("__cutting", F.explode(takes)).withColumn(
-        "text", F.when(F.col("__cutting"), F.array_join(words, " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cutting"), F.length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+                     F.when(at_cut & (F.col("part") > 0), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    text = F.when(F.col("cutting"), F.array_join(words, " ")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("cutting"), F.length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    out = keyed.withColumn("cutting", F.explode(takes))
+    return out.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: The same plan in DuckDB.

@@ -145,7 +145,8 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, evidence: int = EVID
     """``docs`` with every span of personal data replaced by its kind in
     brackets: base values are removed and telling terms generalised."""
     found = (find_pii(docs, threshold, evidence).filter("text_key is not null")
-             .groupBy(F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans")))
-    keyed = docs.withColumn("__key", F.md5("text")).join(found, "__key", "left")
-    out = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(spans.replaced(F.col("text"), F.col("__spans")))
-    return keyed.withColumn("text", out).select(*docs.columns)
+             .groupBy(F.col("text_key").alias("key")).agg(F.first("spans").alias("spans")))
+    # The given row travels packed, so its columns may have any names.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.md5("text").alias("key")).join(found, "key", "left")
+    out = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(spans.replaced(F.col("row.text"), F.col("spans")))
+    return keyed.select(*[out.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

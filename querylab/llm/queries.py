@@ -37,19 +37,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines of recurring templates."""
+    """All documents without the lines of recurring templates and repeated long lines."""
     return line_templates.line_counts(table(spark, sf_dir, "documents"))
 
 
 SQL["op2_line_templates"] = line_templates.SQL
 
 
-@query
-def op2_templates_and_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_line_templates, and long lines go from two different texts on."""
-    return line_templates.line_counts(table(spark, sf_dir, "documents"), long_words=line_templates.LONG_WORDS)
-
-
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of all benchmark items in all documents."""

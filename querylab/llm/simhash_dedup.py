@@ -240,7 +240,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFr
     rows that repeat it in the group the one whose text has the least hash."""
     found = near_duplicates(docs, shingle, max_distance)
     first = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("kept"))
-             .select(F.coalesce("kept.doc_id", F.lit(0)).alias("__id"), F.col("kept.text_hash").alias("__hash")))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": _text_hash()})
+             .select(F.coalesce("kept.doc_id", F.lit(0)).alias("id"), F.col("kept.text_hash").alias("hash")))
+    # The given row travels packed, so its columns may have any names.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                        _text_hash().alias("hash"))
     # The join leaves the rows dealt and sorted by these keys, as the last step needs them.
-    return keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    kept = keyed.join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ import re
 import duckdb
 
 from querylab.llm import line_templates as lt
-from querylab.llm.queries import op2_line_templates, op2_templates_and_passages
+from querylab.llm.queries import op2_line_templates
 
 BLANK = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
@@ -28,10 +28,17 @@ def brute(rows):
         if len(leaf[f]) >= lt.MIN_TEXTS and n >= lt.CONSTANT * len(w):
             template[t, line] = (f, const)
             wide[f, const].add(t)
+    long = collections.defaultdict(set)
+    for t in texts:
+        for line in t.split("\n"):
+            w = tuple(x for x in BLANK.split(line) if x)
+            if len(w) >= lt.LONG_WORDS:
+                long[w].add(t)
     out = []
     for d, t in rows:
         all_lines = [] if t is None else t.split("\n")
-        left = [x for x in all_lines if len(wide[template.get((t, x))]) < lt.MIN_TEXTS]
+        left = [x for x in all_lines if len(wide[template.get((t, x))]) < lt.MIN_TEXTS
+                and len(long[tuple(w for w in BLANK.split(x) if w)]) < lt.LONG_TEXTS]
         out.append((d, len(all_lines), len(all_lines) - len(left), None if t is None else "\n".join(left)))
     return out
 
@@ -45,12 +52,12 @@ ROWS += [(400 + k, "short\n" + "x " * (5_000 + k)) for k in range(6)]
 
 
 def test_matches_brute_force(spark):
-    df = spark.createDataFrame([(a, b, 7, "l") for a, b in ROWS], "doc_id long, text string, n_chars int, line string")
+    df = spark.createDataFrame([(a, b, 7, "l") for a, b in ROWS], "doc_id long, text string, n_chars int, __key string")
     got = sorted((tuple(r) for r in lt.line_counts(df).collect()), key=str)
     assert got == sorted(brute(ROWS), key=str)
     assert dict((r[0], r[3]) for r in got)[0] == "own text number Ada Ada\n"
     out = lt.dedup_lines(df)
-    assert out.columns == df.columns and {r.doc_id: r.n_chars for r in out.collect()}[0] == 24
+    assert out.columns == df.columns and {r.doc_id: (r.n_chars, r["__key"]) for r in out.collect()}[0] == (24, "l")
     assert lt.line_counts(df.limit(0)).count() == 0
 
 
@@ -70,11 +77,11 @@ def test_long_lines_go_from_two_texts_on(spark):
     rows = [(1, f"one\n{passage}"), (2, f"two\n  {passage.replace(' ', chr(9))}\nend"), (3, f"three\n{short}"), (4, f"four\n{short}"),
             (5, copied), (6, copied), (7, f"{passage} 7"), (8, f"{passage} 8"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_dropped, r.text) for r in lt.line_counts(df, long_words=lt.LONG_WORDS).collect()}
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lt.line_counts(df).collect()}
     assert got[1] == (1, "one") and got[2] == (1, "two\nend")
     # short lines, copies of one text and generalised templates keep the higher count
     assert all(got[k] == (0, t) for k, t in rows[2:])
-    assert all(r.n_dropped == 0 for r in lt.line_counts(df).collect())
+    assert all(r.n_dropped == 0 for r in lt.line_counts(df, long_words=1000).collect())
 
 
 def test_long_lines_of_documents(spark):
@@ -86,8 +93,8 @@ def test_long_lines_of_documents(spark):
             w = tuple(x for x in BLANK.split(line) if x)
             if len(w) >= lt.LONG_WORDS:
                 texts[w].add(t)
-    by_template = {r.doc_id: r.text for r in op2_line_templates(spark, d).collect()}
-    got = {r.doc_id: r.text for r in op2_templates_and_passages(spark, d).collect()}
+    by_template = {r.doc_id: r.text for r in lt.line_counts(spark.read.parquet(f"{d}/documents.parquet"), long_words=10 ** 9).collect()}
+    got = {r.doc_id: r.text for r in op2_line_templates(spark, d).collect()}
     long = lambda x: len(texts.get(tuple(w for w in BLANK.split(x) if w), ())) >= lt.LONG_TEXTS
     want = {k: None if t is None else "\n".join(x for x in t.split("\n") if not long(x)) for k, t in by_template.items()}
     assert got == want and got != by_template

@@ -64,10 +64,11 @@ def test_plan_matches_brute_force(spark, bucket_rows):
 
 def test_mixed_rows_follow_the_plan(spark):
     rows = [r for r in ROWS if r[0] != 9 and r[0] is not None]
-    df = spark.createDataFrame([(*r, len(r[1] or ""), 2) for r in rows],
-                               "doc_id long, text string, source string, n_chars long, size int")
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 2, "own", r[0], True) for r in rows],
+                               "doc_id long, text string, source string, n_chars long, size int, key string, words long, cutting boolean")
     out = mixing.mixed(df)
     assert out.columns == df.columns
+    assert all(r.key == "own" and r.words == r.doc_id and r.size == 2 and r.cutting for r in out.collect())
     took, texts = collections.Counter(), dict((r[0], r[1]) for r in rows)
     for r in out.collect():
         took[r.doc_id] += len(WORD.findall(r.text or ""))
