@@ -248,13 +248,22 @@ def merge_queries(df: DataFrame, keys: Sequence[str], id_col: str, text_col: str
         F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("q")))).alias("__items"))
     return agg.select(*keys, F.col("__chunk").alias("chunk"),
                       F.transform("__items", lambda s: s["id"]).alias("ids"),
-                      F.array_join(F.transform("__items", lambda s: s["q"]), "\n\n").alias("merged"))
+                      F.transform("__items", lambda s: F.coalesce(F.length(s["q"]), F.lit(-1))).alias("lengths"),
+                      F.array_join(F.transform("__items", lambda s: F.coalesce(s["q"], F.lit(""))), "\n\n").alias("merged"))
 
 
 def split_queries(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inverse of :func:`merge_queries`."""
-    return (merged.select(*keys, "ids", F.posexplode(F.split("merged", "\n\n")).alias("pos", "query"))
-            .select(*keys, F.col("ids")[F.col("pos")].alias("query_id"), "query"))
+    """Inverse of :func:`merge_queries`: a chunk is cut by its queries' lengths
+    (-1: null), so a query may itself hold blank lines."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(acc: Column, n: Column) -> Column:
+        own = F.greatest(n, F.lit(0))
+        query = F.when(n >= 0, F.substring(F.col("merged"), acc["at"], own))
+        return F.struct((acc["at"] + own + 2).alias("at"), F.concat(acc["out"], F.array(query)).alias("out"))
+    queries = F.aggregate("lengths", start, cut, lambda acc: acc["out"])
+    return (merged.select(*keys, F.explode(F.arrays_zip(F.col("ids").alias("query_id"), queries.alias("query"))).alias("x"))
+            .select(*keys, "x.query_id", "x.query"))
 
 
 # ------------------------------------------------- C-13 / C-14 quota, samples

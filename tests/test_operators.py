@@ -161,6 +161,17 @@ def test_result_eq_with_many_tied_columns(spark):
     assert not _pair(spark, left, [(c, b, a) for a, b, c in left[:-1]] + [(0, 0, 0)], "a int, b int, c int", "x int, y int, z int").equal
 
 
+def test_merged_queries_split_again(spark):
+    """Blank lines inside a query, at its ends, empty and null queries."""
+    texts = ["SELECT 1\n\nFROM t", "\n\n", "", None, "SELECT 'é\U0001d4b3'\n\n\nFROM u\n\n", "SELECT 2"]
+    rows = [(f"d{k % 2}", k, texts[k % 6]) for k in range(300)]
+    df = spark.createDataFrame(rows, "db string, id long, q string")
+    merged = WL.merge_queries(df, ["db"], "id", "q")
+    assert max(len(r.ids) for r in merged.collect()) <= 64
+    got = [tuple(r) for r in WL.split_queries(merged, ["db"]).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+
+
 def test_result_eq_by_refined_colours(spark):
     """Columns that colours cannot tell apart: any pairing works, or only some of them do."""
     names = lambda n: ", ".join(f"c{k} int" for k in range(n))
