@@ -120,13 +120,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_live", "n_example")
 
 
-@query
-def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents, copies of a text being one witness, examples by wide spread."""
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.WIDE_OWNERS, secrets.WIDE_REPOSITORIES, True)
-    return _span_digest(found, ("assign", "access", "hex"), "n_live", "n_example")
-
-
 @query
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages in reply order, linked by what they quote, without quotes."""

@@ -3,15 +3,19 @@ functions only.
 
 Base spans are assigned secrets, access key ids and long hexadecimal strings.
 Other candidates are long tokens that mix letters and digits.  The hashes of
-all candidates' values are counted over the corpus by distinct owners
-(``source``) and repositories (``source`` and ``lang``): a value with more than
-``MAX_OWNERS`` owners or ``MAX_REPOSITORIES`` repositories is a widely copied
-example, any other looks live.  A live candidate outside the base spans becomes
-a span of kind ``live``; every base span is marked live or example.
-
-With ``distinct_texts``, all copies of one text are one witness: the text counts
-for the least of its owners and repositories, so a mirrored document does not
-make examples of its own secrets.
+all candidates' values are counted over the corpus by distinct texts, owners
+(``source``) and repositories (``source`` and ``lang``).  All copies of one text
+are one witness: the text counts for the least of its owners and repositories,
+so a mirrored document does not make examples of its own secrets.
+
+A widely copied example spreads over owners and repositories as texts in general
+do; an owner's credential recurs only where its owner writes.  With K the
+effective number of owners (inverse sum of squared shares of the texts), m texts
+placed independently would have E = K (1 - (1 - 1 / K)^m) owners.  A value is an
+example if it has ``LEAST_OWNERS`` owners or more and ``SPREAD`` of E, and
+``SPREAD`` of the same expectation for repositories; any other looks live.  A
+live candidate outside the base spans becomes a span of kind ``live``; every
+base span is marked live or example.
 
 Values are grouped by (hash, owner, repository) before anything is shuffled, so
 a value that stands in a third of all documents costs a row a task.
@@ -30,11 +34,8 @@ from pyspark.sql import functions as F
 from querylab.llm import spans
 from querylab.llm.common import saved
 
-MAX_OWNERS = 1
-MAX_REPOSITORIES = 2
-#: For owners of distinct texts: more than these is wide spread.
-WIDE_OWNERS = 4
-WIDE_REPOSITORIES = 8
+LEAST_OWNERS = 3
+SPREAD = 0.5
 MIN_SYMBOLS = 8
 
 _NAMES = r"(?i:password|passwd|secret|token|api_?key)"
@@ -64,14 +65,27 @@ def other_candidates(text: Column, base: Column) -> Column:
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """``values(hash, owner, repository)`` to (hash, owners, repositories)."""
-    per = values.groupBy("hash", "owner", "repository").agg(F.count("*").alias("rows"))
-    per_owner = per.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    """``values(hash, owner, repository)``, a row a text, to (hash, texts, owners, repositories)."""
+    per = values.groupBy("hash", "owner", "repository").agg(F.count("*").alias("texts"))
+    per_owner = per.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("texts").alias("texts"))
+    return per_owner.groupBy("hash").agg(F.sum("texts").alias("texts"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+
+
+def effective(texts: DataFrame, by: str) -> float:
+    """Effective number of owners or repositories of ``texts``: one number."""
+    n = texts.groupBy(by).agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    return n[0] * n[0] / n[1] if n[0] else 1.0
+
+
+def widely_copied(owned: DataFrame, n_owners: float, n_repositories: float) -> DataFrame:
+    """Rows of ``ownership`` whose value spreads as independent texts would."""
+    def expected(k: float) -> Column:
+        return k * (1 - F.pow(F.lit(1 - 1 / k), F.col("texts")))
+    return owned.filter((F.col("owners") >= LEAST_OWNERS) & (F.col("owners") >= SPREAD * expected(n_owners))
+                        & (F.col("repositories") >= SPREAD * expected(n_repositories)))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
-                 distinct_texts: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, base and spans (base and live spans, sorted;
     arrays of start, rank, end, kind, value), n_live and n_example (base spans
     that look live, and that are widely copied)."""
@@ -91,12 +105,9 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories
     some = held.filter((F.size("base") > 0) | (F.size("other") > 0))
     texts = some.groupBy("text_key").agg(F.first(F.array_distinct(F.concat("base_hashes", "other_hashes"))).alias("hashes"),
                                          F.min(F.struct("owner", "repository")).alias("by"))
-    if distinct_texts:
-        values = texts.select("by.*", F.explode("hashes").alias("hash"))
-    else:
-        values = some.select("owner", "repository", F.explode(F.concat("base_hashes", "other_hashes")).alias("hash"))
-    wide = saved(ownership(values).filter((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories))
-                 .select("hash"), "examples")
+    texts = saved(texts.select("text_key", "hashes", "by.*"), "candidate-texts")
+    owned = ownership(texts.select("owner", "repository", F.explode("hashes").alias("hash")))
+    wide = saved(widely_copied(owned, effective(texts, "owner"), effective(texts, "repository")).select("hash"), "examples")
     # What each distinct text holds of widely copied values; a text's own values bound its list.
     copied = (texts.select("text_key", F.explode("hashes").alias("hash")).join(wide, "hash", "left_semi")
               .groupBy("text_key").agg(F.collect_set("hash").alias("copied")))

@@ -1,13 +1,14 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import duckdb
 import regex
 
 from querylab.llm import pii, secrets
-from querylab.llm.queries import op6_pii, op6_pii_all_terms, op9_secret_owners, op9_secret_scan
+from querylab.llm.queries import op6_pii, op6_pii_all_terms, op9_secret_scan
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -107,7 +108,12 @@ def secret_base(t):
 
 
 def secrets_brute(rows):
-    held, owners, repos = [], collections.defaultdict(set), collections.defaultdict(set)
+    held, owners, repos, witnesses = [], *(collections.defaultdict(set) for _ in range(3))
+    by, name = {}, lambda x: "" if x is None else f"={x}"
+    for _, t, source, lang in rows:
+        own = (name(source), "/".join([name(source), name(lang)]))
+        by[t or ""] = min(by.get(t or "", own), own)
+    some = set()
     for d, t, source, lang in rows:
         t = t or ""
         base = secret_base(t)
@@ -116,10 +122,18 @@ def secrets_brute(rows):
                  and len(set(m.group())) >= secrets.MIN_SYMBOLS and not any(m.start() < b[2] and b[0] < m.end() for b in base)]
         own = [ASSIGN.match(b[4]).group(2) if b[3] == "assign" else b[4] for b in base]
         for v in own + [o[4] for o in other]:
-            owners[v].add(source)
-            repos[v].add((source, lang))
+            some.add(t)
+            owners[v].add(by[t][0])
+            repos[v].add(by[t][1])
+            witnesses[v].add(t)
         held.append((d, base, own, other))
-    wide = {v for v in owners if len(owners[v]) > secrets.MAX_OWNERS or len(repos[v]) > secrets.MAX_REPOSITORIES}
+
+    def expected(k, m):
+        n = collections.Counter(by[t][k] for t in some)
+        effective = sum(n.values()) ** 2 / sum(x * x for x in n.values())
+        return effective * (1 - (1 - 1 / effective) ** m)
+    wide = {v for v, ts in witnesses.items() if len(owners[v]) >= max(3, 0.5 * expected(0, len(ts)))
+            and len(repos[v]) >= 0.5 * expected(1, len(ts))}
     return [(d, base, sorted(base + [o for o in other if o[4] not in wide]), sum(v not in wide for v in own),
              sum(v in wide for v in own)) for d, base, own, other in held]
 
@@ -156,23 +170,42 @@ def test_mirrored_secrets_stay_live(spark):
     mirrored, wide = 'password = "hunter2hunter2"\nAbc123Def456Ghi789Jkl0', "token=example1example1"
     rows = [(k, mirrored, f"s{k}", "en") for k in range(9)] + [(20 + k, f"{wide} {k}", f"s{k}", "en") for k in range(9)]
     rows += [(40 + k, f"secret: twosources22 {k}", f"s{k}", "en") for k in range(2)] + [(60, None, None, None)]
+    # one owner's key in many of its own texts, and in one of another's
+    rows += [(70 + k, f"secret: ownkey1234567 {k}", "s0" if k else "s5", ("en", "de", "fr")[k % 3]) for k in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    found = secrets.find_secrets(df, secrets.WIDE_OWNERS, secrets.WIDE_REPOSITORIES, distinct_texts=True).collect()
-    got = {r.doc_id: (r.n_live, r.n_example, len(r.spans)) for r in found}
-    assert got == {k: (1, 0, 2) for k in range(9)} | {20 + k: (0, 1, 1) for k in range(9)} | {40: (1, 0, 1), 41: (1, 0, 1), 60: (0, 0, 0)}
-
-
-def test_secret_owners_matches_brute_force(spark, monkeypatch):
-    d = "/root/testdata/sf0.01"
-    docs = duckdb.sql(f"select doc_id, text, source, lang from '{d}/documents.parquet'").fetchall()
-    least = {}
-    for _, t, source, lang in docs:
-        least[t] = min(least.get(t, (source, lang)), (source, lang))
-    monkeypatch.setattr(secrets, "MAX_OWNERS", secrets.WIDE_OWNERS)
-    monkeypatch.setattr(secrets, "MAX_REPOSITORIES", secrets.WIDE_REPOSITORIES)
-    want = secrets_brute([(i, t, *least[t]) for i, t, _, _ in docs])
-    assert sorted(tuple(r) for r in op9_secret_owners(spark, d).collect()) == sorted(
-        (i, *digest(b, ("assign", "access", "hex")), listed(s), n, e) for i, b, s, n, e in want)
+    got = {r.doc_id: (r.n_live, r.n_example, len(r.spans)) for r in secrets.find_secrets(df).collect()}
+    want = {k: (1, 0, 2) for k in range(9)} | {20 + k: (0, 1, 1) for k in range(9)} | {40: (1, 0, 1), 41: (1, 0, 1), 60: (0, 0, 0)}
+    assert got == want | {70 + k: (1, 0, 1) for k in range(12)}
+
+
+def test_planted_examples_and_leaks(spark):
+    """Examples planted in many sources of the given documents, credentials in
+    their owners' documents, some of these mirrored under other sources."""
+    rng = random.Random(9)
+    docs = duckdb.sql("select doc_id, text, source, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    value = lambda k: hashlib.sha1(f"planted {k}".encode()).hexdigest()
+    rows, example, leak = list(docs), {}, {}
+    for k in range(30):
+        for n, (_, t, source, lang) in enumerate(rng.sample(docs, rng.randint(6, 40))):
+            rows.append((10 ** 6 + 100 * k + n, f"{t}\napi_key = {value(k)}", source, lang))
+            example[rows[-1][0]] = k
+    for k in range(30, 60):
+        owner = rng.choice(docs)[2]
+        own = rng.sample([x for x in docs if x[2] == owner], rng.randint(1, 12))
+        for n, (_, t, source, lang) in enumerate(own):
+            rows.append((10 ** 6 + 100 * k + n, f"{t}\napi_key = {value(k)}", source, lang))
+            leak[rows[-1][0]] = k
+        for n in range(0 if k % 2 else 15):  # mirrors of one of them
+            rows.append((10 ** 6 + 100 * k + 50 + n, rows[-1][1], f"src{n}", "en"))
+            leak[rows[-1][0]] = k
+    before = {r.doc_id: r.n_example for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")).collect()}
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    # a planted document's own example spans, beside those that its text had before
+    got = {r.doc_id: [s["value"] for s in r.base if s["kind"] == "hex"] and r.n_example > 0 for r in found.collect() if r.doc_id >= 10 ** 6}
+    caught = {example[d] for d in example if got[d]}
+    wrong = {leak[d] for d in leak if got[d]}
+    assert sum(before.values()) < 40
+    assert len(caught) >= 28 and len(wrong) <= 2, (len(caught), len(wrong))
 
 
 def smoothed_brute(rows):
