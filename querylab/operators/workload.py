@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from querylab.functions import sqltext as X
@@ -194,9 +194,18 @@ def validity(df: DataFrame, text_col: str) -> DataFrame:
               F.lit("aggregate in order by without group by"))))
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Quarantine pattern: (valid rows, invalid rows with their error)."""
-    return df.filter(F.col("error").isNull()), df.filter(F.col("error").isNotNull())
+def write_split(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Two sinks in one pass over ``df`` (which has ``error``, see
+    :func:`validity`): a folder of valid rows and one of quarantined rows with
+    their error text.  Returns both, read back, and their counts as observed
+    while writing."""
+    seen = Observation("split")
+    ok = F.col("error").isNull()
+    (df.withColumn("sink", F.when(ok, F.lit("valid")).otherwise(F.lit("quarantined")))
+     .observe(seen, F.count_if(ok).alias("valid"), F.count_if(~ok).alias("quarantined"))
+     .write.partitionBy("sink").parquet(path))
+    back = df.sparkSession.read.schema(df.withColumn("sink", F.lit("")).schema).parquet(path)
+    return back.filter("sink = 'valid'").drop("sink", "error"), back.filter("sink = 'quarantined'").drop("sink"), seen.get
 
 
 # --------------------------------------------------- C-9..C-12 templates, dedup

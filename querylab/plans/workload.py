@@ -7,11 +7,14 @@ the DuckDB oracle derives the same counts from the generator's parameters
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylab.operators import workload as WL
 from querylab.plans.registry import query
+from querylab.session import scratch_path
 from querylab.sources import workload as W
 from querylab.tables import TABLE_NAMES, Tables
 
@@ -102,9 +105,12 @@ _ERR_SQL = ("CASE WHEN s_kind = 0 AND g_kind >= 4 THEN 'select * with group by'
 @query("C8_validity_split", TRUTH + f"SELECT db_id, COALESCE({_ERR_SQL}, 'ok') AS status, COUNT(*) AS n "
        "FROM t GROUP BY ALL", ids=("C-8",))
 def c8(t: Tables) -> DataFrame:
-    """Valid and quarantined rows per database (one flag, two sinks)."""
-    v = WL.validity(featured(t), "gold_sql")
-    return v.groupBy("db_id", F.coalesce("error", F.lit("ok")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Valid and quarantined rows per database, written to their two sinks in
+    one pass and read back."""
+    rows = WL.validity(featured(t), "gold_sql").select("db_id", "query_id", "gold_sql", "error")
+    valid, quarantined, _ = WL.write_split(rows, scratch_path(t.spark, f"split-{uuid.uuid4().hex}"))
+    both = valid.select("db_id", F.lit("ok").alias("status")).unionByName(quarantined.select("db_id", F.col("error").alias("status")))
+    return both.groupBy("db_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ----------------------------------------------------------- templates

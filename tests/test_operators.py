@@ -161,6 +161,18 @@ def test_result_eq_with_many_tied_columns(spark):
     assert not _pair(spark, left, [(c, b, a) for a, b, c in left[:-1]] + [(0, 0, 0)], "a int, b int, c int", "x int, y int, z int").equal
 
 
+def test_split_writes_both_sinks_in_one_pass(spark):
+    import uuid
+    from querylab.session import scratch_path
+    rows = [(k, "d", None if k % 3 else f"error {k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, db string, error string")
+    valid, bad, counts = WL.write_split(df, scratch_path(spark, f"split-test-{uuid.uuid4().hex}"))
+    assert counts == {"valid": 20, "quarantined": 10}
+    assert valid.columns == ["id", "db"] and bad.columns == df.columns
+    assert sorted(r.id for r in valid.collect()) == [k for k in range(30) if k % 3]
+    assert sorted(tuple(r) for r in bad.collect()) == [r for r in rows if r[2]]
+
+
 def test_merged_queries_split_again(spark):
     """Blank lines inside a query, at its ends, empty and null queries."""
     texts = ["SELECT 1\n\nFROM t", "\n\n", "", None, "SELECT 'é\U0001d4b3'\n\n\nFROM u\n\n", "SELECT 2"]
