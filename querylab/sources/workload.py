@@ -162,11 +162,29 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEMO: dict = {}
 
 
+#: Files that are listed one by one from the driver; more are listed by a Spark job.
+LISTED = 256
+
+
 def file_state(spark: SparkSession, paths: list[str]) -> tuple:
     """Names, sizes and times of the files of tables (no content is read)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return tuple(f.agg(F.count("*"), F.sum("length"), F.max("modificationTime"),
-                       F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found, many = [], []
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        if fs.getContentSummary(at).getFileCount() > LISTED:
+            many.append(p)
+            continue
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    if many:
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(many)
+        found.append(tuple(f.agg(F.count("*"), F.sum("length"), F.max("modificationTime"),
+                                 F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()))
+    return tuple(sorted(map(str, found)))
 
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
