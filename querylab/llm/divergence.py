@@ -48,7 +48,7 @@ LEAST_DOCS = 10
 FIRST = 10
 SCALE = 10 ** 9
 #: Term counts that a task holds before it sends them on, and cells of a count matrix.
-ENTRIES = 800_000
+ENTRIES = 400_000
 CELLS = 1 << 20
 _SALTS = 16
 
