@@ -98,6 +98,30 @@ def test_stages_keep_the_columns(spark):
         assert changed == 0 if name != "benchmark_decontamination" else 0 < changed < 30
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, columns with clashing names, an empty table."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, score double, key string, row int, id long, "
+              "hash string, __key string, tags array<string>")
+    texts = [f"A quiet page number {k} about rivers {k * k} and hills {k + 7}" for k in range(40)]
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)] + [(3, texts[3], "en", "s0", len(texts[3]))] * 4
+    rows += [(None, "no id at all here", None, None, None), (100, None, "en", "s1", None), (101, "", "de", None, 0), (102, " \n\t", None, "s2", 3)]
+    rows += [(103, "long words run on " * 30_000, "en", "s2", 540_000)]
+    docs = spark.createDataFrame([(*r, 0.9, "k", 1, 5, "h", "own", ["a"]) for r in rows], schema)
+    empty, given = docs.limit(0), {r[0] for r in rows}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, empty = stage(spark, docs, D), stage(spark, empty, D)
+        assert empty.count() == 0
+        if k == len(corpus_pipeline.STAGES) - 1:
+            break
+        assert docs.dtypes == empty.dtypes and docs.schema.fieldNames() == [c.split()[0] for c in schema.split(", ")]
+        kept = docs.collect()
+        assert all((r.score, r.key, r.row, r.id, r.hash, r["__key"], r.tags) == (0.9, "k", 1, 5, "h", "own", ["a"]) for r in kept)
+        assert {r.doc_id for r in kept} <= given
+        if k == 1:  # exact copies and the texts without words are one document each
+            assert sum(r.doc_id == 3 for r in kept) <= 1 and sum(not (r.text or "").split() for r in kept) == 1
+    assert {r.doc_id for r in docs.collect()} <= given and docs.count() > 0
+
+
 def test_brute_helpers_agree():
     assert cut("a b One two, c", [("1", "one two")]) == "a b \n, c"
     assert brute("a b One two, c", [("1", "one two")], 10) == (5, 2, ["1"])
