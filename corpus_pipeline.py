@@ -1,6 +1,13 @@
 """Training-corpus pipeline over the documents table: toxic documents go, one
 document of each near-duplicate group stays, benchmark passages are cut out,
-sources are mixed to target weights, and what is left becomes token files."""
+sources are mixed to target weights, and what is left becomes token files.
+
+Cases: a null or empty text is scored as a text without terms, joins the group
+of texts without words, holds no passage, has size 0 in the mix and becomes an
+end token alone; null ids, languages and sources are values like any other;
+repeated rows are near duplicates, of which one stays; an empty table gives an
+empty table at every stage and no token files; other columns are carried up to
+the last stage, whatever their names and types."""
 
 from __future__ import annotations
 
