@@ -58,11 +58,18 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(F.regexp_count(line, F.lit(f"{_WORD}++")), head)
 
 
+def _lines(docs: DataFrame, lines: Column) -> DataFrame:
+    """(text_key, line), each line of a text once; the key is made before the
+    lines are dealt out, so a text is hashed once and not once a line."""
+    return docs.select(F.md5("text").alias("text_key"), F.array_distinct(lines).alias("lines")).select("text_key", F.explode("lines").alias("line"))
+
+
 def _repeated(docs: DataFrame, long_words: int, long_texts: int) -> DataFrame:
     """Distinct (text_key, line): lines of ``long_words`` or more that stand in ``long_texts`` different texts."""
     words = F.regexp_replace(F.regexp_replace("line", _BLANK, " "), "^ | $", "")
-    lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-             .filter(F.regexp_count("line", F.lit(f"{_WORD}++")) >= long_words))
+    # So many words and the blanks between them have a least length, which is cheaper to see.
+    some = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 2 * long_words - 1)
+    lines = _lines(docs, some).filter(F.regexp_count("line", F.lit(f"{_WORD}++")) >= long_words)
     held = saved(lines.select("text_key", F.xxhash64("line").alias("line"), F.md5(words).alias("words")).distinct(), "long-lines")
     wide = saved(held.select("words", "text_key").distinct().groupBy("words").count()
                  .filter(F.col("count") >= long_texts).select("words"), "long-words")
@@ -72,8 +79,7 @@ def _repeated(docs: DataFrame, long_words: int, long_texts: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, constant: float = CONSTANT,
                     long_words: int = LONG_WORDS, long_texts: int = LONG_TEXTS) -> DataFrame:
     """(text_key, lines): for texts with any, the hashes of the lines whose template recurs."""
-    lines = (docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-             .filter(F.rlike("line", F.lit(_WORD))).withColumn("leaf", _leaf(F.col("line"), depth)))
+    lines = _lines(docs, F.split("text", "\n")).filter(F.rlike("line", F.lit(_WORD))).withColumn("leaf", _leaf(F.col("line"), depth))
     common = saved(lines.select("leaf", "text_key").distinct().groupBy("leaf").count()
                    .filter(F.col("count") >= min_texts).select("leaf"), "leaves")
     # Only lines in leaves that recur are cut into tokens.
