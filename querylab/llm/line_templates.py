@@ -24,6 +24,8 @@ or are ignored (``line_counts``), whatever their names.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +53,23 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(_masked(line), _BLANK), lambda w: w != "")
 
 
+def _plain(line: Column) -> Column:
+    """No blanks but one space between words: most lines, seen without a pattern."""
+    odd = [line.contains(b) for b in ("  ", "\t", "\x0b", "\x0c", "\r")] + [line.startswith(" "), line.endswith(" "), line == ""]
+    return ~functools.reduce(Column.__or__, odd)
+
+
+def _n_words(line: Column) -> Column:
+    """Number of words; a plain line has one more than it has spaces."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(_plain(line), spaces + 1).otherwise(F.regexp_count(line, F.lit(f"{_WORD}++")))
+
+
 def _leaf(line: Column, depth: int) -> Column:
     """Number of tokens and the leading ones, hashed, without cutting the whole line up."""
     head = F.regexp_extract(line, rf"^{_BLANK.replace('+', '*+')}((?:{_WORD}++{_BLANK.replace('+', '*+')}){{0,{depth}}}+)", 1)
     head = F.trim(F.regexp_replace(_masked(head), _BLANK, " "))
-    return F.xxhash64(F.regexp_count(line, F.lit(f"{_WORD}++")), head)
+    return F.xxhash64(_n_words(line), head)
 
 
 def _lines(docs: DataFrame, lines: Column) -> DataFrame:
@@ -66,10 +80,11 @@ def _lines(docs: DataFrame, lines: Column) -> DataFrame:
 
 def _repeated(docs: DataFrame, long_words: int, long_texts: int) -> DataFrame:
     """Distinct (text_key, line): lines of ``long_words`` or more that stand in ``long_texts`` different texts."""
-    words = F.regexp_replace(F.regexp_replace("line", _BLANK, " "), "^ | $", "")
+    line = F.col("line")
+    words = F.when(_plain(line), line).otherwise(F.regexp_replace(F.regexp_replace(line, _BLANK, " "), "^ | $", ""))
     # So many words and the blanks between them have a least length, which is cheaper to see.
     some = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 2 * long_words - 1)
-    lines = _lines(docs, some).filter(F.regexp_count("line", F.lit(f"{_WORD}++")) >= long_words)
+    lines = _lines(docs, some).filter(_n_words(line) >= long_words)
     held = saved(lines.select("text_key", F.xxhash64("line").alias("line"), F.md5(words).alias("words")).distinct(), "long-lines")
     wide = saved(held.select("words", "text_key").distinct().groupBy("words").count()
                  .filter(F.col("count") >= long_texts).select("words"), "long-words")

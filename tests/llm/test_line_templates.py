@@ -84,6 +84,13 @@ def test_long_lines_go_from_two_texts_on(spark):
     assert all(r.n_dropped == 0 for r in lt.line_counts(df, long_words=1000).collect())
 
 
+def test_words_are_counted_alike_in_plain_and_odd_lines(spark):
+    lines = ["", " ", "a", " a", "a ", "a b", "a  b", "a\tb", "a\x0bb c", "a\x0cb", "a\r", "\r", "\u00e9\u4e2d \U0001f600 z", "a\u00a0b c", "x " * 60]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {r.line: r.n for r in df.select("line", lt._n_words(df.line).alias("n")).collect()}
+    assert got == {x: len([w for w in BLANK.split(x) if w]) for x in lines}
+
+
 def test_long_lines_of_documents(spark):
     d = "/root/testdata/sf0.1"
     rows = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall()
