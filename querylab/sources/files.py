@@ -16,11 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querylab.operators.compare import dense_positions
+from querylab.session import saved
 
 # File-name suffixes that follow the database name in corpus files.
 CORPUS_SUFFIXES = ("_res", "_processed", "_correct_sqls")
@@ -39,14 +41,81 @@ def db_from_path(path: Column) -> Column:
     return F.regexp_replace(name, f"(?:{suffix})$", "")
 
 
+_RECORDS = "file string, block bigint, edge string, first boolean, record string"
+
+
+def _cut_records(batches):
+    """Lines of a split (in order, with the split's state at its start) put
+    together to records.  A record that crosses the split's ends comes out in
+    pieces: ``tail`` where it begins, ``head`` where it ends, ``middle`` between."""
+    split, held, inside, whole, first = None, [], False, True, False
+
+    def flush(edge):
+        out.append((*split, edge, first, "\n".join(held)))
+
+    for batch in batches:
+        out = []
+        for file, block, odd_before, value in zip(batch["file"], batch["block"], batch["odd_before"], batch["value"]):
+            if split != (file, block):
+                if held:
+                    flush("tail" if whole else "middle")
+                split, held, inside = (file, block), [], bool(odd_before)
+                whole, first = not inside, block == 0
+            held.append(value)
+            inside ^= value.count('"') % 2 == 1
+            if not inside:
+                flush("" if whole else "head")
+                held, whole, first = [], True, False
+        yield pd.DataFrame(out, columns=["file", "block", "edge", "first", "record"])
+    out = []
+    if held:
+        flush("tail" if whole else "middle")
+    yield pd.DataFrame(out, columns=["file", "block", "edge", "first", "record"])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, record) for quoted CSV files below ``path``; ``first`` marks
+    a file's first record.  Large files are read by many tasks: one pass counts
+    the quotes of each byte range, the parity of all earlier ranges of the file
+    tells whether a range begins inside quotes, and a second pass cuts its lines
+    into records.  Only the pieces of records that cross ranges are shuffled, at
+    most two a range.
+
+    Quotes stand around fields and are doubled inside them (RFC 4180); a line
+    may end with a carriage return; an empty file has no records."""
+    lines = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    ranges = lines.groupBy("file", "block").agg(F.sum(quotes).alias("quotes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    states = saved(ranges.select("file", "block", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1)
+                                 .alias("odd_before")), "csv-ranges")
+    # The join may deal lines out anew, so they are put in order after it.
+    ordered = (lines.withColumn("at", F.monotonically_increasing_id()).join(states, ["file", "block"])
+               .sortWithinPartitions("file", "block", "at").select("file", "block", "odd_before", "value"))
+    cut = saved(ordered.mapInPandas(_cut_records, _RECORDS), "csv-records")
+    upto = Window.partitionBy("file").orderBy("block", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = (cut.filter("edge <> ''").withColumn("rank", F.expr("CASE edge WHEN 'tail' THEN 1 ELSE 0 END"))
+              .withColumn("begun", F.max(F.when(F.col("edge") == "tail", F.col("block"))).over(upto)))
+    joined = (pieces.groupBy("file", "begun")
+              .agg(F.bool_or("first").alias("first"), F.array_sort(F.collect_list(F.struct("block", "record"))).alias("parts"))
+              .select("file", "first", F.array_join("parts.record", "\n").alias("record")))
+    return cut.filter("edge = ''").select("file", "first", "record").unionByName(joined)
+
+
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """All corpus CSV files under ``path`` with a ``db_id`` taken from each
-    file's path (S-3)."""
-    r = spark.read.options(**_CSV_OPTS).option("recursiveFileLookup", "true")
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.csv(path)
-    return df.withColumn("db_id", db_from_path(F.col("_metadata.file_path")))
+    file's path (S-3).  With a schema, large files are split; without one the
+    columns must be inferred, a whole file a task."""
+    if schema is None:
+        df = spark.read.options(**_CSV_OPTS).option("recursiveFileLookup", "true").csv(path)
+        return df.withColumn("db_id", db_from_path(F.col("_metadata.file_path")))
+    ddl = schema if isinstance(schema, str) else ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    record = F.regexp_replace("record", r"\r$", "")
+    rows = read_records(spark, path).filter(~F.col("first") & (record != ""))
+    return rows.select(F.from_csv(record, ddl, {"quote": '"', "escape": '"'}).alias("row"), "file").select(
+        "row.*", db_from_path(F.col("file")).alias("db_id"))
 
 
 def write_corpus(df: DataFrame, path: str, db_col: str, query_col: str, suffix: str = "_correct_sqls") -> None:
