@@ -115,6 +115,41 @@ def named_pattern_sql(x: str, criteria: str) -> str:
     return f"{x} LIKE '{LIKE_CRITERIA[criteria]}'"
 
 
+# ---------------------------------------------------------------------- joins
+
+def hot_keys(df: DataFrame, key: str, share: int) -> Column:
+    """Keys that hold about a ``share``-th of the rows or more, as a scalar
+    subquery: an array of ``share`` keys at most, from a frequency sketch that
+    merges in tasks.  NULL keys are not counted."""
+    top = df.filter(F.col(key).isNotNull()).agg(
+        F.call_function("approx_top_k", F.col(key), F.lit(share), F.lit(16 * share)).alias("top"), F.count(F.lit(1)).alias("n"))
+    hot = F.transform(F.filter("top", lambda x: x["count"] * share >= F.col("n")), lambda x: x["item"])
+    return top.select(hot).scalar()
+
+
+def salted(df: DataFrame, key: str, hot: Column, salt_by: Sequence[str], salts: int) -> DataFrame:
+    """``df`` with ``__salt``: rows of hot keys are dealt over ``salts`` values by
+    the hash of ``salt_by``, so that a task run again deals them alike."""
+    deal = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    return df.withColumn("__salt", F.when(F.array_contains(hot, F.col(key)), deal).otherwise(0))
+
+
+def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt_by: Sequence[str],
+              share: int = 100, salts: int = 32) -> DataFrame:
+    """Inner equi-join on columns that are no keys (J-6).  Keys that hold a
+    ``share``-th of the left rows are split over ``salts`` tasks, and the right
+    rows of these keys alone are repeated; all other keys join as they are.
+    The sketch only chooses the path: every pair comes out exactly once.
+
+    ``salt_by``: columns of the left side that tell rows of one key apart."""
+    hot = hot_keys(left, left_key, share)
+    spread = salted(left, left_key, hot, salt_by, salts)
+    copies = F.when(F.array_contains(hot, F.col(right_key)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("__copy", F.explode(copies))
+    return (spread.join(repeated, (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__copy")))
+            .drop("__salt", "__copy"))
+
+
 # ----------------------------------------------------------------- subqueries
 
 def in_subquery(df: DataFrame, key: str, sub: DataFrame, sub_key: str) -> DataFrame:

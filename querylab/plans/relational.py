@@ -532,7 +532,9 @@ FROM part JOIN nation ON p_size = n_nationkey
 GROUP BY n_name
 """, ids=("J-6",))
 def j6(t: Tables) -> DataFrame:
-    return (t.part.join(t.nation, F.col("p_size") == F.col("n_nationkey"))
+    part = t.part.select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"))
+    nation = t.nation.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
+    return (R.skew_join(part, nation, "p_size", "n_nationkey", ["p_partkey"])
             .groupBy("n_name").agg(F.count(F.lit(1)).alias("n_parts")))
 
 
