@@ -217,9 +217,19 @@ def read_log_blocks(spark: SparkSession, path: str, mark: str = "@") -> DataFram
 
 # ----------------------------------------------------------------- resume
 
+def record_processed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Append the keys of ``df`` to the ledger ``table`` (files below the shared
+    folder ``path``), made on first use, and return the ledger.  It is bucketed
+    by the keys, so runs that look keys up do not shuffle what earlier runs did."""
+    (df.select(*keys).repartition(buckets, *keys).write.mode("append").format("parquet")
+     .bucketBy(buckets, *keys).option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def unprocessed(df: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are not in the processed ledger (S-12)."""
-    return df.join(ledger.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows whose keys are not in the processed ledger (S-12); keys that stand
+    in it several times count once, rows with NULL keys are never processed."""
+    return df.join(ledger.select(*keys), list(keys), "left_anti")
 
 
 # ----------------------------------------------------------- file pairing

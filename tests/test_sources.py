@@ -1,4 +1,6 @@
-"""Quoted CSV read by many tasks equals the reader that takes a file a task."""
+"""Quoted CSV read by many tasks equals the reader that takes a file a task; the resume ledger."""
+
+import uuid
 
 import pytest
 
@@ -52,3 +54,20 @@ def test_line_ends_and_missing_last_break(spark, tmp_path, small_ranges):
     (folder / "empty.csv").write_text("")
     got = {r.query_id: (r["query"], r.note) for r in S.read_corpus(spark, str(folder), SCHEMA).collect()}
     assert got == {**{k: (f'first\nsecond "{k}"', "end") for k in range(300)}, 300: ("last\none", "x")}
+
+
+def test_ledger_is_not_shuffled(spark, tmp_path):
+    name, keys = f"ledger_{uuid.uuid4().hex}", ["db", "id"]
+    rows = spark.range(500).selectExpr("concat('db', id % 3) AS db", "IF(id = 499, NULL, id) AS id", "id AS n")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for cut in ("n < 100", "n BETWEEN 50 AND 200", "n = 499"):
+            ledger = S.record_processed(rows.filter(cut), name, str(tmp_path / "ledger"), keys, 6)
+        left = S.unprocessed(rows, ledger, keys)
+        assert sorted(r.n for r in left.collect()) == list(range(201, 500))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.split("Final Plan")[-1].split("Initial Plan")[0].count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
