@@ -82,35 +82,38 @@ def pair_overlaps(pairs: DataFrame, refs: DataFrame, ref_id: str, cands: DataFra
         total("ref").alias("ref_total"), total("cand").alias("cand_total"), "ref_len", "cand_len")
 
 
-def gram_hashes(tokens: Column, n: int) -> Column:
-    """64-bit hashes of the n-grams of a token array: every token is hashed
-    once, and n shifted slices of the hashes are combined pairwise."""
-    cnt = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-    hashes = F.transform(tokens, lambda x: F.xxhash64(x))
-    out = F.slice(hashes, 1, cnt)
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(hashes, k + 1, cnt), lambda a, b: F.xxhash64(a, b))
-    return out
+def with_gram_hashes(df: DataFrame, tokens: str, n: int, out_col: str) -> DataFrame:
+    """Append ``out_col``: 64-bit hashes of the n-grams of the token array
+    ``tokens``, in order.
 
+    Every token is hashed once; each step glues two shifted slices of the
+    hashes so far, at most doubling the grams' length, in a projection of its
+    own that Catalyst keeps apart (inlined, the tokenizer would run again for
+    every place that reads the array)."""
+    df, width = df.withColumn(out_col, F.transform(tokens, lambda x: F.xxhash64(x))), 1
+    while width < n:
+        step = min(width, n - width)
+        cnt = F.greatest(F.size(out_col) - step, F.lit(0))
+        df = df.withColumn(out_col, F.zip_with(F.slice(out_col, 1, cnt), F.slice(out_col, step + 1, cnt), lambda a, b: F.xxhash64(a, b)))
+        width += step
+    return df
 
-#: Bits of the Bloom filter: at most 16 MB, whatever the references.
-BLOOM_BITS = 27
+
+#: Bits of the Bloom filter: at most 2^20 words of 64 bits, whatever the references.
+BLOOM_BITS = 26
+_AT = f"shiftrightunsigned(h, {64 - BLOOM_BITS})"
 
 
 def _bloom(hashes: DataFrame) -> DataFrame:
-    """(bucket, bits): one bit a hash, 2^15 bits a row."""
-    at = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
-    return hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767).cast("long")).alias("bit")).groupBy(
-        "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    """(word, bits): one bit a hash, 64 bits a row."""
+    return (hashes.select(F.expr(f"shiftright({_AT}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({_AT} & 63 as int))").alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")))
 
 
 def _may_hold(hashes: DataFrame, bloom: DataFrame) -> DataFrame:
     """The rows of ``hashes(h, ...)`` whose bit is set in the filter."""
-    at = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
-    byte = F.expr("cast(conv(hex(substring(bits, cast((at & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
-    # At most 2^12 rows of 4 KB.
-    held = hashes.withColumn("at", at).withColumn("bucket", F.shiftright("at", 15)).join(F.broadcast(bloom), "bucket")
-    return held.withColumn("byte", byte).filter("(shiftright(byte, cast(at & 7 as int)) & 1) = 1").drop("at", "bucket", "bits", "byte")
+    held = hashes.withColumn("word", F.expr(f"shiftright({_AT}, 6)")).join(F.broadcast(bloom), "word")
+    return held.filter(f"(shiftright(bits, cast({_AT} & 63 as int)) & 1L) = 1L").drop("word", "bits")
 
 
 def candidate_pairs(refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str, text_col: str = "text",
@@ -119,15 +122,21 @@ def candidate_pairs(refs: DataFrame, ref_id: str, cands: DataFrame, cand_id: str
 
     Only 64-bit hashes move, and of the candidates' only those that pass the
     references' Bloom filter; pairs of equal hashes are verified by the grams."""
+    def tokens(df: DataFrame, key: str, side: str) -> DataFrame:
+        return df.select(key, word_tokens(F.col(text_col)).alias(side))
+
     def hashed(df: DataFrame, key: str) -> DataFrame:
-        grams = F.array_distinct(gram_hashes(word_tokens(F.col(text_col)), n))
-        return df.select(F.col(key).alias(key), F.explode(grams).alias("h"))
+        grams = with_gram_hashes(tokens(df, key, "__tok"), "__tok", n, "__grams")
+        return grams.select(key, F.explode(F.array_distinct("__grams")).alias("h"))
 
     known = saved(hashed(refs, ref_id), "reference-grams")
-    met = _may_hold(hashed(cands, cand_id), saved(_bloom(known), "bloom")).join(known, "h").select(ref_id, cand_id).distinct()
-    texts = [df.select(key, ngrams(word_tokens(F.col(text_col)), n).alias(side)) for df, key, side in ((refs, ref_id, "r"), (cands, cand_id, "c"))]
-    return (saved(met, "met").join(texts[0], ref_id).join(texts[1], cand_id)
-            .filter(F.arrays_overlap("r", "c")).select(ref_id, cand_id))
+    # Dealt out before the grams are made: a file is cut by its row groups only, so few tasks may read all texts.
+    dealt = cands.select(cand_id, text_col).hint("rebalance")
+    met = saved(_may_hold(hashed(dealt, cand_id), saved(_bloom(known), "bloom")).join(known, "h").select(ref_id, cand_id).distinct(), "met")
+    # Grams are spelt out only in the texts of pairs that met.
+    used = saved(cands.join(met.select(cand_id).distinct(), cand_id, "left_semi").select(cand_id, text_col).hint("rebalance"), "met-texts")
+    both = met.join(tokens(refs, ref_id, "__r"), ref_id).join(tokens(used, cand_id, "__c"), cand_id)
+    return both.filter(F.arrays_overlap(ngrams(F.col("__r"), n), ngrams(F.col("__c"), n))).select(ref_id, cand_id)
 
 
 def _prf(overlap: Column, cand_total: Column, ref_total: Column, prefix: str) -> list[Column]:

@@ -72,7 +72,7 @@ def _inputs(t: Tables):
     if key not in _FOUND:
         docs = t.documents.select("doc_id", "text")
         pairs = saved(TS.candidate_pairs(bench, "item_id", docs, "doc_id", n=N_SHARED), "pairs")
-        _FOUND[key] = pairs, saved(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "paired")
+        _FOUND[key] = pairs, saved(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").hint("rebalance"), "paired")
     pairs, used = _FOUND[key]
     return pairs, bench, used
 
